@@ -1,0 +1,108 @@
+"""Counters, histograms and gauges: plain aggregates that combine before the shuffle."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from shroudline.operators.policy import FALLBACK_SOURCES
+from shroudline.operators.usage import model_of
+
+# Default histogram buckets in seconds.
+BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+
+
+def count_by(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def count_requests(audit: DataFrame) -> DataFrame:
+    return count_by(audit, "direction", "decision")
+
+
+def count_decisions(audit: DataFrame) -> DataFrame:
+    return count_by(audit.withColumnRenamed("policy_source", "source"), "direction", "decision", "source")
+
+
+def count_errors(audit: DataFrame) -> DataFrame:
+    failed = audit.where(F.col("error_stage").isNotNull())
+    return count_by(failed.select(F.col("error_stage").alias("stage"), F.col("error_kind").alias("kind")), "stage", "kind")
+
+
+def count_detections(outcomes: DataFrame) -> DataFrame:
+    return count_by(outcomes.select("direction", F.explode("resolved.label").alias("label")), "direction", "label")
+
+
+def count_auth_failures(failures: DataFrame) -> DataFrame:
+    return count_by(failures, "reason")
+
+
+def count_review_events(review_log: DataFrame, audit: DataFrame) -> DataFrame:
+    """``created`` for every request sent to review, the outcome of every resolution, every override used."""
+    created = audit.where((F.col("decision") == "review") & (F.col("direction") == "request")).select(F.lit("created").alias("event"))
+    resolved = review_log.where(F.col("type") == "resolved").select(F.col("status").alias("event"))
+    used = audit.where(F.col("policy_source").isin("review_override_approved", "review_override_rejected")).select(
+        F.substring("policy_source", len("review_") + 1, 100).alias("event")
+    )
+    return count_by(reduce(DataFrame.unionByName, (created, resolved, used)), "event")
+
+
+def count_fallbacks(audit: DataFrame) -> DataFrame:
+    return count_by(audit.where(F.col("policy_source").isin(*FALLBACK_SOURCES)).withColumnRenamed("policy_source", "kind"), "kind")
+
+
+def count_llm_requests(traffic: DataFrame, body: str = "body") -> DataFrame:
+    return count_by(traffic.select(model_of(F.col(body)).alias("model")).where("model is not null"), "model")
+
+
+def histogram(df: DataFrame, value: str, by: tuple[str, ...], buckets: tuple[float, ...] = BUCKETS) -> DataFrame:
+    """Count, sum and cumulative bucket counts per group."""
+    counts = [F.count_if(F.col(value) <= le).alias(f"le_{str(le).replace('.', '_')}") for le in buckets]
+    return df.groupBy(*by).agg(F.count(value).alias("count"), F.sum(value).alias("sum_seconds"), *counts)
+
+
+def hist_avg_ms(hist: DataFrame) -> DataFrame:
+    mean = F.when(F.col("count") > 0, F.col("sum_seconds") / F.col("count") * 1000).otherwise(F.lit(0.0))
+    return hist.withColumn("avg_ms", mean)
+
+
+def dependency_gauges(health: DataFrame, row_id: str) -> DataFrame:
+    """Last health check per dependency: configured, ready and status code (0 when unreachable)."""
+    last = health.groupBy("dependency").agg(F.max(F.struct("ts", row_id, "configured", "status_code")).alias("h"))
+    reachable = F.coalesce((F.col("h.status_code") >= 200) & (F.col("h.status_code") < 500), F.lit(False))
+    return last.select(
+        "dependency", F.col("h.configured").cast("int").alias("configured"),
+        (~F.col("h.configured") | reachable).cast("int").alias("ready"),
+        F.coalesce("h.status_code", F.lit(0)).alias("status_code"),
+    )
+
+
+def gauges(active: DataFrame, pending: DataFrame, capacity: int) -> DataFrame:
+    """The single-number gauges as (gauge, value) rows."""
+    one = active.select(F.lit("active_sessions").alias("gauge"), F.col("active_sessions").alias("value"))
+    two = pending.select(F.lit("review_queue_pending").alias("gauge"), F.col("pending").alias("value"))
+    three = pending.select(F.lit("review_queue_capacity").alias("gauge"), F.lit(capacity).cast("bigint").alias("value"))
+    return one.unionByName(two).unionByName(three)
+
+
+def nested(counts: DataFrame, *levels: str, value: str = "n") -> DataFrame:
+    """A counter family as one nested map.  Label values come from fixed vocabularies, so it is small."""
+    entry: Column = F.col(value)
+    rows, keys = counts, list(levels)
+    while keys:
+        key = keys.pop()
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), entry.alias("value"))))
+        grouped = rows.groupBy(*keys) if keys else rows.groupBy()
+        rows = grouped.agg(F.map_from_entries(pairs).alias("_map"))
+        entry = F.col("_map")
+    return rows.withColumnRenamed("_map", "family")
+
+
+def snapshot(families: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """(family, values) rows: every counter family as JSON text of its nested map."""
+    rows = [
+        nested(df, *levels).select(F.lit(name).alias("family"), F.to_json("family").alias("values")) for name, (df, levels) in families.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
