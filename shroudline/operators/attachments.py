@@ -1,5 +1,220 @@
+"""Attachments as rows: text parts and office documents, scanned and rewritten on the file's row."""
+
+from __future__ import annotations
+
+import io
+import xml.parsers.expat
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shroudline.config import Detection
+from shroudline.functions import ranks
+from shroudline.operators import detect as D, payloads as Y, policy as P, redact as R, skew
+
+NODES = "array<struct<pointer:string,entry_path:string,text_index:int,text:string>>"
+
+# Media types read as text, marks of office types, folders of an office archive with text.
+TEXT_TYPES = ("application/json", "application/xml", "text/xml", "text/csv")
+OFFICE_MARKS = ("wordprocessingml.document", "spreadsheetml.sheet", "presentationml.presentation")
+OFFICE_ENDINGS = (".docx", ".xlsx", ".pptx")
+OFFICE_FOLDERS = ("word/", "xl/", "ppt/")
+REVIEW_SOURCE = "attachment_review_fallback"
+REVIEW_REASON = "attachment contains sensitive content that cannot be rewritten safely"
+
+_NODE_TYPE = pa.list_(pa.struct([("pointer", pa.string()), ("entry_path", pa.string()), ("text_index", pa.int32()), ("text", pa.string())]))
+
 
-def flag_too_large(parts, max_bytes, content="content"):
+def flag_too_large(parts: DataFrame, max_bytes: int, content: str = "content") -> DataFrame:
     return parts.withColumn("too_large", F.octet_length(content) > max_bytes)
+
+
+def part_pointer(part_name: Column, file_name: Column) -> Column:
+    return F.concat(F.lit("/attachments/"), F.coalesce(part_name, file_name, F.lit("file")))
+
+
+def is_text_type(media: Column) -> Column:
+    return F.lower(media).startswith("text/") | F.lower(media).isin(*TEXT_TYPES)
+
+
+def is_office_type(media: Column, file_name: Column) -> Column:
+    result = F.lit(False)
+    for mark in OFFICE_MARKS:
+        result = result | F.lower(media).contains(mark)
+    for ending in OFFICE_ENDINGS:
+        result = result | F.coalesce(F.lower(file_name).endswith(ending), F.lit(False))
+    return result
+
+
+def rewritable(media: Column, file_name: Column) -> Column:
+    return is_text_type(media) | is_office_type(media, file_name)
+
+
+# -- office documents -----------------------------------------------------------------------------
+
+
+def _text_runs(xml_bytes: bytes):
+    """(start, end, text, is_cdata) of every character run between two marks, in bytes of the entry."""
+    runs, state = [], {"text": None, "cdata": False, "start": 0}
+    parser = xml.parsers.expat.ParserCreate()
+    parser.buffer_text = False
+
+    def close(end: int) -> None:
+        if state["text"] is not None:
+            runs.append((state["start"], end, "".join(state["text"]), state["cdata"]))
+            state["text"] = None
+
+    def mark(*_):
+        close(parser.CurrentByteIndex)
+
+    def characters(data: str) -> None:
+        if state["text"] is None:
+            state["text"], state["start"] = [], parser.CurrentByteIndex
+        state["text"].append(data)
+
+    def cdata_start() -> None:
+        mark()
+        state["cdata"] = True
+        state["text"], state["start"] = [], parser.CurrentByteIndex
+
+    def cdata_end() -> None:
+        close(parser.CurrentByteIndex + len("]]>"))
+        state["cdata"] = False
+
+    parser.StartElementHandler = parser.EndElementHandler = parser.CommentHandler = parser.ProcessingInstructionHandler = mark
+    parser.CharacterDataHandler = characters
+    parser.StartCdataSectionHandler, parser.EndCdataSectionHandler = cdata_start, cdata_end
+    parser.Parse(xml_bytes, True)
+    return [run for run in runs if run[2].strip()]
+
+
+def _has_text(name: str) -> bool:
+    return name.lower().endswith(".xml") and name.lower().startswith(OFFICE_FOLDERS)
+
+
+def _nodes_batch(contents: pa.Array, pointers: pa.Array) -> pa.Array:
+    out = []
+    for content, pointer in zip(contents.to_pylist(), pointers.to_pylist()):
+        nodes = None
+        if content is not None:
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    nodes = [
+                        {"pointer": f"{pointer}/{name}#text/{i}", "entry_path": name, "text_index": i, "text": run[2]}
+                        for name in archive.namelist() if _has_text(name)
+                        for i, run in enumerate(_text_runs(archive.read(name)))
+                    ]
+            except (zipfile.BadZipFile, xml.parsers.expat.ExpatError):
+                nodes = None
+        out.append(nodes)
+    return pa.array(out, _NODE_TYPE)
+
+
+def _rewrite_batch(contents: pa.Array, pointers: pa.Array, changed: pa.Array) -> pa.Array:
+    """Archives with the changed runs replaced; every other entry keeps its bytes."""
+    out = []
+    for content, pointer, leaves in zip(contents.to_pylist(), pointers.to_pylist(), changed.to_pylist()):
+        texts = {leaf["pointer"]: leaf["text"] for leaf in leaves or ()}
+        if content is None or not texts:
+            out.append(content)
+            continue
+        target = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(content)) as source, zipfile.ZipFile(target, "w") as archive:
+            for info in source.infolist():
+                data = source.read(info)
+                if _has_text(info.filename):
+                    pieces, at = [], 0
+                    for i, (start, end, _, is_cdata) in enumerate(_text_runs(data)):
+                        text = texts.get(f"{pointer}/{info.filename}#text/{i}")
+                        if text is not None:
+                            shown = "<![CDATA[" + text.replace("]]>", "]]]]><![CDATA[>") + "]]>" if is_cdata else escape(text)
+                            pieces += [data[at:start], shown.encode()]
+                            at = end
+                    data = b"".join([*pieces, data[at:]])
+                archive.writestr(info, data, info.compress_type)
+        out.append(target.getvalue())
+    return pa.array(out, pa.binary())
+
+
+def office_nodes(content: Column, pointer: Column) -> Column:
+    """Non-blank text nodes of an office archive in entry order; NULL where it cannot be read."""
+    return F.arrow_udf(_nodes_batch, NODES)(content, pointer)
+
+
+def explode_nodes(files: DataFrame, *keep: str, content: str = "content", pointer: str = "pointer") -> DataFrame:
+    nodes = files.withColumn("_nodes", office_nodes(F.col(content), F.col(pointer)))
+    return nodes.select(*keep, F.explode("_nodes").alias("n")).select(*keep, "n.*")
+
+
+def apply_budget(nodes: DataFrame, max_chars: int, key: str = "path", order: str = "position", text: str = "text") -> DataFrame:
+    """Nodes within a character budget per file, in order; the last one is cut.
+
+    ``order`` numbers the nodes of a file.
+    """
+    counted = skew.prefix_sum(nodes, key, order, F.char_length(text).cast("bigint"), "before")
+    return (
+        counted.where(F.col("before") < max_chars)
+        .withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(max_chars) - F.col("before")).cast("int")))
+        .drop("before")
+    )
+
+
+def scan_office(files: DataFrame, config: Detection, caller: Column, max_chars: int, content: str = "content",
+                pointer: str = "pointer", tokenizer: R.Tokenizer | None = None) -> DataFrame:
+    """Scan, judge and rewrite office files: adds ``resolved``, ``decision`` and ``rewritten``.
+
+    Only the first ``max_chars`` characters of a file are scanned, as the budget says.
+    """
+    rows = files.withColumn("_nodes", office_nodes(F.col(content), F.col(pointer)))
+    start = F.struct(F.lit(max_chars).alias("left"), F.array().cast("array<string>").alias("texts"))
+
+    def spend(acc: Column, node: Column) -> Column:
+        shown = F.substring(node["text"], F.lit(1), acc["left"])
+        return F.struct((acc["left"] - F.char_length(shown)).alias("left"), F.concat(acc["texts"], F.array(shown)).alias("texts"))
+
+    leaves = F.transform(F.coalesce("_nodes", F.array().cast(NODES)), lambda n: F.struct(n["pointer"].alias("pointer"), n["text"].alias("text")))
+    rows = rows.withColumn("_leaves", leaves).withColumn("_shown", F.aggregate("_leaves", start, spend, lambda acc: acc["texts"]))
+    rows = Y.judge_leaves(rows.drop("_nodes"), config, caller, F.lit("request"), tokenizer, scanned=F.col("_shown")).drop("_shown")
+    wanted = F.when(F.col("decision") == "redact", F.col(content))
+    rewritten = F.arrow_udf(_rewrite_batch, "binary")(wanted, F.col(pointer), F.col("_changed"))
+    return rows.withColumn("rewritten", F.coalesce(rewritten, F.col(content))).drop("_changed")
+
+
+def scan_text_parts(parts: DataFrame, config: Detection, caller: Column, max_chars: int, content: str = "content",
+                    tokenizer: R.Tokenizer | None = None) -> DataFrame:
+    """Scan, judge and rewrite text parts; invalid bytes are read as replacement characters."""
+    rows = parts.withColumn("text", F.make_valid_utf8(F.col(content).cast("string")))
+    found = D.detect(rows.withColumn("_shown", F.substring("text", 1, max_chars)), config, "_shown")
+    return R.judge(found.drop("_shown"), caller, F.lit("request"), "text", tokenizer).withColumn("rewritten", F.col("redacted").cast("binary")).drop("text", "redacted")
+
+
+def part_findings(findings: DataFrame, parts: DataFrame, request: str = "request_id") -> DataFrame:
+    """Findings with the part they lie in: at its pointer, or below it after ``/`` or ``#``.
+
+    A finding's pointer is cut at every such mark, so parts are met by equality.
+    """
+    marks = F.regexp_extract_all("pointer", F.lit(r"[/#]?[^/#]*"), F.lit(0))
+    steps = F.filter(marks, lambda m: m != "")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ""))
+    candidates = findings.withColumn("part_pointer", F.explode(above))
+    return candidates.join(parts.select(request, F.col("pointer").alias("part_pointer")), [request, "part_pointer"])
+
+
+def attachment_decision(parts: DataFrame, request: str = "request_id") -> DataFrame:
+    """Decision per request over its scanned parts (``resolved``, ``rewritable``).
+
+    A request to be masked goes to review when a part that cannot be rewritten has findings.
+    """
+    top = F.max(ranks.action_rank(P.decide(F.col("resolved")))).alias("_top")
+    stuck = F.bool_or(~F.col("rewritable") & (F.size("resolved") > 0)).alias("_stuck")
+    rows = parts.groupBy(request).agg(top, stuck)
+    escalates = F.col("_stuck") & (F.col("_top") == 1)
+    return rows.select(
+        request,
+        F.when(escalates, F.lit("review")).otherwise(ranks.action_of(F.col("_top"))).alias("decision"),
+        F.when(escalates, F.lit(REVIEW_SOURCE)).otherwise(F.lit("builtin")).alias("source"),
+        F.when(escalates, F.lit(REVIEW_REASON)).alias("reason"),
+    )

@@ -87,13 +87,17 @@ def gauges(active: DataFrame, pending: DataFrame, capacity: int) -> DataFrame:
     return one.unionByName(two).unionByName(three)
 
 
+def _by_key(a: Column, b: Column) -> Column:
+    return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+
+
 def nested(counts: DataFrame, *levels: str, value: str = "n") -> DataFrame:
     """A counter family as one nested map.  Label values come from fixed vocabularies, so it is small."""
     entry: Column = F.col(value)
     rows, keys = counts, list(levels)
     while keys:
         key = keys.pop()
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), entry.alias("value"))))
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), entry.alias("value"))), _by_key)
         grouped = rows.groupBy(*keys) if keys else rows.groupBy()
         rows = grouped.agg(F.map_from_entries(pairs).alias("_map"))
         entry = F.col("_map")

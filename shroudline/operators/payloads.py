@@ -148,22 +148,14 @@ def _scan_leaves(texts: Column, config: Detection) -> Column:
     return spans(texts)
 
 
-def process(df: DataFrame, config: Detection, caller: Column, direction: Column, body: str = "body",
-            is_json: Column | None = None, text_pointer: str = "/", tokenizer: R.Tokenizer | None = None) -> DataFrame:
-    """Scan and judge a payload column: adds ``json`` (whether it was read as JSON), ``resolved``,
-    ``decision`` and ``sanitised``.
+def judge_leaves(rows: DataFrame, config: Detection, caller: Column, direction: Column, tokenizer: R.Tokenizer | None = None,
+                 scanned: Column | None = None) -> DataFrame:
+    """From a ``_leaves`` array to ``resolved``, ``decision`` and ``_changed`` (rewritten leaves that had findings).
 
-    Where ``is_json`` holds but the body does not parse, it is taken as text.  Ignored pointers are
-    left out before scanning.
+    ``scanned`` gives the texts to scan where that is only a beginning of each leaf.
     """
-    wanted = F.lit(True) if is_json is None else is_json
-    whole = F.array(F.struct(F.lit(text_pointer).alias("pointer"), F.col(body).alias("text")))
-    rows = df.withColumn("_tree", json_leaves(F.when(wanted, F.col(body)))).withColumn("json", F.col("_tree").isNotNull())
-    leaves = F.coalesce("_tree", whole)
-    if config.ignore_json_pointers:
-        leaves = F.filter(leaves, lambda leaf: ~leaf["pointer"].isin(*config.ignore_json_pointers))
-    rows = rows.withColumn("_leaves", F.when(F.col(body).isNull(), F.array().cast(LEAVES)).otherwise(leaves)).drop("_tree")
-    rows = rows.withColumn("_spans", _scan_leaves(F.transform("_leaves", lambda leaf: leaf["text"]), config))
+    texts = F.transform("_leaves", lambda leaf: leaf["text"]) if scanned is None else scanned
+    rows = rows.withColumn("_spans", _scan_leaves(texts, config))
 
     def judged(leaf: Column) -> Column:
         found = D.findings_of(leaf["_spans"], leaf["_leaves"]["pointer"], config)
@@ -177,14 +169,32 @@ def process(df: DataFrame, config: Detection, caller: Column, direction: Column,
     changed = F.transform(
         "_hit", lambda h: F.struct(h["pointer"].alias("pointer"), R.redact_text(h["text"], h["resolved"], tokenizer).alias("text"))
     )
-    rows = (
+    return (
         rows.withColumn("resolved", F.flatten(F.transform("_hit", lambda h: h["resolved"])))
         .withColumn("decision", P.decide(F.col("resolved")))
-        # through a generator, so that it is computed once (tokens are random) and the worker
-        # function below sees a plain column
+        # through a generator, so that it is computed once (tokens are random) and worker functions
+        # that read it see a plain column
         .withColumn("_changed", F.explode(F.array(changed)))
         .drop("_hit")
     )
+
+
+def process(df: DataFrame, config: Detection, caller: Column, direction: Column, body: str = "body",
+            is_json: Column | None = None, text_pointer: str = "/", tokenizer: R.Tokenizer | None = None) -> DataFrame:
+    """Scan and judge a payload column: adds ``json`` (whether it was read as JSON), ``resolved``,
+    ``decision`` and ``sanitised``.
+
+    Where ``is_json`` holds but the body does not parse, it is taken as text.  Ignored pointers are
+    left out before scanning.
+    """
+    wanted = F.lit(True) if is_json is None else is_json
+    whole = F.array(F.struct(F.lit(text_pointer).alias("pointer"), F.col(body).alias("text")))
+    rows = df.withColumn("_tree", json_leaves(F.when(wanted, F.col(body)))).withColumn("json", F.col("_tree").isNotNull())
+    leaves = F.coalesce("_tree", whole)
+    if config.ignore_json_pointers:
+        leaves = F.filter(leaves, lambda leaf: ~leaf["pointer"].isin(*config.ignore_json_pointers))
+    rows = rows.withColumn("_leaves", F.when(F.col(body).isNull(), F.array().cast(LEAVES)).otherwise(leaves)).drop("_tree")
+    rows = judge_leaves(rows, config, caller, direction, tokenizer)
     as_text = F.when(F.size("_changed") > 0, F.element_at("_changed", 1)["text"]).otherwise(F.col(body))
     tree = rebuild_json(F.when(F.col("json"), F.col(body)), F.col("_changed"))
     return rows.withColumn("_tree", tree).withColumn("sanitised", F.when(F.col("json"), F.col("_tree")).otherwise(as_text)).drop("_changed", "_tree")
