@@ -96,8 +96,8 @@ def pct_delta(current: Column, baseline: Column) -> Column:
     return F.when(F.abs(baseline) >= EPSILON, (current - baseline) / baseline * 100.0)
 
 
-def _side(df: DataFrame, suffix: str, columns: tuple[str, ...]) -> DataFrame:
-    return df.select("scenario", *[F.col(c).alias(f"{c}_{suffix}") for c in columns])
+def _side(df: DataFrame, suffix: str, columns: tuple[str, ...], *keep: Column) -> DataFrame:
+    return df.select("scenario", *keep, *[F.col(c).alias(f"{c}_{suffix}") for c in columns])
 
 
 def _signals(opts: dict[str, float]) -> dict[str, tuple[Column, Column]]:
@@ -128,8 +128,8 @@ DEFAULT_OPTS = {
 }
 
 
-def _compared(current: DataFrame, baseline: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    rows = _side(current, "current", columns).join(_side(baseline, "baseline", columns).withColumn("_known", F.lit(True)), "scenario", "left")
+def _compared(current: DataFrame, baseline: DataFrame, columns: tuple[str, ...], *keep: Column) -> DataFrame:
+    rows = _side(current, "current", columns, *keep).join(_side(baseline, "baseline", columns).withColumn("_known", F.lit(True)), "scenario", "left")
     deltas = {f"{m}_delta": pct_delta(F.col(f"{m}_current"), F.col(f"{m}_baseline")) for m in METRICS}
     return rows.withColumns(deltas)
 
@@ -157,13 +157,18 @@ def drift_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("classification").agg(F.count("*").alias("n"))
 
 
+def _samples(metric: str) -> Column:
+    """Values of the sample runs, or the figure itself where there are none."""
+    given = F.coalesce(F.array_compact(F.col(f"sample_runs.{metric}")), F.array().cast("array<double>"))
+    return F.when(F.size(given) > 0, given).otherwise(F.array(F.coalesce(F.col(metric), F.lit(0.0))))
+
+
 def bands(summary: DataFrame) -> DataFrame:
     """(scenario, metric, sample_count, low, high, spread_abs, spread_pct) over sample runs, else the figure itself."""
-    rows = []
-    for metric in METRICS:
-        samples = F.array_compact(F.col(f"sample_runs.{metric}"))
-        given = F.when(F.size(F.coalesce(samples, F.array().cast("array<double>"))) > 0, samples).otherwise(F.array(F.coalesce(F.col(metric), F.lit(0.0))))
-        rows.append(F.struct(F.lit(metric).alias("metric"), F.coalesce(F.col(metric), F.lit(0.0)).alias("center"), given.alias("samples")))
+    rows = [
+        F.struct(F.lit(metric).alias("metric"), F.coalesce(F.col(metric), F.lit(0.0)).alias("center"), _samples(metric).alias("samples"))
+        for metric in METRICS
+    ]
     spread = summary.select("scenario", F.explode(F.array(*rows)).alias("m"))
     low, high, center = F.array_min("m.samples"), F.array_max("m.samples"), F.col("m.center")
     reach = F.greatest(F.abs(center - low), F.abs(high - center))
@@ -173,22 +178,18 @@ def bands(summary: DataFrame) -> DataFrame:
     )
 
 
-def _wide_bands(summary: DataFrame) -> DataFrame:
-    """low_<metric>, high_<metric> per scenario."""
-    rows = bands(summary)
-    ends = [
-        agg(F.when(F.col("metric") == metric, F.col(end))).alias(f"{end}_{metric}")
-        for metric in METRICS for end, agg in (("low", F.min), ("high", F.max))
-    ]
-    return rows.groupBy("scenario").agg(*ends)
+def _with_ends(summary: DataFrame) -> DataFrame:
+    """Band ends as columns of the summary row."""
+    return summary.withColumns(
+        {f"{end}_{m}": fn(_samples(m)) for m in METRICS for end, fn in (("low", F.array_min), ("high", F.array_max))}
+    )
 
 
 def gate_rows(current: DataFrame, baseline: DataFrame, opts: dict[str, float] | None = None) -> DataFrame:
     """Drift confirmed by sample runs: a signal counts only where the two bands do not overlap."""
     columns = (*METRICS, *[f"{end}_{m}" for m in METRICS for end in ("low", "high")])
-    left = current.join(_wide_bands(current), "scenario").withColumnRenamed("ok", "_ok")
-    right = baseline.join(_wide_bands(baseline), "scenario")
-    rows = _compared(left, right, columns).join(left.select("scenario", F.coalesce("_ok", F.lit(False)).alias("ok")), "scenario")
+    ok = F.coalesce("ok", F.lit(False)).alias("ok")
+    rows = _compared(_with_ends(current), _with_ends(baseline), columns, ok)
     signals = _signals({**DEFAULT_OPTS, **(opts or {})})
 
     def below(metric: str) -> Column:
