@@ -27,24 +27,38 @@ def choose(col: Column, table: dict, default=None) -> Column:
     return chain if default is None else chain.otherwise(F.lit(default))
 
 
-def _index(names: tuple[str, ...]) -> dict[str, int]:
-    return {name: i for i, name in enumerate(names)}
+def literal(value) -> str:
+    """A constant as SQL text: one expression for a whole table of them keeps plans quick to build."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, (bool, int, float)):
+        return str(value).upper() if isinstance(value, bool) else repr(value)
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def literals(values) -> Column:
+    return F.expr(f"array({', '.join(literal(v) for v in values)})")
+
+
+def _rank(names: tuple[str, ...], col: Column) -> Column:
+    return (F.array_position(literals(names), col) - 1).cast("int")
 
 
 def action_rank(col: Column) -> Column:
-    return choose(col, _index(ACTIONS))
+    return _rank(ACTIONS, col)
 
 
 def clearance_rank(col: Column) -> Column:
-    return choose(col, _index(CLEARANCES))
+    return _rank(CLEARANCES, col)
 
 
 def severity_rank(col: Column) -> Column:
-    return choose(col, _index(SEVERITIES))
+    return _rank(SEVERITIES, col)
 
 
 def action_of(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), (rank + 1).cast("int"))
+    return F.element_at(literals(ACTIONS), (rank + 1).cast("int"))
 
 
 def stricter(a: Column, b: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroudline.config import Detection
-from shroudline.functions import regex, text as T
+from shroudline.functions import ranks, regex, text as T
 
 SPANS = "array<struct<rule:int,start:int,end:int,byte_start:int,byte_end:int,matched:string>>"
 FINDING_FIELDS = (
@@ -116,7 +116,8 @@ def scan_spans(text: Column, config: Detection) -> Column:
 
 def _metadata(rules) -> Column:
     names = ("name", "label", "severity", "authorized_action", "unauthorized_action", "min_clearance", "masking")
-    return F.array(*[F.struct(*[F.lit(getattr(rule, n)).alias(n) for n in names]) for rule in rules])
+    rows = [", ".join(f"'{n}', {ranks.literal(getattr(rule, n))}" for n in names) for rule in rules]
+    return F.expr(f"array({', '.join(f'named_struct({row})' for row in rows)})")
 
 
 def _finding(ord_: Column, meta: Column, span: Column, pointer: Column) -> Column:

@@ -19,9 +19,9 @@ def reassemble_lines(chunks: DataFrame, key: str = "stream_id", seq: str = "seq"
     """
     bytes_ = F.decode(F.col(chunk), ONE_BYTE)
     pieces = chunks.select(key, F.col(seq).cast("bigint").alias(seq), F.split(bytes_, "\n", -1).alias("_pieces"))
-    numbered = skew.prefix_sum(pieces, key, seq, (F.size("_pieces") - 1).cast("bigint"), "_before")
-    parts = numbered.select(key, seq, "_before", (F.size("_pieces") - 1).alias("_last"), F.posexplode("_pieces").alias("_i", "_piece"))
-    lines = parts.groupBy(key, (F.col("_before") + F.col("_i")).alias("line_no")).agg(
+    numbered = skew.prefix_sum(pieces, key, seq, (F.size("_pieces") - 1).cast("bigint"), "breaks")
+    parts = numbered.select(key, seq, "breaks", (F.size("_pieces") - 1).alias("_last"), F.posexplode("_pieces").alias("_i", "_piece"))
+    lines = parts.groupBy(key, (F.col("breaks") + F.col("_i")).alias("line_no")).agg(
         F.array_sort(F.collect_list(F.struct(seq, "_piece"))).alias("_parts"), F.bool_or(F.col("_i") < F.col("_last")).alias("terminated")
     )
     raw = F.encode(F.array_join(F.transform("_parts", lambda p: p["_piece"]), ""), ONE_BYTE)

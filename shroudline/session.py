@@ -22,6 +22,8 @@ JOB_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "33554432",
     "spark.sql.files.maxPartitionBytes": "134217728",
+    # no call-site capture per column expression: plans here are built from many small ones
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
