@@ -40,15 +40,30 @@ def char_to_byte(text: Column, position: Column) -> Column:
 
 
 def shannon_entropy(value: Column) -> Column:
-    """Bits per byte over the byte histogram (ASCII tokens: one byte per character)."""
-    marks = F.filter(F.split(value, ""), lambda c: c != "")
-    size = F.size(marks).cast("double")
+    """Bits per byte over the byte histogram (ASCII tokens: one byte per character).
 
-    def term(symbol: Column) -> Column:
-        p = F.size(F.filter(marks, lambda c: c == symbol)) / size
-        return -p * F.log2(p)
+    Characters are sorted once; a run of n equal ones among N adds −n/N·log2(n/N).
+    """
+    marks = F.array_sort(F.filter(F.split(value, ""), lambda c: c != ""))
+    none = F.lit(0).cast("bigint")
+
+    def state(last: Column, run: Column, bits: Column, size: Column) -> Column:
+        return F.struct(last.alias("last"), run.alias("run"), bits.alias("bits"), size.alias("size"))
+
+    def weight(run: Column) -> Column:
+        return F.when(run > 0, run * F.log2(run)).otherwise(F.lit(0.0))
+
+    def step(acc: Column, c: Column) -> Column:
+        same = acc["last"] == c
+        return F.when(same, state(c, acc["run"] + 1, acc["bits"], acc["size"] + 1)).otherwise(
+            state(c, F.lit(1).cast("bigint"), acc["bits"] + weight(acc["run"]), acc["size"] + 1)
+        )
+
+    def finish(acc: Column) -> Column:
+        # log2(N) − Σ n·log2(n) / N
+        return F.when(acc["size"] > 0, F.log2(acc["size"]) - (acc["bits"] + weight(acc["run"])) / acc["size"]).otherwise(F.lit(0.0))
 
-    return F.aggregate(F.transform(F.array_distinct(marks), term), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(marks, state(F.lit(""), none, F.lit(0.0), none), step, finish)
 
 
 def entropy_tokens(text: Column, min_length: int, min_entropy: float) -> Column:

@@ -145,7 +145,7 @@ def office_nodes(content: Column, pointer: Column) -> Column:
 
 
 def explode_nodes(files: DataFrame, *keep: str, content: str = "content", pointer: str = "pointer") -> DataFrame:
-    nodes = files.withColumn("_nodes", office_nodes(F.col(content), F.col(pointer)))
+    nodes = files.withColumn("_nodes", skew.bound(office_nodes(F.col(content), F.col(pointer))))
     return nodes.select(*keep, F.explode("_nodes").alias("n")).select(*keep, "n.*")
 
 

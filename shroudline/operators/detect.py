@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from shroudline.config import Detection
 from shroudline.functions import ranks, regex, text as T
+from shroudline.operators import skew
 
 SPANS = "array<struct<rule:int,start:int,end:int,byte_start:int,byte_end:int,matched:string>>"
 FINDING_FIELDS = (
@@ -147,10 +148,10 @@ def detect(leaves: DataFrame, config: Detection, text: str = "text", pointer: Co
     found = findings_of(F.col("_spans"), where, config)
     scanned = leaves.withColumn("_spans", scan_spans(F.col(text), config))
     if ner is None:
-        return scanned.withColumn("findings", found).drop("_spans")
+        return scanned.withColumn("findings", skew.bound(found)).drop("_spans")
     outside = F.coalesce(ner, F.array().cast(FINDINGS))
     renumbered = F.transform(outside, lambda f: f.withField("ord", f["ord"] + F.size("_spans")))
-    return scanned.withColumn("findings", F.concat(found, renumbered)).drop("_spans")
+    return scanned.withColumn("findings", skew.bound(F.concat(found, renumbered))).drop("_spans")
 
 
 def drop_ignored(leaves: DataFrame, config: Detection) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroudline.operators.policy import FALLBACK_SOURCES
+from shroudline.operators.skew import bound
 from shroudline.operators.usage import model_of
 
 # Default histogram buckets in seconds.
@@ -54,7 +55,7 @@ def count_fallbacks(audit: DataFrame) -> DataFrame:
 
 
 def count_llm_requests(traffic: DataFrame, body: str = "body") -> DataFrame:
-    return count_by(traffic.select(model_of(F.col(body)).alias("model")).where("model is not null"), "model")
+    return count_by(traffic.select(bound(model_of(F.col(body))).alias("model")).where("model is not null"), "model")
 
 
 def histogram(df: DataFrame, value: str, by: tuple[str, ...], buckets: tuple[float, ...] = BUCKETS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shroudline.config import Detection, PolicyRule
 from shroudline.functions import ranks, text as T
-from shroudline.operators import detect as D, policy as P, redact as R
+from shroudline.operators import detect as D, policy as P, redact as R, skew
 
 LEAVES = "array<struct<pointer:string,text:string>>"
 CHAT = "struct<messages:array<struct<role:string,content:string>>,model:string>"
@@ -165,16 +165,15 @@ def judge_leaves(rows: DataFrame, config: Detection, caller: Column, direction:
         )
 
     hit = F.filter(F.arrays_zip("_leaves", "_spans"), lambda z: F.size(z["_spans"]) > 0)
-    rows = rows.withColumn("_hit", F.transform(hit, judged)).drop("_leaves", "_spans")
+    rows = rows.withColumn("_hit", skew.bound(F.transform(hit, judged))).drop("_leaves", "_spans")
     changed = F.transform(
         "_hit", lambda h: F.struct(h["pointer"].alias("pointer"), R.redact_text(h["text"], h["resolved"], tokenizer).alias("text"))
     )
     return (
         rows.withColumn("resolved", F.flatten(F.transform("_hit", lambda h: h["resolved"])))
         .withColumn("decision", P.decide(F.col("resolved")))
-        # through a generator, so that it is computed once (tokens are random) and worker functions
-        # that read it see a plain column
-        .withColumn("_changed", F.explode(F.array(changed)))
+        # computed once (tokens are random), and a plain column for the worker functions that read it
+        .withColumn("_changed", skew.bound(changed))
         .drop("_hit")
     )
 

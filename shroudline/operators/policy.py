@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shroudline.config import LOCAL_PRINCIPAL, PolicyRule, Principal, as_rows
 from shroudline.functions import ranks, text as T
+from shroudline.operators import skew
 
 PRINCIPALS = (
     "name string, tenant_id string, role string, clearance string, secret_sha256 string, allowed_labels array<string>"
@@ -258,26 +259,28 @@ def _through(acc: Column, table: Column) -> Column:
 def merge_outcomes(outcomes: DataFrame, key: str = "stream_id", seq: str = "seq") -> DataFrame:
     """Fold (decision, source, reason) of each stream in ``seq`` order to one outcome per stream."""
     item = _state(ranks.action_rank(F.col("decision")), F.col("source"), F.col("reason"), F.lit(False))
-    changes = outcomes.select(key, F.col(seq).cast("bigint").alias("_seq"), item.alias("_item"))
-    ordered = lambda column: F.array_sort(F.collect_list(F.struct("_seq", column)))
-    level = (
-        changes.groupBy(key, F.floor(F.col("_seq") / BLOCK).alias("_block"))
-        .agg(ordered("_item").alias("_list"))
-        .select(
-            key, F.col("_block").alias("_seq"),
-            F.transform(_start_states(), lambda s: F.aggregate("_list", s, lambda a, x: _merge_step(a, x["_item"]))).alias("_table"),
-        )
-        .groupBy(key, F.floor(F.col("_seq") / BLOCK).alias("_block"))
-        .agg(ordered("_table").alias("_list"))
-        .select(
-            key, F.col("_block").alias("_seq"),
-            F.transform(_start_states(), lambda s: F.aggregate("_list", s, lambda a, x: _through(a, x["_table"]))).alias("_table"),
-        )
-        .groupBy(key)
-        .agg(ordered("_table").alias("_list"))
+    # what changes no state is NULL here, and NULLs are not collected: most lines of a stream find nothing
+    idle = (F.col("decision") == "allow") & (F.col("source") == "builtin") & F.col("reason").isNull()
+    changes = outcomes.select(key, F.col(seq).cast("bigint").alias("_seq"), F.when(~idle, item).alias("_item"))
+
+    def folded(rows: DataFrame, column: str, *by) -> DataFrame:
+        """Per group the list of ``column`` in order, bound before folds look into it sixteen times."""
+        listed = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct("_seq", column))))
+        grouped = rows.groupBy(key, *by).agg(listed.alias("_found"))
+        return grouped.withColumn("_list", skew.bound(F.transform("_found", lambda x: x[column]))).drop("_found")
+
+    block = F.floor(F.col("_seq") / BLOCK).alias("_block")
+    lines = folded(changes, "_item", block)
+    # an outcome equal to the one before it changes nothing
+    distinct = F.filter("_list", lambda x, i: (i == 0) | ~x.eqNullSafe(F.get("_list", i - 1)))
+    tables = lines.withColumn("_list", skew.bound(distinct)).select(
+        key, F.col("_block").alias("_seq"), F.transform(_start_states(), lambda s: F.aggregate("_list", s, _merge_step)).alias("_table")
+    )
+    larger = folded(tables, "_table", block).select(
+        key, F.col("_block").alias("_seq"), F.transform(_start_states(), lambda s: F.aggregate("_list", s, _through)).alias("_table")
     )
     begin = _state(F.lit(0), F.lit("builtin"), F.lit(None).cast("string"), F.lit(False))
-    end = F.aggregate("_list", begin, lambda a, x: _through(a, x["_table"]))
-    return level.select(key, end.alias("_end")).select(
+    end = folded(larger, "_table").select(key, F.aggregate("_list", begin, _through).alias("_end"))
+    return end.select(
         key, ranks.action_of(F.col("_end.rank")).alias("decision"), F.col("_end.source").alias("source"), F.col("_end.reason").alias("reason")
     )

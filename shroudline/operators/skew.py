@@ -11,6 +11,15 @@ ROWS_PER_TASK = 4_000_000
 BLOCK = 4096
 
 
+def bound(column: Column) -> Column:
+    """A column evaluated once, whatever later filters and projections refer to it.
+
+    Filters on a derived column are otherwise pushed below it together with a copy of its expression,
+    Python stage included.  They stop at a generator, while filters on other columns still pass.
+    """
+    return F.explode(F.array(column))
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], row_id: str, how: str = "left",
            on: Column | None = None, counts: DataFrame | None = None, target: int = ROWS_PER_TASK) -> DataFrame:
     """``rows`` joined to ``table``, whose rows match each left row at most once.

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shroudline.operators import skew
 
-def _variant(body: Column) -> Column:
-    return F.try_parse_json(body)
+
+def _with_tree(body: Column, read) -> Column:
+    """``read`` applied to the parsed body, which is parsed once however often it is looked into."""
+    return F.element_at(F.transform(F.array(F.try_parse_json(body)), read), 1)
 
 
 def _string_at(tree: Column, path: str) -> Column:
@@ -17,7 +20,7 @@ def _string_at(tree: Column, path: str) -> Column:
 
 
 def model_of(body: Column) -> Column:
-    return _string_at(_variant(body), "$.model")
+    return _with_tree(body, lambda tree: _string_at(tree, "$.model"))
 
 
 def usage_of(body: Column) -> Column:
@@ -25,9 +28,8 @@ def usage_of(body: Column) -> Column:
 
     The first key present of a pair decides; a value that is no whole number counts as zero.
     """
-    tree = _variant(body)
 
-    def count(first: str, second: str) -> Column:
+    def count(tree: Column, first: str, second: str) -> Column:
         def number(key: str) -> Column:
             value = F.try_variant_get(tree, f"$.usage.{key}", "variant")
             whole = F.schema_of_variant(value) == "BIGINT"
@@ -36,17 +38,25 @@ def usage_of(body: Column) -> Column:
 
         return F.coalesce(number(first), number(second), F.lit(0))
 
-    usage = F.struct(
-        _string_at(tree, "$.model").alias("model"),
-        count("prompt_tokens", "input_tokens").alias("prompt_tokens"),
-        count("completion_tokens", "output_tokens").alias("completion_tokens"),
-    )
-    return F.when((usage["prompt_tokens"] > 0) | (usage["completion_tokens"] > 0), usage)
+    def read(tree: Column) -> Column:
+        return F.struct(
+            _string_at(tree, "$.model").alias("model"),
+            count(tree, "prompt_tokens", "input_tokens").alias("prompt_tokens"),
+            count(tree, "completion_tokens", "output_tokens").alias("completion_tokens"),
+        )
+
+    used = F.filter(F.array(_with_tree(body, read)), lambda u: (u["prompt_tokens"] > 0) | (u["completion_tokens"] > 0))
+    return F.get(used, F.lit(0))
+
+
+def usages(df: DataFrame, *keep: str, body: str = "body") -> DataFrame:
+    """Rows that carry usage, with its fields."""
+    return df.select(*keep, skew.bound(usage_of(F.col(body))).alias("_u")).where("_u is not null").select(*keep, "_u.*")
 
 
 def first_usage(lines: DataFrame, payload: str = "payload", stream: str = "stream_id", seq: str = "seq") -> DataFrame:
     """The first usage event of each stream; later ones are not counted again."""
-    rows = lines.withColumn("_usage", usage_of(F.col(payload))).where("_usage is not null")
+    rows = lines.withColumn("_usage", skew.bound(usage_of(F.col(payload)))).where("_usage is not null")
     return rows.groupBy(stream).agg(F.min_by("_usage", seq).alias("u")).select(stream, "u.*")
 
 

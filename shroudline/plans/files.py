@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shroudline.operators import attachments as A, policy as P
 from shroudline.plans import sql as S, views as V
 from shroudline.plans.registry import query
+from shroudline.streaming import jobs as J
 
 
 def _office_batch(texts: pa.Array) -> pa.Array:
@@ -64,7 +65,9 @@ BUDGET = 1500
 @query("text_budget", f"""WITH {NODES_SQL} SELECT doc_id, text_index, substring(text, 1, ({BUDGET} - before)::INT) AS text FROM (
   SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY text_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM nodes) WHERE before < {BUDGET}""")
 def text_budget(spark, d):
-    nodes = A.explode_nodes(office_files(spark, d), "doc_id").select("doc_id", F.col("text_index").cast("bigint").alias("text_index"), "text")
+    folder = J.work_dir(spark, "nodes")
+    A.explode_nodes(office_files(spark, d), "doc_id").select("doc_id", F.col("text_index").cast("bigint").alias("text_index"), "text").write.parquet(folder)
+    nodes = spark.read.schema("doc_id bigint, text_index bigint, text string").parquet(folder)
     return A.apply_budget(nodes, BUDGET, "doc_id", "text_index")
 
 

@@ -198,7 +198,7 @@ def usage_model(spark, d):
 
 @query("usage_tokens", f"WITH {USAGE_SQL} SELECT event_id, model, p AS prompt_tokens, c AS completion_tokens FROM used")
 def usage_tokens(spark, d):
-    return usage_bodies(spark, d).select("event_id", U.usage_of(F.col("body")).alias("u")).where("u is not null").select("event_id", "u.*")
+    return U.usages(usage_bodies(spark, d), "event_id")
 
 
 @query("usage_sse_first", f"""WITH {USAGE_SQL} SELECT user_id, arg_min(coalesce(model, ''), event_id) AS model, arg_min(p, event_id) AS prompt_tokens,
@@ -212,8 +212,7 @@ def usage_sse_first(spark, d):
 @query("m_llm_tokens", f"""WITH {USAGE_SQL} SELECT coalesce(model, 'unknown') AS model, 'prompt' AS kind, sum(p)::BIGINT AS tokens FROM used GROUP BY 1
   UNION ALL SELECT coalesce(model, 'unknown'), 'completion', sum(c)::BIGINT FROM used GROUP BY 1""")
 def m_llm_tokens(spark, d):
-    used = usage_bodies(spark, d).select(U.usage_of(F.col("body")).alias("u")).where("u is not null").select("u.*")
-    return U.meter(used)
+    return U.meter(U.usages(usage_bodies(spark, d)))
 
 
 @query("m_llm_requests", """SELECT CASE WHEN event_id % 6 IN (0, 1) THEN event_type WHEN event_id % 6 = 2 THEN 'm' END AS model, count(*) AS n FROM events
