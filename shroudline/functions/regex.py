@@ -83,10 +83,13 @@ def compiled(pattern: str):
     source = to_python(pattern)
     try:
         return re.compile(source)
-    except re.error:
+    except re.error as refused:
         import regex
 
-        return regex.compile(source)
+        try:
+            return regex.compile(source)
+        except regex.error:
+            raise refused from None
 
 
 def has_group(pattern: str) -> bool:

@@ -20,7 +20,7 @@ PRINCIPALS = (
     "name string, tenant_id string, role string, clearance string, secret_sha256 string, allowed_labels array<string>"
 )
 OUTCOME_STATE = "struct<rank:int,source:string,reason:string,touched:boolean>"
-BLOCK = 1024
+BLOCK = 65_536
 
 # Policy sources counted as processing fallbacks.
 FALLBACK_SOURCES = (
@@ -245,9 +245,18 @@ def _start_states() -> Column:
     ])
 
 
+def _begin() -> Column:
+    return _state(F.lit(0), F.lit("builtin"), F.lit(None).cast("string"), F.lit(False))
+
+
+def _starts(block: Column) -> Column:
+    """Start states to try: the first block of a stream has only one."""
+    return F.when(block == 0, F.array(_begin())).otherwise(_start_states())
+
+
 def _through(acc: Column, table: Column) -> Column:
     """Send a state through the table of a block."""
-    end = F.element_at(table, _class_of(acc))
+    end = F.element_at(table, F.when(F.size(table) == 1, 1).otherwise(_class_of(acc)))
     return _state(
         end["rank"],
         F.when(end["touched"], end["source"]).otherwise(acc["source"]),
@@ -256,8 +265,8 @@ def _through(acc: Column, table: Column) -> Column:
     )
 
 
-def merge_outcomes(outcomes: DataFrame, key: str = "stream_id", seq: str = "seq") -> DataFrame:
-    """Fold (decision, source, reason) of each stream in ``seq`` order to one outcome per stream."""
+def merge_outcomes(outcomes: DataFrame, key: str = "stream_id", seq: str = "seq", block_size: int = BLOCK) -> DataFrame:
+    """Fold (decision, source, reason) of each stream in ``seq`` order (from 0) to one outcome per stream."""
     item = _state(ranks.action_rank(F.col("decision")), F.col("source"), F.col("reason"), F.lit(False))
     # what changes no state is NULL here, and NULLs are not collected: most lines of a stream find nothing
     idle = (F.col("decision") == "allow") & (F.col("source") == "builtin") & F.col("reason").isNull()
@@ -269,18 +278,17 @@ def merge_outcomes(outcomes: DataFrame, key: str = "stream_id", seq: str = "seq"
         grouped = rows.groupBy(key, *by).agg(listed.alias("_found"))
         return grouped.withColumn("_list", skew.bound(F.transform("_found", lambda x: x[column]))).drop("_found")
 
-    block = F.floor(F.col("_seq") / BLOCK).alias("_block")
+    block = F.floor(F.col("_seq") / block_size).alias("_block")
     lines = folded(changes, "_item", block)
     # an outcome equal to the one before it changes nothing
     distinct = F.filter("_list", lambda x, i: (i == 0) | ~x.eqNullSafe(F.get("_list", i - 1)))
     tables = lines.withColumn("_list", skew.bound(distinct)).select(
-        key, F.col("_block").alias("_seq"), F.transform(_start_states(), lambda s: F.aggregate("_list", s, _merge_step)).alias("_table")
+        key, F.col("_block").alias("_seq"), F.transform(_starts(F.col("_block")), lambda s: F.aggregate("_list", s, _merge_step)).alias("_table")
     )
     larger = folded(tables, "_table", block).select(
-        key, F.col("_block").alias("_seq"), F.transform(_start_states(), lambda s: F.aggregate("_list", s, _through)).alias("_table")
+        key, F.col("_block").alias("_seq"), F.transform(_starts(F.col("_block")), lambda s: F.aggregate("_list", s, _through)).alias("_table")
     )
-    begin = _state(F.lit(0), F.lit("builtin"), F.lit(None).cast("string"), F.lit(False))
-    end = folded(larger, "_table").select(key, F.aggregate("_list", begin, _through).alias("_end"))
+    end = folded(larger, "_table").select(key, F.aggregate("_list", _begin(), _through).alias("_end"))
     return end.select(
         key, ranks.action_of(F.col("_end.rank")).alias("decision"), F.col("_end.source").alias("source"), F.col("_end.reason").alias("reason")
     )

@@ -188,7 +188,8 @@ USAGE_SQL = f"""used AS (SELECT event_id, user_id, ts, model, p, c FROM (SELECT
 
 
 def usage_bodies(spark, d):
-    return V.table(spark, d, "events").select("event_id", "user_id", "ts", F.expr(USAGE).alias("body"))
+    return V.spread(V.table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")).select(
+        "event_id", "user_id", "ts", F.expr(USAGE).alias("body"))
 
 
 @query("usage_model", "SELECT event_id, CASE WHEN event_id % 6 IN (0, 1) THEN event_type WHEN event_id % 6 = 2 THEN 'm' END AS model FROM events")
