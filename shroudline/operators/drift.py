@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shroudline.operators import skew
+
 # Drift thresholds in percent, noise floors in milliseconds.
 THROUGHPUT_PCT = 5.0
 LATENCY_PCT = 10.0
@@ -40,8 +42,10 @@ def exact_quantiles(facts: DataFrame, value: str, by: list[str], quantiles: dict
         for i, (name, p) in enumerate(quantiles.items())
     ])
     wanted = stats.select(*by, targets.alias("_targets"))
+    # groups may be few and large: the hot ones are dealt out over tasks
+    met = skew.lookup(facts, wanted, by, [c for c in facts.columns if c not in by], "inner", counts=stats.select(*by, "n"))
     rows = (
-        facts.select(*by, value).join(wanted, by).select(*by, value, F.explode("_targets").alias("_t"))
+        met.select(*by, value, F.explode("_targets").alias("_t"))
         .where(F.col(value) <= F.col("_t.high"))
         .select(*by, "_t.name", "_t.rank", F.when(F.col(value) >= F.col("_t.low"), F.col(value)).alias("_v"))
         .groupBy(*by, "name", "rank", "_v").agg(F.count("*").alias("_c"))
@@ -73,7 +77,7 @@ def run_stats(facts: DataFrame, by: list[str], value: str = "latency_ms", ts: st
         F.count("*").alias("n"), (F.count("*") / F.when(seconds > 0, seconds)).alias("throughput_rps"),
         F.min(value).alias("min_ms"), F.max(value).alias("max_ms"), F.avg(value).alias("avg_ms"), *brackets(value, quantiles),
     )
-    return exact_quantiles(facts, value, by, quantiles, stats)
+    return exact_quantiles(facts, value, by, quantiles, skew.settle(stats))
 
 
 def median_runs(stats: DataFrame, scenario: str = "scenario", run: str = "run") -> DataFrame:

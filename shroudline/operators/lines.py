@@ -31,6 +31,5 @@ def reassemble_lines(chunks: DataFrame, key: str = "stream_id", seq: str = "seq"
 
 
 def stream_outcome(redacted: DataFrame, key: str = "stream_id", seq: str = "seq") -> DataFrame:
-    """One outcome per stream from its rewritten lines, with all findings counted."""
-    counts = redacted.groupBy(key).agg(F.sum(F.size("resolved")).alias("n_findings"), F.count("*").alias("n_lines"))
-    return P.merge_outcomes(redacted, key, seq).join(counts, key)
+    """One outcome per stream from its rewritten lines, with its lines and findings counted."""
+    return P.merge_outcomes(redacted, key, seq, sums={"n_findings": F.size("resolved"), "n_lines": F.lit(1)})

@@ -88,26 +88,37 @@ def gauges(active: DataFrame, pending: DataFrame, capacity: int) -> DataFrame:
     return one.unionByName(two).unionByName(three)
 
 
-def _by_key(a: Column, b: Column) -> Column:
-    return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
-
-
-def nested(counts: DataFrame, *levels: str, value: str = "n") -> DataFrame:
-    """A counter family as one nested map.  Label values come from fixed vocabularies, so it is small."""
-    entry: Column = F.col(value)
-    rows, keys = counts, list(levels)
-    while keys:
-        key = keys.pop()
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), entry.alias("value"))), _by_key)
-        grouped = rows.groupBy(*keys) if keys else rows.groupBy()
-        rows = grouped.agg(F.map_from_entries(pairs).alias("_map"))
-        entry = F.col("_map")
-    return rows.withColumnRenamed("_map", "family")
-
-
-def snapshot(families: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
-    """(family, values) rows: every counter family as JSON text of its nested map."""
-    rows = [
-        nested(df, *levels).select(F.lit(name).alias("family"), F.to_json("family").alias("values")) for name, (df, levels) in families.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+def counter_families(audit: DataFrame) -> DataFrame:
+    """All counters an audit record feeds, from one pass: (family, k1, k2, k3, n) with unused levels NULL."""
+    none = F.lit(None).cast("string")
+
+    def counter(family: str, *levels: Column) -> Column:
+        keys = [*levels, *[none] * (3 - len(levels))]
+        return F.struct(F.lit(family).alias("family"), *[k.alias(f"k{i}") for i, k in enumerate(keys, 1)])
+
+    way, source = F.col("direction"), F.col("policy_source")
+    single = F.array_compact(F.array(
+        counter("requests_total", way, F.col("decision")), counter("policy_decisions_total", way, F.col("decision"), source),
+        F.when(source.isin(*FALLBACK_SOURCES), counter("processing_fallback_total", source)),
+        F.when(F.col("error_stage").isNotNull(), counter("proxy_errors_total", F.col("error_stage"), F.col("error_kind"))),
+    ))
+    labels = F.transform("matched_labels", lambda label: counter("detections_total", way, label))
+    return audit.select(F.explode(F.concat(single, labels)).alias("c")).select("c.*").groupBy("family", "k1", "k2", "k3").agg(F.count("*").alias("n"))
+
+
+def snapshot(counts: DataFrame) -> DataFrame:
+    """(family, values) rows: each counter family as JSON text of its nested object, keys in order."""
+
+    def member(level: str, value: str) -> Column:
+        name = F.regexp_replace(F.col(level), r'(["\\\\])', r"\\$1")
+        return F.when(F.col(level).isNotNull(), F.struct(F.col(level).alias("k"), F.concat(F.lit('"'), name, F.lit('":'), value).alias("m")))
+
+    def inner(level: str, value: str) -> Column:
+        members = F.array_sort(F.collect_list(member(level, value)))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(members, lambda x: x["m"]), ","), F.lit("}"))
+        return F.when(F.size(members) > 0, text).otherwise(F.max(F.when(F.col(level).isNull(), F.col(value))))
+
+    rows = counts.withColumn("v", F.col("n").cast("string"))
+    rows = rows.groupBy("family", "k1", "k2").agg(inner("k3", "v").alias("v"))
+    rows = rows.groupBy("family", "k1").agg(inner("k2", "v").alias("v"))
+    return rows.groupBy("family").agg(inner("k1", "v").alias("values"))

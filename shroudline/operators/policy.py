@@ -265,17 +265,23 @@ def _through(acc: Column, table: Column) -> Column:
     )
 
 
-def merge_outcomes(outcomes: DataFrame, key: str = "stream_id", seq: str = "seq", block_size: int = BLOCK) -> DataFrame:
-    """Fold (decision, source, reason) of each stream in ``seq`` order (from 0) to one outcome per stream."""
+def merge_outcomes(outcomes: DataFrame, key: str = "stream_id", seq: str = "seq", block_size: int = BLOCK,
+                   sums: dict[str, Column] | None = None) -> DataFrame:
+    """Fold (decision, source, reason) of each stream in ``seq`` order (from 0) to one outcome per stream.
+
+    ``sums`` are added up on the way, so that counting lines or findings takes no second pass.
+    """
+    sums = sums or {}
     item = _state(ranks.action_rank(F.col("decision")), F.col("source"), F.col("reason"), F.lit(False))
     # what changes no state is NULL here, and NULLs are not collected: most lines of a stream find nothing
     idle = (F.col("decision") == "allow") & (F.col("source") == "builtin") & F.col("reason").isNull()
-    changes = outcomes.select(key, F.col(seq).cast("bigint").alias("_seq"), F.when(~idle, item).alias("_item"))
+    changes = outcomes.select(key, F.col(seq).cast("bigint").alias("_seq"), F.when(~idle, item).alias("_item"),
+                              *[column.alias(name) for name, column in sums.items()])
 
     def folded(rows: DataFrame, column: str, *by) -> DataFrame:
         """Per group the list of ``column`` in order, bound before folds look into it sixteen times."""
         listed = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct("_seq", column))))
-        grouped = rows.groupBy(key, *by).agg(listed.alias("_found"))
+        grouped = rows.groupBy(key, *by).agg(listed.alias("_found"), *[F.sum(name).alias(name) for name in sums])
         return grouped.withColumn("_list", skew.bound(F.transform("_found", lambda x: x[column]))).drop("_found")
 
     block = F.floor(F.col("_seq") / block_size).alias("_block")
@@ -283,12 +289,12 @@ def merge_outcomes(outcomes: DataFrame, key: str = "stream_id", seq: str = "seq"
     # an outcome equal to the one before it changes nothing
     distinct = F.filter("_list", lambda x, i: (i == 0) | ~x.eqNullSafe(F.get("_list", i - 1)))
     tables = lines.withColumn("_list", skew.bound(distinct)).select(
-        key, F.col("_block").alias("_seq"), F.transform(_starts(F.col("_block")), lambda s: F.aggregate("_list", s, _merge_step)).alias("_table")
+        key, F.col("_block").alias("_seq"), F.transform(_starts(F.col("_block")), lambda s: F.aggregate("_list", s, _merge_step)).alias("_table"), *sums
     )
     larger = folded(tables, "_table", block).select(
-        key, F.col("_block").alias("_seq"), F.transform(_starts(F.col("_block")), lambda s: F.aggregate("_list", s, _through)).alias("_table")
+        key, F.col("_block").alias("_seq"), F.transform(_starts(F.col("_block")), lambda s: F.aggregate("_list", s, _through)).alias("_table"), *sums
     )
-    end = folded(larger, "_table").select(key, F.aggregate("_list", _begin(), _through).alias("_end"))
+    end = folded(larger, "_table").select(key, F.aggregate("_list", _begin(), _through).alias("_end"), *sums)
     return end.select(
-        key, ranks.action_of(F.col("_end.rank")).alias("decision"), F.col("_end.source").alias("source"), F.col("_end.reason").alias("reason")
+        key, ranks.action_of(F.col("_end.rank")).alias("decision"), F.col("_end.source").alias("source"), F.col("_end.reason").alias("reason"), *sums
     )

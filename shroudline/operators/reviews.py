@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shroudline.functions import ranks
 from shroudline.operators import skew
 from shroudline.operators.sessions import MICROS, micros
 
@@ -22,16 +21,10 @@ def open_tickets(candidates: DataFrame, tickets: DataFrame, ts: str = "ts", requ
     columns = [c for c in candidates.columns if c != "fingerprint"]
     ordered = F.struct(ts, request_id, *[c for c in columns if c not in (ts, request_id)])
     pending = tickets.where(F.col("status") == "pending").select("fingerprint").distinct()
-    firsts = candidates.groupBy("fingerprint").agg(F.min(ordered).alias("_first")) if _orderable(candidates) else (
-        candidates.groupBy("fingerprint").agg(F.min_by(ordered, F.struct(ts, request_id)).alias("_first"))
-    )
+    firsts = candidates.groupBy("fingerprint").agg(F.min_by(ordered, F.struct(ts, request_id)).alias("_first"))
     return firsts.join(pending, "fingerprint", "left_anti").select("fingerprint", "_first.*").select(*candidates.columns)
 
 
-def _orderable(df: DataFrame) -> bool:
-    return not any(kind.startswith(("map", "variant")) or "map<" in kind for _, kind in df.dtypes)
-
-
 def fold_tickets(log: DataFrame) -> DataFrame:
     """Current state per ticket from ``created`` / ``resolved`` events; the latest resolution holds.
 
@@ -99,10 +92,11 @@ def apply_overrides(traffic: DataFrame, tickets: DataFrame, bin_secs: int = 900,
         F.struct("ticket_id", "status", "post_approval_action", "principal", "path", "request_sha256", "resolved_at").alias("_named"),
     )
     at = micros(F.col(ts))
-    rows = skew.lookup(traffic, named, ["review_ticket"], row_id)
-    rows = rows.withColumn("_us", at).withColumn("_bin", F.floor(at / (bin_secs * MICROS)).cast("bigint"))
+    binned = traffic.withColumn("_us", at).withColumn("_bin", F.floor(at / (bin_secs * MICROS)).cast("bigint"))
+    rows = skew.lookup(binned, named, ["review_ticket"], row_id)
+    counts = binned.groupBy("fingerprint", "_bin").agg(F.count("*").alias("n"))
     during = (F.col("from_us") <= F.col("_us")) & (F.col("_us") < F.col("until_us"))
-    rows = skew.lookup(rows, override_periods(tickets, bin_secs), ["fingerprint", "_bin"], row_id, on=during)
+    rows = skew.lookup(rows, override_periods(tickets, bin_secs), ["fingerprint", "_bin"], row_id, on=during, counts=counts)
     agrees = (
         (F.col("_named.principal") == F.col("principal")) & (F.col("_named.path") == F.col("path"))
         & (F.col("_named.request_sha256") == F.col("request_sha256")) & (F.col("_named.resolved_at") <= F.col(ts))
@@ -173,7 +167,3 @@ def trim_tickets(tickets: DataFrame, capacity: int) -> DataFrame:
 def block_reason(reason: Column, ticket_id: Column) -> Column:
     """What the audit says about a request waiting for approval."""
     return F.concat(F.coalesce(reason, F.lit("admin approval required")), F.lit("; review_ticket_id="), ticket_id)
-
-
-def strictest(decision: Column, other: Column) -> Column:
-    return ranks.stricter(decision, other)

@@ -25,11 +25,12 @@ def _binned(df: DataFrame, ts: str, ttl_secs: int) -> DataFrame:
     return df.withColumn("_us", at).withColumn("_bin", F.floor(at / (ttl_secs * MICROS)).cast("bigint"))
 
 
-def _segments(binned: DataFrame, key: str, ttl_secs: int) -> DataFrame:
-    """(session, bin, segment, n): which stretch of its session a bin belongs to."""
-    per_bin = binned.groupBy(key, "_bin").agg(
-        F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count("*").alias("n")
-    )
+def _segments(per_bin: DataFrame, key: str, ttl_secs: int) -> DataFrame:
+    """(session, bin, segment, n): which stretch of its session a bin belongs to.
+
+    ``per_bin`` has one row per bin that holds something, so a session has at most as many rows as
+    TTLs fit into the time covered.
+    """
     by_bin = Window.partitionBy(key).orderBy("_bin")
     broken = F.coalesce(F.col("_first") - F.lag("_last").over(by_bin) > ttl_secs * MICROS, F.lit(False))
     return (
@@ -42,7 +43,8 @@ def _segments(binned: DataFrame, key: str, ttl_secs: int) -> DataFrame:
 def sessionize(df: DataFrame, ttl_secs: int, key: str = "session_id", ts: str = "ts", row_id: str = "request_id") -> DataFrame:
     """Add ``segment``: a gap longer than the TTL starts the next one (a gap of exactly the TTL does not)."""
     binned = _binned(df, ts, ttl_secs)
-    segments = _segments(binned, key, ttl_secs)
+    per_bin = binned.groupBy(key, "_bin").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count("*").alias("n"))
+    segments = skew.settle(_segments(per_bin, key, ttl_secs))
     counts = segments.select(key, "_bin", "n")
     return skew.lookup(binned, segments.drop("n"), [key, "_bin"], row_id, "inner", counts=counts).drop("_bin", "_us")
 
@@ -56,12 +58,18 @@ def correlate(df: DataFrame, ttl_secs: int, threshold: int, key: str = "session_
     found nothing itself.
     """
     binned = _binned(df, ts, ttl_secs)
-    segments = _segments(binned, key, ttl_secs)
     point = F.struct(F.col("_us").alias("us"), F.col(row_id).alias("id"))
-    firsts = (
-        binned.select(key, "_bin", point.alias("_at"), F.explode(labels).alias("_label"))
+    # one pass over the rows; a row without labels still counts for its bin, and n, which only guides
+    # the splitting of hot bins, counts a row once per label
+    base = skew.settle(
+        binned.select(key, "_bin", "_us", point.alias("_at"), F.explode_outer(labels).alias("_label"))
         .groupBy(key, "_bin", "_label")
-        .agg(F.min("_at").alias("_at"))
+        .agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count("*").alias("n"), F.min("_at").alias("_at"))
+    )
+    per_bin = base.groupBy(key, "_bin").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("n").alias("n"))
+    segments = _segments(per_bin, key, ttl_secs)
+    firsts = (
+        base.where(F.col("_label").isNotNull()).select(key, "_bin", "_label", "_at")
         .join(segments.select(key, "_bin", "segment"), [key, "_bin"])
         .groupBy(key, "segment", "_label")
         .agg(F.min("_at").alias("_at"))

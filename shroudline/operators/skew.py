@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shroudline.session import shared_dir
+
 # Rows of one key a task should get at most.  A key with more is split; there are at most
 # (rows / this) such keys, which bounds the list of them that is broadcast.
 ROWS_PER_TASK = 4_000_000
@@ -20,12 +22,25 @@ def bound(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], row_id: str, how: str = "left",
+def settle(summary: DataFrame) -> DataFrame:
+    """A summary written once to the checkpoint folder and read from there by every later step.
+
+    For small results of large scans that a plan refers to several times: each reference would scan
+    again.  The copy is in shared storage, so losing executors costs nothing.
+    """
+    folder = shared_dir(summary.sparkSession)
+    context = summary.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return summary.checkpoint()
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], row_id: str | list[str], how: str = "left",
            on: Column | None = None, counts: DataFrame | None = None, target: int = ROWS_PER_TASK) -> DataFrame:
     """``rows`` joined to ``table``, whose rows match each left row at most once.
 
     Keys with more than ``target`` rows on the left are dealt out over several tasks by a hash of
-    ``row_id`` and their table rows repeated as often; other keys join as they are.  ``counts`` (keys
+    ``row_id`` (columns that tell rows apart) and their table rows repeated as often; other keys join as they are.  ``counts`` (keys
     and ``n``) saves counting where the caller has it already.  NULL keys match nothing and are
     spread by row instead of meeting in one task.
     """
@@ -36,8 +51,9 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], row_id: str, how:
     any_null = None
     for key in keys:
         any_null = F.col(key).isNull() if any_null is None else any_null | F.col(key).isNull()
-    spread = F.when(any_null, F.pmod(F.xxhash64(row_id), F.lit(1 << 20)).cast("int")).when(
-        F.col("_parts").isNotNull(), F.pmod(F.xxhash64(row_id), F.col("_parts")).cast("int")
+    mixed = F.xxhash64(*([row_id] if isinstance(row_id, str) else row_id))
+    spread = F.when(any_null, F.pmod(mixed, F.lit(1 << 20)).cast("int")).when(
+        F.col("_parts").isNotNull(), F.pmod(mixed, F.col("_parts")).cast("int")
     ).otherwise(0)
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_parts")
     repeated = (

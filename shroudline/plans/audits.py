@@ -76,14 +76,10 @@ def audit_union_dedup(spark, d):
     return flat(A.union_audit(A.build_audit(rows.where("doc_id % 3 <> 0")), A.build_audit(rows.where("doc_id % 2 = 0"))))
 
 
-@query("audit_no_raw", """SELECT count(*) AS checked, count(*) FILTER (contains(a.evidence, r.matched)) AS leaks
+@query("audit_no_raw", """SELECT count(*) AS checked, count(DISTINCT a.doc_id) FILTER (contains(a.evidence, r.matched)) AS leaks
   FROM audit a JOIN resolved r ON r.doc_id = a.doc_id""")
 def audit_no_raw(spark, d):
-    rows = V.outcomes(spark, d)
-    total = rows.agg(F.sum(F.size("resolved")).alias("checked"))
-    bad = A.leaks(rows).agg(F.count("*").alias("leaks"))
-    # both sides are single rows
-    return total.join(bad, F.lit(True))
+    return A.leak_report(V.outcomes(spark, d))
 
 
 ERRORS_SQL = """errors AS (SELECT doc_id, request_id, ts, session_id, path, who, CASE doc_id % 7 WHEN 0 THEN 'attachment' WHEN 1 THEN 'opa' WHEN 2 THEN 'auth'

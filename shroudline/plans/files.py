@@ -76,8 +76,10 @@ def text_budget(spark, d):
 def part_findings(spark, d):
     files = office_files(spark, d)
     done = A.scan_office(files, V.CONFIG, P.local_principal(), 10_000_000)
-    found = done.select("doc_id", F.explode("resolved").alias("f")).select("doc_id", "f.rule_name", "f.pointer")
-    parts = files.select("doc_id", F.explode(F.array(F.lit("/attachments/file"), F.lit("/attachments/fil"), F.lit("/other"))).alias("pointer"))
+    folder = J.work_dir(spark, "findings")
+    done.select("doc_id", F.explode("resolved").alias("f")).select("doc_id", "f.rule_name", "f.pointer").write.parquet(folder)
+    found = spark.read.schema("doc_id bigint, rule_name string, pointer string").parquet(folder)
+    parts = V.table(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit("/attachments/file"), F.lit("/attachments/fil"), F.lit("/other"))).alias("pointer"))
     return A.part_findings(found, parts, "doc_id").select("doc_id", "rule_name", "pointer", "part_pointer")
 
 

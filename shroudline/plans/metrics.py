@@ -116,10 +116,4 @@ def _map_sql(key: str, value: str) -> str:
   UNION ALL SELECT 'policy_decisions_total', to_json({_map_sql('direction', 'm')})::VARCHAR FROM (SELECT direction, {_map_sql('decision', 'm')} AS m FROM (
     SELECT direction, decision, {_map_sql('source', 'n')} AS m FROM (SELECT direction, decision, source, count(*) AS n FROM judged GROUP BY ALL) GROUP BY ALL) GROUP BY direction)""")
 def m_snapshot(spark, d):
-    audit = judged_audit(spark, d)
-    return M.snapshot({
-        "requests_total": (M.count_requests(audit), ("direction", "decision")),
-        "detections_total": (M.count_detections(V.outcomes(spark, d)), ("direction", "label")),
-        "processing_fallback_total": (M.count_fallbacks(audit), ("kind",)),
-        "policy_decisions_total": (M.count_decisions(audit), ("direction", "decision", "source")),
-    })
+    return M.snapshot(M.counter_families(judged_audit(spark, d)))
