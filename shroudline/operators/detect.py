@@ -161,10 +161,38 @@ def drop_ignored(leaves: DataFrame, config: Detection) -> DataFrame:
     return leaves.where(~F.col("pointer").isin(*config.ignore_json_pointers))
 
 
+def prefilter_batch(texts: pa.Array, patterns: tuple[str, ...], names: tuple[str, ...]) -> pa.Array:
+    """Names of the rules that match somewhere in each text, without looking for spans."""
+    matchers, together = _matchers(patterns, None)
+    if not matchers or len(texts) == 0:
+        return pa.array([[]] * len(texts), pa.list_(pa.string()))
+    keep = pc.fill_null(pc.match_substring_regex(texts, together) if together else pc.is_valid(texts), False)
+    rows = pc.indices_nonzero(keep)
+    hit_texts = texts.take(rows)
+    found: list = [[]] * len(texts)
+    hits: list[list[str]] = [[] for _ in range(len(rows))]
+    as_python = hit_texts.to_pylist()
+    for name, (test, pattern, _) in zip(names, matchers):
+        flags = pc.fill_null(pc.match_substring_regex(hit_texts, test), False).to_pylist() if test else [True] * len(rows)
+        for i, flag in enumerate(flags):
+            # the batch test may be wider than the rule
+            if flag and pattern.search(as_python[i]):
+                hits[i].append(name)
+    for row, names_hit in zip(rows.to_pylist(), hits):
+        found[row] = names_hit
+    return pa.array(found, pa.list_(pa.string()))
+
+
 def prefilter(text: Column, config: Detection) -> Column:
     """Names of the rules that can match a text at all, in rule order."""
-    tests = [F.when(text.rlike(regex.to_java(rule.pattern)), F.lit(rule.name)) for rule in config.rules]
-    return F.array_compact(F.array(*tests))
+    patterns = tuple(rule.pattern for rule in config.rules)
+    names = tuple(rule.name for rule in config.rules)
+
+    @F.arrow_udf("array<string>")
+    def matching(texts: pa.Array) -> pa.Array:
+        return prefilter_batch(texts, patterns, names)
+
+    return matching(text)
 
 
 def extract_values(text: Column, config: Detection) -> Column:

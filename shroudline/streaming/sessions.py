@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -12,6 +14,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 OUTPUT = "session_id string, row_id string, us bigint, escalated boolean"
 
 
+def _carry() -> None:
+    """Send the processors along by value: the process that sets state up on the driver's side does not
+    see files shipped to the workers."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class Correlator(StatefulProcessor):
     """Labels per session under a sliding time-to-live.
 
@@ -59,6 +67,7 @@ def correlate_stream(events: DataFrame, ttl_secs: int, threshold: int, late: str
 
     A micro-batch of one session is sorted in one task; the rate limit of the source bounds it.
     """
+    _carry()
     return (
         events.withWatermark("ts", late)
         .groupBy("session_id")
@@ -97,6 +106,7 @@ class Reassembler(StatefulProcessor):
 
 def reassemble_stream(chunks: DataFrame) -> DataFrame:
     """Lines of a live stream of chunks (stream_id, seq, chunk, last)."""
+    _carry()
     return chunks.groupBy("stream_id").transformWithStateInPandas(
         Reassembler(), outputStructType=LINE_OUTPUT, outputMode="Append", timeMode="None"
     )
