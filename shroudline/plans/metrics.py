@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shroudline.operators import metrics as M, policy as P, reviews as W, sessions as N
-from shroudline.plans import audits as PA, policies as PP, reviews as PR, sessions as PN, sql as S, views as V
+from shroudline.plans import policies as PP, reviews as PR, sessions as PN, sql as S, views as V
 from shroudline.plans.registry import query
 
 # Sources as they would be after external policy and reviews, by row.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shroudline.config import DEFAULT_POLICY_RULES
 from shroudline.functions import sql as FS
-from shroudline.operators import audits as A, lines as L, payloads as Y, policy as P
+from shroudline.operators import lines as L, payloads as Y, policy as P
 from shroudline.operators.sessions import micros
 from shroudline.plans import audits as PA, drifts as PD, payloads as PP, reviews as PR, sessions as PN, sql as S, views as V
 from shroudline.plans.registry import query

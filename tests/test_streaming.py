@@ -1,7 +1,6 @@
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from shroudline.operators import lines as L
 from shroudline.plans.streams import rocksdb
