@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import exact, lines, packing, shards, token_files, work
+from shroudline.llm import exact, lines, near, packing, shards, token_files, work
 from shroudline.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,8 @@ def token_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work.work_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op7_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.find_near(table(spark, sf_dir, "documents"), width=4)
