@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import exact, lines, near, packing, shards, token_files, work
+from shroudline.llm import exact, lines, near, packing, secrets, shards, token_files, work
 from shroudline.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,9 @@ def token_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.find_near(table(spark, sf_dir, "documents"), width=4)
+
+
+@query("op1_secrets")
+def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
