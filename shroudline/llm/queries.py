@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import exact, lines, near, packing, secrets, shards, token_files, work
+from shroudline.llm import contamination, exact, lines, near, packing, secrets, shards, token_files, work
 from shroudline.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,12 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+@query("op10_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
