@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import contamination, exact, lines, near, packing, pages, secrets, shards, token_files, work
+from shroudline.llm import contamination, exact, lines, near, packing, pages, secrets, shards, token_files, toxicity, work
 from shroudline.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,8 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pages.extract_text(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
