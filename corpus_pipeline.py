@@ -4,24 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shroudline.llm import lines, packing, work
+from shroudline.llm import contamination, lines, near, packing, toxicity, work
 from shroudline.llm.queries import table, vocabulary
 from shroudline.session import ship_package
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out lines that at least three documents share; n_chars follows the text."""
+
+def screen_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that at least three documents share go; n_chars follows the text."""
     return lines.drop_lines(docs).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) as n_chars")
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut and pack token ids into sequences."""
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five words, similarity 0.8."""
+    return near.drop_near(docs).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth or more of their words in benchmark passages go."""
+    return contamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, cut and packed into sequences."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("line dedup", line_dedup), ("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", screen_toxic), ("line dedup", dedup_lines), ("MinHash near-dedup", dedup_near),
+    ("benchmark decontamination", decontaminate), ("best-fit packing", pack),
+]
 
-# Token ids of a byte-pair encoder and a trained score are no SQL: checked stage by stage against plain code.
+# A trained score and the ids of a byte-pair encoder are no SQL: checked stage by stage against plain code.
 ORACLE_SQL = None
 
 
