@@ -18,11 +18,11 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1600, 20_000
 # Windows of words; neighbours overlap by WINDOW - STRIDE words.
 WINDOW, STRIDE = 32, 24
 WORD_SIZE, CHAR_SIZE, HIDDEN = 8, 8, 8
-GRAMS = 1 << 14
-GRAM = 3
+GRAMS = 1 << 15
+GRAM_SIZES = (3, 4, 5, 6)
 # A word of the sample has a vector of its own if it occurs this often; all words have those of their character grams.
 OFTEN = 3
-EPOCHS, BATCH, RATE = 7, 40, 0.02
+STEPS, BATCH, RATE, DECAY = 320, 40, 0.02, 0.05
 THRESHOLD = 0.3
 # Words whose input products a worker remembers; others are computed for the batch at hand.
 REMEMBERED = 250_000
@@ -38,20 +38,19 @@ def bare(chunk: str) -> str:
 
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the gram table for all words, and where each word's grams start; ``<`` and ``>`` mark the ends."""
+    """Rows of the gram table, and the word that each belongs to; ``<`` and ``>`` mark a word's ends."""
     codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words])
-    ends = np.cumsum(sizes)
-    h = np.zeros(len(codes) - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        h = (h ^ codes[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    h, rows, owners = np.zeros(len(codes), np.uint64), [], []
+    for j in range(max(GRAM_SIZES)):
+        h = (h[: len(codes) - j] ^ codes[j:]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    inside = np.ones(len(h), bool)
-    for j in range(1, GRAM):
-        cut = ends[:-1] - j
-        inside[cut[cut < len(h)]] = False
-    starts = np.r_[0, np.cumsum(sizes - GRAM + 1)[:-1]]
-    return (h[inside] % np.uint64(GRAMS)).astype(np.int64), starts
+        if j + 1 in GRAM_SIZES:
+            inside = owner[: len(h)] == owner[j:]
+            rows.append(h[inside] % np.uint64(GRAMS))
+            owners.append(owner[: len(h)][inside])
+    return np.concatenate(rows).astype(np.int64), np.concatenate(owners)
 
 
 def spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,9 +91,8 @@ class Network:
         self.shift, self.constant = 0.0, False
 
     def vectors(self, words: list[str]) -> np.ndarray:
-        rows, starts = grams_of(words)
-        count = np.diff(np.r_[starts, len(rows)])[:, None]
-        chars = np.add.reduceat(self.p["gram"][rows], starts, axis=0) / count
+        rows, owner = grams_of(words)
+        chars = scattered(owner, self.p["gram"][rows], len(words)) / np.sqrt(np.bincount(owner, minlength=len(words)))[:, None]
         own = self.p["word"][[self.vocabulary.get(w, 0) for w in words]]
         return np.concatenate([own, chars], axis=1).astype(np.float32)
 
@@ -199,7 +197,8 @@ def train(texts: list[str], labels: list[int]) -> Network:
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = min(20, -(-STEPS * BATCH // len(used)))
+    for epoch in range(epochs):
         for at in range(0, len(used), BATCH):
             mine = r.permutation(used)[:BATCH] if at + BATCH > len(used) else used[at : at + BATCH]
             chosen = [docs[i] for i in mine]
@@ -213,21 +212,22 @@ def train(texts: list[str], labels: list[int]) -> Network:
                 table[1:] = net.vectors(words)
             x = table[rows]
             logits, kept = net.forward(x, rows > 0)
-            sharp = np.exp(np.minimum(1 + epoch / 2, 3.0) * (logits - logits.max()))
+            sharp = np.exp((1 + 2 * epoch / epochs) * (logits - logits.max()))
             share = sharp / np.bincount(doc, sharp, len(mine))[doc]
             whole = np.bincount(doc, share * logits, len(mine))
             error = (sigmoid(whole) - y[mine]) * balance[mine] / len(mine)
             grad, dx = net.backward(x, kept, (share * error[doc]).astype(np.float32))
             if words:
                 dtable = scattered(rows.reshape(-1), dx.reshape(-1, dx.shape[2]), len(words) + 1)[1:]
-                grams, starts = grams_of(words)
-                size = np.diff(np.r_[starts, len(grams)])
+                grams, owner = grams_of(words)
+                size = np.sqrt(np.bincount(owner, minlength=len(words)))
                 grad["word"] = scattered(np.array([vocabulary.get(w, 0) for w in words]), dtable[:, :WORD_SIZE], len(vocabulary) + 1)
-                grad["gram"] = scattered(grams, np.repeat(dtable[:, WORD_SIZE:] / size[:, None], size, axis=0), GRAMS)
+                grad["gram"] = scattered(grams, (dtable[:, WORD_SIZE:] / size[:, None])[owner], GRAMS)
             step += 1
             for k, g in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
+                net.p[k] *= 1 - RATE * DECAY
                 net.p[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
         r.shuffle(used)
     net.shift = cut_of(Scorer(net).logits([texts[i] for i in held]), y[held])
@@ -235,12 +235,13 @@ def train(texts: list[str], labels: list[int]) -> Network:
 
 
 def cut_of(logits: np.ndarray, y: np.ndarray) -> float:
-    """The logit that separates the labels best by F1; the middle of the widest gap among equals."""
+    """The logit that separates the labels best, a clean document lost counting more than a toxic one missed (F with
+    beta 0.5); the middle of the widest gap among equals."""
     order = np.argsort(-logits)
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    fit = 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
     gap = np.r_[logits[order][:-1] - logits[order][1:], 1.0]
-    best = max(range(len(y)), key=lambda i: (round(float(f1[i]), 6), gap[i]))
+    best = max(range(len(y)), key=lambda i: (round(float(fit[i]), 6), gap[i]))
     return float(logits[order][best] - gap[best] / 2)
 
 
