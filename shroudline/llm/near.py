@@ -133,7 +133,8 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     so copies cost one row each.  Nodes meet in the buckets of their keys.  A bucket is never expanded into all its pairs: first
     each node meets the smallest node of any of its buckets, then the smallest of each bucket, and only nodes of one bucket
     that still belong to different components meet each other.  A link between nodes that are connected already changes
-    nothing, so no component loses by this.  Candidates within DISTANCE are confirmed on their full word sets.
+    nothing, so no component loses by this.  Of the last, those cannot be similar enough that have too many shingles
+    which no other node left has; such pairs are not made.  Candidates within DISTANCE are confirmed on their full word sets.
 
     Null, empty or blank text has no shingles and no links, and is its own component.  Rows with the same id are one
     document with several texts.  Rows without id link with nothing: component_id is null and they are kept.
@@ -160,8 +161,13 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     placed = with_root(members, "node", roots, "root")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     placed = settle(placed.join(mixed, "key").select("key", "node", "root", "lead"), "mixed")
-    other = placed.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-    across = placed.join(other, "key").filter("node < b and root <> other and node <> lead").select(F.col("node").alias("a"), "b").distinct()
+    known = lonely(texts.join(placed.select("node").distinct(), "node", "left_semi"), width)
+    able = placed.join(known.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "node")
+    other = able.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
+    most = F.least(F.col("n") - F.col("own"), F.col("n_b") - F.col("own_b"))  # common shingles at most
+    possible = (100 + percent) * most >= percent * (F.col("n") + F.col("n_b"))
+    met = able.join(other, "key").filter("node < b and root <> other and node <> lead").filter(possible)
+    across = met.select(F.col("node").alias("a"), "b").distinct()
     edges = edges.unionByName(confirmed(across, texts, width, percent))
     roots = settle(components(edges), "roots")
 
@@ -191,6 +197,29 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return with_root(with_root(pairs, "a", roots, "ra"), "b", roots, "rb").filter("ra <> rb").select("a", "b")
 
 
+def lonely(texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, own): shingles of each node, and how many of them no other node of ``texts`` has.
+
+    Equal hashes of different shingles can only lower ``own``.  A node with several texts counts as having none.
+    """
+    each = texts.select("node", "words").mapInArrow(exploded(width), "node long, shingle long")
+    alone = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("top")).filter("node = top")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = texts.groupBy("node").agg(F.max("n_shingles").alias("n"), F.count("*").alias("texts"))
+    return sizes.join(alone, "node", "left").select("node", "n", F.when(F.col("texts") == 1, F.coalesce("alone", F.lit(0))).otherwise(0).alias("own"))
+
+
+def exploded(width: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, hashes = zstandard.ZstdDecompressor().decompress, word_hashes()
+        for batch in batches:
+            for node, words in zip(batch.column("node").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                found = shingles(read(words).split(b" "), width, hashes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node)), pa.array(found)], ["node", "shingle"])
+
+    return run
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures are near and whose full sets are similar enough."""
     def side(name: str, *columns: str) -> DataFrame:

@@ -130,8 +130,8 @@ class Network:
         p, states, kept = self.p, [], {}
         for d in "fb":
             pre = x @ p[f"W{d}"] + p[f"b{d}"]
-            h, steps = np.zeros((x.shape[1], HIDDEN), np.float32), {}
-            hs = np.zeros((*x.shape[:2], HIDDEN), np.float32)
+            h, steps = np.zeros((x.shape[1], HIDDEN), x.dtype), {}
+            hs = np.zeros((*x.shape[:2], HIDDEN), x.dtype)
             for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
                 g = h @ p[f"U{d}"]
                 gates = sigmoid(pre[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
@@ -158,8 +158,8 @@ class Network:
         grad["c"] = slope.sum(keepdims=True)
         dhidden = dvalue[:, :, None] * p["u"] + dscore[:, :, None] * p["v"]
         for k, d in enumerate("fb"):
-            dU, dh = np.zeros_like(p[f"U{d}"]), np.zeros((x.shape[1], HIDDEN), np.float32)
-            dpre = np.zeros((*x.shape[:2], 3 * HIDDEN), np.float32)
+            dU, dh = np.zeros_like(p[f"U{d}"]), np.zeros((x.shape[1], HIDDEN), x.dtype)
+            dpre = np.zeros((*x.shape[:2], 3 * HIDDEN), x.dtype)
             for t in range(WINDOW - 1, -1, -1) if d == "f" else range(WINDOW):
                 h, z, r, new, last = steps[d][t]
                 dh = dh + dhidden[t, :, k * HIDDEN : (k + 1) * HIDDEN]
