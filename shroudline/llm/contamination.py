@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -13,17 +12,16 @@ from pyspark.sql import functions as F
 
 from shroudline.llm.work import body, settle
 
-# What a word is, and the letters that are lower-cased.
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# Words are made of digits, letters and all bytes beyond ASCII; A-Z are lower-cased, any other byte becomes a space.
+TABLE = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 0x20 for c in range(256))
 
 # Terms, and windows, that may be sent to every task; beyond this the same steps join by shuffle instead.
 MOST_TERMS = 1_000_000
 MOST_WINDOWS = 100_000
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.translate(LOWER))
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(TABLE).split()
 
 
 def windows_of(benchmark: DataFrame, width: int, item_id: str, text: str) -> DataFrame:
@@ -35,7 +33,7 @@ def windows_of(benchmark: DataFrame, width: int, item_id: str, text: str) -> Dat
             at, out = [], []
             for i, item in enumerate(batch.column("body").to_pylist()):
                 words = words_of(item)
-                found = {" ".join(words[j : j + width]) for j in range(max(1, len(words) - width + 1))} - {""}
+                found = {b" ".join(words[j : j + width]).decode() for j in range(max(1, len(words) - width + 1))} - {""}
                 at.extend([i] * len(found))
                 out.extend(found)
             yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], ["item_id", "window"])
@@ -47,12 +45,13 @@ def term_counts(docs: DataFrame, terms: Broadcast | None) -> DataFrame:
     """(term, n): occurrences in the corpus, of the given terms only if there are some; counted per batch, then added."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if terms is None else terms.value.__contains__
         for batch in batches:
             counts: Counter = Counter()
             for text in batch.column("body").to_pylist():
                 words = words_of(text)
-                counts.update(words if terms is None else filter(terms.value.__contains__, words))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+                counts.update(words if wanted is None else filter(wanted, words))
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     return docs.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -75,12 +74,12 @@ def index(docs: DataFrame, reach: Broadcast | None, width: int) -> DataFrame:
             for text in batch.column("body").to_pylist():
                 words = words_of(text)
                 sizes.append(len(words))
-                found = range(len(words)) if wanted is None else [i for i, w in enumerate(words) if w in wanted]
+                found = range(len(words)) if wanted is None else () if wanted.keys().isdisjoint(words) else [i for i, w in enumerate(words) if w in wanted]
                 row = []
                 for i in found:
                     before, after = (width - 1, width) if wanted is None else wanted[words[i]]
-                    left = "".join(f" {w}" for w in words[max(0, i - before) : i])
-                    row.append({"term": words[i], "pos": i, "left": f"{left} ", "right": "".join(f"{w} " for w in words[i : i + after])})
+                    left, right = b" ".join(words[max(0, i - before) : i]).decode(), b" ".join(words[i : i + after]).decode()
+                    row.append({"term": words[i].decode(), "pos": i, "left": f" {left} " if left else " ", "right": f"{right} " if right else ""})
                 postings.append(row)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(postings, shape)], ["row", "doc_id", "n_words", "postings"])
 
@@ -110,11 +109,13 @@ class Matches:
     benchmark's terms over all documents, and to store postings of the rarest terms of each window.  Postings are exploded
     only against windows of their own term, and a window matches where the words on both sides of the posting are its words.
 
+    ``proximity`` adds postings of the next rarest terms, which only :meth:`proximities` needs.
+
     Null text has no words.  Rows are told apart by a row number, so null and repeated ids are rows like any other.
     Items without words or id have no windows.  Either table may be empty.
     """
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, width: int = 13, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> None:
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, width: int = 13, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", proximity: bool = False) -> None:
         spark, self.width = docs.sparkSession, width
         rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), body(text).alias("body"))
         self.items = settle(windows_of(benchmark, width, item_id, item_text), "windows")
@@ -122,16 +123,16 @@ class Matches:
         self.windows = windows
         terms = windows.select(F.explode(F.split("window", " ")).alias("term")).distinct()
         small = terms.count() <= MOST_TERMS
-        sent = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if small else None
+        sent = spark.sparkContext.broadcast(frozenset(r[0].encode() for r in terms.collect())) if small else None
         counts = settle(term_counts(rows.select("body"), sent).join(terms, "term", "left_semi"), "terms")
         # what never occurs in the corpus has no match
         self.anchors = settle(placed(windows, counts).filter("n > 0"), "anchors")
         reach = None
         if small:
             first = self.anchors.select("term", F.col("at").alias("before"), (F.col("size") - F.col("at")).alias("after"))
-            second = self.anchors.filter("second is not null").select(F.col("second").alias("term"), F.lit(0).alias("before"), F.lit(0).alias("after"))
+            second = self.anchors.filter("second is not null" if proximity else "false").select(F.col("second").alias("term"), F.lit(0).alias("before"), F.lit(0).alias("after"))
             needs = first.unionByName(second).groupBy("term").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-            reach = spark.sparkContext.broadcast({r["term"]: (r["before"], r["after"]) for r in needs.collect()})
+            reach = spark.sparkContext.broadcast({r["term"].encode(): (r["before"], r["after"]) for r in needs.collect()})
         self.index = settle(index(rows, reach, width), "index")
         self.sent = self.anchors.count() <= MOST_WINDOWS
 

@@ -362,7 +362,7 @@ def test_contamination(spark, docs, texts, monkeypatch, most):
 def test_proximity(spark):
     one = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
     rows = [(0, one), (1, one.replace("beta", "beta extra words")), (2, "alpha " + "x " * 40 + "beta"), (3, None)]
-    found = contamination.Matches(frame(spark, rows), frame(spark, [(1, one)], "item_id long, text string"))
+    found = contamination.Matches(frame(spark, rows), frame(spark, [(1, one)], "item_id long, text string"), proximity=True)
     names = {r["row"]: r["doc_id"] for r in found.index.select("row", "doc_id").collect()}
     assert {names[r["row"]] for r in found.phrases().collect()} == {0}
     assert {names[r["row"]] for r in found.proximities().collect()} == {0, 1}
