@@ -207,7 +207,10 @@ def _check_rule(rule) -> None:
 
 def _pick(cls, row: dict):
     known = {f.name for f in fields(cls)}
-    return cls(**{key: tuple(value) if isinstance(value, list) else value for key, value in row.items() if key in known})
+    given = {key: tuple(value) if isinstance(value, list) else value for key, value in row.items() if key != "enabled"}
+    if unknown := sorted(set(given) - known):
+        raise ValueError(f"{cls.__name__} {row.get('name', '')}: unknown keys {unknown}")
+    return cls(**given)
 
 
 def detection_from(document: dict) -> Detection:
@@ -226,6 +229,39 @@ def principals_from(document: dict) -> tuple[Principal, ...]:
     return tuple(_pick(Principal, row) for row in document.get("auth", document).get("principals", []))
 
 
+def policy_rules_from(document: dict) -> tuple[PolicyRule, ...]:
+    """External policy rows under ``policy.rules``."""
+    rules = tuple(_pick(PolicyRule, row) for row in document.get("policy", document).get("rules", []))
+    for rule in rules:
+        if rule.action not in ranks.ACTIONS:
+            raise ValueError(f"policy rule: {rule.action!r} is none of {ranks.ACTIONS}")
+    return rules
+
+
+def hosts_from(document: dict) -> tuple[HostRule, ...]:
+    """Host rules under ``hosts``, a list of texts per list name: ``*.x`` is a wildcard, ``/x/`` a pattern, else exact."""
+    out = []
+    for name, values in document.get("hosts", {}).items():
+        if name not in ("floor", "passthrough", "intercept", "signs_body"):
+            raise ValueError(f"unknown host list {name!r}")
+        for value in values:
+            if len(value) > 1 and value.startswith("/") and value.endswith("/"):
+                out.append(HostRule(name, "regex", regex.check(value[1:-1])))
+            else:
+                out.append(HostRule(name, "wildcard" if value.startswith("*.") else "exact", value))
+    return tuple(out)
+
+
+def limits_from(document: dict, **defaults: int) -> dict[str, int]:
+    """Whole, positive limits under ``limits`` over ``defaults``; names without a default are refused."""
+    given = document.get("limits", {})
+    if unknown := sorted(set(given) - set(defaults)):
+        raise ValueError(f"unknown limits {unknown}")
+    if bad := [k for k, v in given.items() if isinstance(v, bool) or not isinstance(v, int) or v < 1]:
+        raise ValueError(f"limits {bad} must be whole and positive")
+    return {**defaults, **given}
+
+
 def parse_document(text: str, kind: str = "json") -> dict:
     """A JSON, TOML or YAML configuration text; YAML only where a parser is installed."""
     if kind in ("yaml", "yml"):

@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _UNSUPPORTED = ("(?=", "(?!", "(?<=", "(?<!", "(?>")
 
 # Class shorthands spelled out for RE2, whose own are ASCII only.  Each is at least as wide as
@@ -25,30 +28,54 @@ class UnsupportedPattern(ValueError):
     """The pattern uses a construct outside the rule dialect."""
 
 
+# POSIX classes, ASCII as in the rule dialect, as members of a character class.
+_POSIX = {
+    "alpha": "A-Za-z", "digit": "0-9", "alnum": "0-9A-Za-z", "upper": "A-Z", "lower": "a-z", "xdigit": "0-9A-Fa-f", "word": "0-9A-Za-z_",
+    "space": r"\x09-\x0d\x20", "blank": r"\x09\x20", "cntrl": r"\x00-\x1f\x7f", "punct": r"!-/:-@\[-`{-~", "graph": "!-~", "print": r"\x20-~", "ascii": r"\x00-\x7f",
+}
+
+
 def _tokens(pattern: str):
-    """(token, inside a character class) pairs; an escape is one token."""
-    i, depth = 0, 0
+    """(token, inside a character class) pairs; an escape is one token.
+
+    Inside a class ``[`` and a leading ``]`` stand for themselves and come out escaped, because the engines differ on
+    them; a POSIX class comes out as its members.
+    """
+    i, inside, first = 0, False, False
     while i < len(pattern):
         token = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
-        if token == "]" and depth:
-            depth -= 1
-        yield token, depth > 0
-        if token == "[":
-            depth += 1
         i += len(token)
+        if not inside:
+            yield token, False
+            inside = first = token == "["
+            continue
+        if first and token == "^":
+            yield token, True
+            continue
+        if token == "]" and not first:
+            inside = False
+            yield token, False
+            continue
+        first = False
+        if token == "[" and (named := re.match(r":(\w+):\]", pattern[i:])) and named[1] in _POSIX:
+            i += named.end()
+            token = _POSIX[named[1]]
+        elif token in ("[", "]", "&", "~"):
+            token = f"\\{token}"  # Java and the wider engine read [[, && and ~~ as set operations
+        yield token, True
 
 
 def check(pattern: str) -> str:
     if any(mark in pattern for mark in _UNSUPPORTED):
         raise UnsupportedPattern(f"look-around is not supported: {pattern}")
-    if any(re.fullmatch(r"\\[1-9]", token) for token, inside in _tokens(pattern) if not inside):
+    if "(?P=" in pattern or any(re.fullmatch(r"\\[1-9gk]", token) for token, inside in _tokens(pattern) if not inside):
         raise UnsupportedPattern(f"back references are not supported: {pattern}")
     return pattern
 
 
 def _end_anchor(pattern: str, anchor: str) -> str:
     if re.match(r"\(\?[a-z]*m", pattern):
-        return pattern
+        anchor = "$"
     return "".join(anchor if token == "$" and not inside else token for token, inside in _tokens(pattern))
 
 
@@ -65,6 +92,8 @@ def to_java(pattern: str) -> str:
 
 def to_re2(pattern: str) -> str | None:
     """A pattern RE2 accepts that matches wherever the rule does, or None if there is none."""
+    if re.match(r"\(\?[a-z]*[^a-z:]*x", pattern):
+        return None
     out = []
     for token, inside in _tokens(check(pattern)):
         if token in (r"\b", r"\B", r"\D", r"\W", r"\S", r"\Z"):
@@ -74,7 +103,12 @@ def to_re2(pattern: str) -> str | None:
             out.append(wide if inside else f"[{wide}]")
         else:
             out.append(token)
-    return "".join(out)
+    test = "".join(out)
+    try:
+        pc.match_substring_regex(pa.array([""]), test)
+    except pa.ArrowInvalid:
+        return None  # counts beyond its limit, for one: every text is then read for spans
+    return test
 
 
 @lru_cache(maxsize=1024)
@@ -82,7 +116,7 @@ def compiled(pattern: str):
     """Compile for span extraction; the wider engine is used only where ``re`` refuses."""
     source = to_python(pattern)
     try:
-        return re.compile(source)
+        found = re.compile(source)
     except re.error as refused:
         import regex
 
@@ -90,6 +124,106 @@ def compiled(pattern: str):
             return regex.compile(source)
         except regex.error:
             raise refused from None
+    if backtracks(source):
+        raise UnsupportedPattern(f"nested repeats that overlap take exponential time: {pattern}")
+    return found
+
+
+# Characters on which two parts of a pattern are compared: ASCII and a few beyond.
+_PROBES = [chr(c) for c in range(128)] + ["\xa0", "\xe9", "\u0660", "\u4e2d", "\u2028"]
+
+
+def backtracks(source: str) -> bool:
+    """Whether an unbounded repeat holds another, or alternatives, that can match the same text in several ways."""
+    tree = re._parser.parse(source)
+    return _ambiguous(tree, tree.state.flags)
+
+
+def _ambiguous(items, flags: int) -> bool:
+    for op, arg in items:
+        name = str(op)
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, body = arg
+            if high == re._constants.MAXREPEAT and _overlaps(body, flags):
+                return True
+            if _ambiguous(body, flags):
+                return True
+        elif name == "SUBPATTERN" and _ambiguous(arg[3], flags):
+            return True
+        elif name == "BRANCH" and any(_ambiguous(branch, flags) for branch in arg[1]):
+            return True
+    return False
+
+
+def _flat(items) -> list:
+    out = []
+    for op, arg in items:
+        out.extend(_flat(arg[3]) if str(op) == "SUBPATTERN" else [(str(op), arg)])
+    return out
+
+
+def _overlaps(body, flags: int) -> bool:
+    """A repeated body with an unbounded part that no required character outside that part's own set ends, or with
+    alternatives of which two can start alike."""
+    parts = _flat(body)
+    for i, (name, arg) in enumerate(parts):
+        if name in ("MAX_REPEAT", "MIN_REPEAT") and arg[1] == re._constants.MAXREPEAT:
+            mine = _starts(arg[2], flags)
+            walls = [x for j, x in enumerate(parts) if j != i and not (x[0] in ("MAX_REPEAT", "MIN_REPEAT") and x[1][0] == 0) and x[0] not in ("AT", "BRANCH")]
+            if not any(not (_starts([wall], flags) & mine) for wall in walls):
+                return True
+        if name == "BRANCH":
+            seen: set = set()
+            for branch in arg[1]:
+                starts = _starts(branch, flags)
+                if seen & starts or not len(branch):
+                    return True
+                seen |= starts
+    return False
+
+
+def _starts(items, flags: int) -> set:
+    """Probe characters with which a match of ``items`` can start."""
+    out: set = set()
+    for op, arg in items:
+        name = str(op)
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out |= _starts(arg[2], flags)
+            if arg[0] == 0:
+                continue
+        elif name == "SUBPATTERN":
+            out |= _starts(arg[3], flags)
+        elif name == "BRANCH":
+            out |= set().union(*(_starts(b, flags) for b in arg[1]))
+        elif name == "AT":
+            continue
+        else:
+            out |= {c for c in _PROBES if _takes(name, arg, c, flags)}
+        return out
+    return out
+
+
+def _takes(name: str, arg, char: str, flags: int) -> bool:
+    if name == "ANY":
+        return char != "\n" or bool(flags & re.S)
+    wanted = {char, char.lower(), char.upper()} if flags & re.I else {char}
+    if name in ("LITERAL", "NOT_LITERAL"):
+        return (chr(arg) in wanted) == (name == "LITERAL")
+    if name != "IN":
+        return True
+    found = negated = False
+    for kind, value in arg:
+        kind = str(kind)
+        if kind == "NEGATE":
+            negated = True
+        elif kind == "LITERAL":
+            found |= chr(value) in wanted
+        elif kind == "RANGE":
+            found |= any(len(c) == 1 and value[0] <= ord(c) <= value[1] for c in wanted)
+        elif kind == "CATEGORY":
+            letter = {"DIGIT": "d", "SPACE": "s", "WORD": "w"}[str(value).rsplit("_", 1)[-1]]
+            found |= bool(re.match(f"\\{letter.upper() if 'NOT' in str(value) else letter}", char))
+    return found != negated
 
 
 def has_group(pattern: str) -> bool:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from shroudline.functions import ranks
 from shroudline.operators import policy as P
 
-LIMIT_DEFAULT, LIMIT_MAX = 50, 500
+# How many records are listed unless a limit is given.
+LIMIT_DEFAULT = 50
 FILTERS = ("principal", "decision", "policy_source", "direction", "request_id", "session_id", "error_stage", "error_kind")
 
 # Failures that leave an audit record behind.
@@ -57,7 +58,7 @@ def build_type() -> str:
 
 
 def query_audit(audit: DataFrame, label: str | None = None, limit: int | None = None, newest: bool = False, **equal: str) -> DataFrame:
-    """Records meeting every given condition; with ``newest`` the latest ``limit`` (default 50, at most 500)."""
+    """Records meeting every given condition; with ``newest`` the latest ``limit`` (default 50)."""
     unknown = set(equal) - set(FILTERS)
     if unknown:
         raise ValueError(f"unknown filters {sorted(unknown)}")
@@ -68,7 +69,7 @@ def query_audit(audit: DataFrame, label: str | None = None, limit: int | None =
     if label is not None:
         rows = rows.where(F.array_contains("matched_labels", label))
     if newest or limit is not None:
-        rows = recent(rows, min(LIMIT_DEFAULT if limit is None else limit, LIMIT_MAX))
+        rows = recent(rows, LIMIT_DEFAULT if limit is None else limit)
     return rows
 
 
@@ -83,18 +84,31 @@ def tail_then_filter(audit: DataFrame, n: int, **conditions) -> DataFrame:
 
 
 def union_audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Records of both sources, equal ones once."""
-    return first.unionByName(second).dropDuplicates()
+    """Records of both sources, equal ones once, newest first."""
+    return first.unionByName(second).dropDuplicates().orderBy(F.col("ts").desc(), F.col("request_id").desc())
 
 
-def holds_raw(resolved: Column) -> Column:
-    """Whether the audit record of a payload holds a raw matched value; it never may."""
-    record = F.to_json(F.struct(P.evidence(resolved).alias("findings")))
-    return F.exists(F.transform(resolved, lambda f: f["matched"]), lambda value: F.contains(record, value))
+def holds_raw(record: list[Column], resolved: Column) -> Column:
+    """Whether any string of an audit record holds a raw matched value; none ever may.
+
+    ``record`` lists the record's string and string array columns; strings are looked at as they are, not as JSON.
+    """
+    strings = F.flatten(F.array(*record))
+    return F.exists(strings, lambda s: F.exists(resolved, lambda f: F.contains(s, f["matched"])))
+
+
+def record_strings(outcomes: DataFrame) -> list[Column]:
+    """Every string that the audit record of an outcome carries beside its own identifiers."""
+    evidence = P.evidence(F.col("resolved"))
+    single = [_or_null(outcomes, name) for name in ("path", "direction", "decision", "source", "reason", "request_id", "session_id")]
+    named = [f.name for f in outcomes.select(evidence.alias("e")).schema["e"].dataType.elementType.fields if f.dataType.typeName() == "string"]
+    # the hash of a value is no raw value, whatever its digits
+    lists = [F.transform(evidence, lambda e, n=name: F.coalesce(e[n], F.lit(""))) for name in named if "sha256" not in name]
+    return [F.array(*(F.coalesce(c, F.lit("")) for c in single)), *lists]
 
 
 def leak_report(outcomes: DataFrame) -> DataFrame:
     """Findings checked and records that leak, in one pass."""
     return outcomes.agg(
-        F.sum(F.size("resolved")).cast("bigint").alias("checked"), F.count_if(holds_raw(F.col("resolved"))).alias("leaks")
+        F.sum(F.size("resolved")).cast("bigint").alias("checked"), F.count_if(holds_raw(record_strings(outcomes), F.col("resolved"))).alias("leaks")
     )

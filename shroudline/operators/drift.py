@@ -278,7 +278,7 @@ def is_fresh(report_current: Column, report_baseline: Column, current: Column, b
 
 def check_thresholds(stats: DataFrame, limits: DataFrame, floor_scale: float = 1.0, ceil_scale: float = 1.0) -> DataFrame:
     """Failures per scenario against absolute limits (throughput_min, avg_max, p95_max): configuration rows."""
-    rows = stats.join(F.broadcast(limits), "scenario")
+    rows = stats.join(limits, "scenario")
     failed = F.array_compact(F.array(
         F.when(~(F.col("avg_ms") < F.col("avg_max") * ceil_scale), F.lit("avg_ms")),
         F.when(~(F.col("p95_ms") < F.col("p95_max") * ceil_scale), F.lit("p95_ms")),

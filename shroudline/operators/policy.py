@@ -31,19 +31,24 @@ FALLBACK_SOURCES = (
 
 def principals_df(spark: SparkSession, principals: tuple[Principal, ...]) -> DataFrame:
     rows = [{**row, "allowed_labels": list(row["allowed_labels"])} for row in as_rows(principals)]
+    secrets = [row["secret_sha256"].lower() for row in rows if row["secret_sha256"]]
+    if len(set(secrets)) < len(secrets):
+        raise ValueError("two callers share one secret")
     return spark.createDataFrame(rows, PRINCIPALS)
 
 
-def secret_hash(header: Column) -> Column:
-    return F.sha2(F.regexp_replace(header, "^[Bb]earer ", ""), 256)
+def secret_hash(header: Column, name: str = "authorization") -> Column:
+    """Hash of the credential; only the Authorization header carries a scheme in front of it."""
+    bare = F.regexp_replace(header, "^[Bb]earer ", "") if name.lower() == "authorization" else header
+    return F.sha2(bare, 256)
 
 
 def attach_principal(traffic: DataFrame, principals: DataFrame, header: str = "authorization") -> DataFrame:
-    """Authenticated rows with their caller (configuration table: broadcast)."""
+    """Authenticated rows with their caller; Spark broadcasts the callers where they are few."""
     callers = principals.select(
         F.lower("secret_sha256").alias("_secret"), F.struct("name", "tenant_id", "role", "clearance", "allowed_labels").alias("caller")
     )
-    return traffic.withColumn("_secret", secret_hash(F.col(header))).join(F.broadcast(callers), "_secret").drop("_secret")
+    return traffic.withColumn("_secret", secret_hash(F.col(header), header)).join(callers, "_secret").drop("_secret")
 
 
 def auth_failures(traffic: DataFrame, principals: DataFrame, header: str = "authorization") -> DataFrame:
@@ -51,8 +56,8 @@ def auth_failures(traffic: DataFrame, principals: DataFrame, header: str = "auth
     known = principals.select(F.lower("secret_sha256").alias("_secret"))
     reason = F.when(F.col(header).isNull(), F.lit("missing_credentials")).otherwise(F.lit("invalid_credentials"))
     return (
-        traffic.withColumn("_secret", secret_hash(F.col(header)))
-        .join(F.broadcast(known), "_secret", "left_anti")
+        traffic.withColumn("_secret", secret_hash(F.col(header), header))
+        .join(known, "_secret", "left_anti")
         .withColumn("reason", reason)
         .drop("_secret")
     )

@@ -27,44 +27,53 @@ def _by_position(resolved: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["f"])
 
 
-def resolve_overlaps(resolved: Column, element: str) -> Column:
+def resolve_overlaps(resolved: Column) -> Column:
     """The findings that remain when each one must start at or after the end of the one before.
 
-    ``element`` is the type of one finding, for the empty start value.
+    The fold carries one byte per finding, not the findings, because each of its steps copies what it carries.
     """
-    start = F.struct(F.lit(0).alias("until"), F.array().cast(f"array<{element}>").alias("kept"))
+    found = _by_position(resolved)
 
     def step(acc: Column, f: Column) -> Column:
-        taken = F.struct(f["byte_end"].alias("until"), F.concat(acc["kept"], F.array(f)).alias("kept"))
-        return F.when(f["byte_start"] < acc["until"], acc).otherwise(taken)
+        late = f["byte_start"] < acc["until"]
+        return F.struct(
+            F.when(late, acc["until"]).otherwise(f["byte_end"]).alias("until"), F.concat(acc["flags"], F.when(late, "0").otherwise("1")).alias("flags")
+        )
+
+    start = F.struct(F.lit(0).alias("until"), F.lit("").alias("flags"))
+    bound = F.struct(found.alias("found"), F.aggregate(found, start, step, lambda acc: acc["flags"].cast("binary")).alias("flags"))
 
-    return F.aggregate(_by_position(resolved), start, step, lambda acc: acc["kept"])
+    def kept(x: Column) -> Column:
+        return F.filter(x["found"], lambda f, i: F.substring(x["flags"], i + 1, F.lit(1)) == F.lit(b"1"))
+
+    return F.element_at(F.transform(F.array(bound), kept), 1)
 
 
 def redact_text(text: Column, resolved: Column, tokenizer: Tokenizer | None = None) -> Column:
     """The text with every kept finding replaced by its mask.
 
-    Pieces are cut from the UTF-8 bytes by byte offset and joined once, so the work grows with the
-    text and not with text times findings.
+    The bytes of the text and the kept findings are bound once; each piece is cut between two neighbours, and all are
+    joined once, so the work grows with the text plus the findings.
     """
-    raw = text.cast("binary")
+    parts = F.transform(
+        resolved,
+        lambda f: F.struct(f["byte_start"].alias("byte_start"), f["byte_end"].alias("byte_end"), f["effective_action"].alias("effective_action"),
+                           f["ord"].alias("ord"), masks.apply_mask(f["matched"], f["masking"], f["label"], tokenizer).alias("mask")),
+    )
+    bound = F.struct(resolve_overlaps(parts).alias("kept"), text.cast("binary").alias("raw"))
 
-    def between(start: Column, end: Column) -> Column:
+    def between(raw: Column, start: Column, end: Column) -> Column:
         return F.substring(raw, start + 1, end - start).cast("string")
 
-    begin = F.struct(F.lit(0).alias("until"), F.array().cast("array<string>").alias("pieces"))
-
-    def step(acc: Column, f: Column) -> Column:
-        mask = masks.apply_mask(f["matched"], f["masking"], f["label"], tokenizer)
-        pieces = F.concat(acc["pieces"], F.array(between(acc["until"], f["byte_start"]), mask))
-        return F.when(f["byte_start"] < acc["until"], acc).otherwise(
-            F.struct(f["byte_end"].alias("until"), pieces.alias("pieces"))
-        )
+    def rewritten(x: Column) -> Column:
+        def piece(f: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(x["kept"], i - 1)["byte_end"])
+            return F.concat(between(x["raw"], before, f["byte_start"]), f["mask"])
 
-    def finish(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["pieces"], F.array(between(acc["until"], F.octet_length(text)))), "")
+        last = F.coalesce(F.get(x["kept"], F.size(x["kept"]) - 1)["byte_end"], F.lit(0))
+        return F.array_join(F.concat(F.transform(x["kept"], piece), F.array(between(x["raw"], last, F.octet_length(x["raw"])))), "")
 
-    return F.when(F.size(resolved) > 0, F.aggregate(_by_position(resolved), begin, step, finish)).otherwise(text)
+    return F.when(F.size(resolved) > 0, F.element_at(F.transform(F.array(bound), rewritten), 1)).otherwise(text)
 
 
 def replace_longest_first(text: Column, replacements: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from shroudline.operators import skew
 from shroudline.operators.sessions import MICROS, micros
 
-LIST_DEFAULT, LIST_MAX = 50, 500
+# How many tickets are listed unless a limit is given.
+LIST_DEFAULT = 50
 STATUSES = ("pending", "approved", "rejected")
 
 
@@ -141,7 +142,7 @@ def list_tickets(tickets: DataFrame, status: str | None = None, limit: int | Non
     """Newest tickets of a status; an unknown status means pending, ``all`` means any."""
     wanted = status if status in ("approved", "rejected", "all") else "pending"
     rows = tickets if wanted == "all" else tickets.where(F.col("status") == wanted)
-    n = min(LIST_DEFAULT if limit is None else limit, LIST_MAX)
+    n = LIST_DEFAULT if limit is None else limit
     return rows.orderBy(F.col("created_at").desc(), F.col("ticket_id").desc()).limit(n)
 
 

@@ -70,10 +70,10 @@ def audit_tail_filter(spark, d):
     return short(A.tail_then_filter(audit(spark, d), 100, label="email"))
 
 
-@query("audit_union_dedup", f"SELECT {COLUMNS} FROM audit WHERE doc_id % 3 <> 0 UNION SELECT {COLUMNS} FROM audit WHERE doc_id % 2 = 0")
+@query("audit_union_dedup", f"SELECT {COLUMNS} FROM audit WHERE doc_id % 3 <> 0 UNION SELECT {COLUMNS} FROM audit WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
 def audit_union_dedup(spark, d):
     rows = V.outcomes(spark, d)
-    return flat(A.union_audit(A.build_audit(rows.where("doc_id % 3 <> 0")), A.build_audit(rows.where("doc_id % 2 = 0"))))
+    return flat(A.union_audit(A.build_audit(rows.where("doc_id % 3 <> 0")), A.build_audit(rows.where("doc_id % 3 = 0 or doc_id % 2 = 0"))))
 
 
 @query("audit_no_raw", """SELECT count(*) AS checked, count(DISTINCT a.doc_id) FILTER (contains(a.evidence, r.matched)) AS leaks
@@ -83,7 +83,7 @@ def audit_no_raw(spark, d):
 
 
 ERRORS_SQL = """errors AS (SELECT doc_id, request_id, ts, session_id, path, who, CASE doc_id % 7 WHEN 0 THEN 'attachment' WHEN 1 THEN 'opa' WHEN 2 THEN 'auth'
-  WHEN 3 THEN 'tokenization' WHEN 4 THEN 'config' ELSE 'review_store' END AS kind FROM traffic WHERE doc_id % 3 = 1)"""
+  WHEN 3 THEN 'tokenization' WHEN 4 THEN 'config' ELSE 'review_store' END AS kind FROM traffic)"""
 
 
 def errors(spark, d):
@@ -92,7 +92,7 @@ def errors(spark, d):
         F.when(doc % 7 == 0, "attachment").when(doc % 7 == 1, "opa").when(doc % 7 == 2, "auth").when(doc % 7 == 3, "tokenization")
         .when(doc % 7 == 4, "config").otherwise("review_store")
     )
-    return V.traffic(spark, d).where("doc_id % 3 = 1").select(
+    return V.traffic(spark, d).select(
         "request_id", "ts", "session_id", "path", "caller", F.lit("process_payload").alias("error_stage"), kind.alias("error_kind"),
         F.concat(F.lit("failed on "), "request_id").alias("error"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shroudline.config import DEFAULT_RULES, Detection, EntityRule
+from shroudline.config import DEFAULT_RULES, Detection, EntityRule, Rule
 from shroudline.functions import masks, ranks, regex, text as T, tokens
 from shroudline.operators import detect as D, policy as P, redact as R
 from shroudline.plans import sql as S, views as V
@@ -42,6 +42,22 @@ def regex_findings(spark, d):
     return D.explode_findings(found, "doc_id").groupBy("doc_id", "rule_name", "matched").agg(F.count("*").alias("n"))
 
 
+# Rules as users write them: brackets inside classes, a leading bracket, named classes, counts and anchors.
+USER_RULES = (
+    (r"[[(]\s*(\d{2,6})", r"[\[(][\t-\r\x1c-\x20]*([0-9]{2,6})", 1), (r"[^[]\s+(of|des|les)\b", r"[^\[][\t-\r ]+(of|des|les)\b", 1), (r"[]|][^]\s]*", r"[\]|][^\]\t-\r ]*", 0),
+    (r"[[:upper:]][[:digit:]]+", r"[A-Z][0-9]+", 0), (r"[%&*]{3}[^&~]", r"[%&*]{3}[^&~]", 0), (r"a{1,1500}n", r"a{1,1000}n", 0), (r"[\w.]+$", r"[\pL\pM\pN_.]+$", 0),
+)
+
+
+@query("user_rules", " UNION ALL ".join(
+    f"SELECT doc_id, 'u{i}' AS rule_name, matched, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, {S.lit(sql)}, {group})) AS matched FROM rule_docs) GROUP BY ALL"
+    for i, (_, sql, group) in enumerate(USER_RULES)).join(("WITH rule_docs AS (SELECT doc_id, text || ' [ 12345 (99 |x]y' AS text FROM scan_docs) ", "")))
+def user_rules(spark, d):
+    config = Detection(rules=tuple(Rule(f"u{i}", "user", pattern) for i, (pattern, _, _) in enumerate(USER_RULES)), high_entropy=None)
+    docs = V.scan_docs(spark, d).withColumn("text", F.concat("text", F.lit(" [ 12345 (99 |x]y")))
+    return D.explode_findings(D.detect(docs, config, pointer=F.lit("/")), "doc_id").groupBy("doc_id", "rule_name", "matched").agg(F.count("*").alias("n"))
+
+
 @query("regex_group_span", f"""SELECT doc_id, array_to_string(regexp_extract_all(text, {S.lit(PHONE)}, 1), ',') AS captured,
   array_to_string(regexp_extract_all(text, {S.lit(PHONE)}, 0), ',') AS whole FROM scan_docs""")
 def regex_group_span(spark, d):
@@ -181,8 +197,7 @@ def findings_by_label(spark, d):
   SELECT t.doc_id, coalesce(array_to_string(k.kept, ','), '') AS kept FROM traffic t LEFT JOIN kept k ON k.doc_id = t.doc_id""")
 def overlap_greedy(spark, d):
     rows = V.outcomes(spark, d)
-    element = rows.schema["resolved"].dataType.elementType.simpleString()
-    kept = F.transform(R.resolve_overlaps(F.col("resolved"), element), lambda f: f["rule_name"])
+    kept = F.transform(R.resolve_overlaps(F.col("resolved")), lambda f: f["rule_name"])
     return rows.select("doc_id", V.joined(kept).alias("kept"))
 
 
@@ -201,7 +216,7 @@ SCRUB_VIEWS = f"""raw_findings AS ({S.findings_sql('documents', 'doc_id')}),
   FROM raw_redacted r LEFT JOIN (SELECT doc_id, max({S.case('unauthorized_action', S.ACTION_RANK)}) AS top,
     string_agg(label, ',' ORDER BY ord) AS labels FROM raw_findings GROUP BY doc_id) f ON f.doc_id = r.doc_id""")
 def scrub_documents(spark, d):
-    docs = V.spread(V.table(spark, d, "documents").select("doc_id", "text"))
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
     return R.scrub(docs, V.CONFIG).select(
         "doc_id", "redacted", "decision", V.joined(F.transform("resolved", lambda f: f["label"])).alias("labels")
     )
@@ -212,7 +227,7 @@ def scrub_documents(spark, d):
   page_redacted AS ({S.redacted_sql('page_resolved', 'pages', 'page_id', 'html')})
   SELECT page_id, redacted FROM page_redacted""")
 def scrub_pages(spark, d):
-    pages = V.spread(V.table(spark, d, "pages").select("page_id", "html"))
+    pages = V.table(spark, d, "pages").select("page_id", "html")
     return R.scrub(pages, V.CONFIG, "html").select("page_id", "redacted")
 
 

@@ -85,15 +85,13 @@ def part_findings(spark, d):
 
 # Ten documents make one request; every third part is of a type that cannot be rewritten.
 @query("attachment_fallback", f"""WITH per AS (SELECT t.doc_id // 10 AS request, max(coalesce({S.case('f.unauthorized_action', S.ACTION_RANK)}, 0)) AS top,
-    bool_or(t.doc_id % 3 = 0 AND f.doc_id IS NOT NULL) AS stuck FROM scan_docs t LEFT JOIN findings f ON f.doc_id = t.doc_id AND f.rule IN (0, 3, 4) GROUP BY 1)
+    bool_or(t.doc_id % 3 = 0 AND f.doc_id IS NOT NULL) AS stuck FROM scan_docs t LEFT JOIN findings f ON f.doc_id = t.doc_id GROUP BY 1)
   SELECT request, CASE WHEN stuck AND top = 1 THEN 'review' ELSE {S.action_of('top')} END AS decision,
     CASE WHEN stuck AND top = 1 THEN 'attachment_review_fallback' ELSE 'builtin' END AS source FROM per""")
 def attachment_fallback(spark, d):
-    from shroudline.config import DEFAULT_RULES, Detection
     from shroudline.operators import detect as D
 
-    config = Detection(rules=tuple(DEFAULT_RULES[i] for i in (0, 3, 4)), high_entropy=None)
-    found = D.detect(V.scan_docs(spark, d), config, pointer=F.lit("/attachments/file"))
+    found = D.detect(V.scan_docs(spark, d), V.CONFIG, pointer=F.lit("/attachments/file"))
     parts = found.select(
         F.floor(F.col("doc_id") / 10).alias("request"), (F.col("doc_id") % 3 != 0).alias("rewritable"),
         P.resolve(F.col("findings"), P.local_principal(), F.lit("request")).alias("resolved"),

@@ -20,7 +20,7 @@ S.VIEWS["chat_redacted"] = S.redacted_sql("chat_resolved", "chat", "doc_id")
 
 
 def chat(spark, d):
-    turns = V.spread(V.table(spark, d, "conversations")).select(F.expr(CHAT_ID).alias("doc_id"), "role", "text")
+    turns = V.table(spark, d, "conversations").select(F.expr(CHAT_ID).alias("doc_id"), "role", "text")
     rows = turns.select("doc_id", "role", F.concat("text", F.expr(S.INJECT)).alias("text"), F.concat(F.lit("model-"), F.col("doc_id") % 3).alias("model"))
     body = F.to_json(F.struct(
         F.col("model"),
@@ -188,7 +188,7 @@ USAGE_SQL = f"""used AS (SELECT event_id, user_id, ts, model, p, c FROM (SELECT
 
 
 def usage_bodies(spark, d):
-    return V.spread(V.table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")).select(
+    return V.table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value").select(
         "event_id", "user_id", "ts", F.expr(USAGE).alias("body"))
 
 
@@ -224,24 +224,32 @@ def m_llm_requests(spark, d):
     return M.count_llm_requests(usage_bodies(spark, d))
 
 
-# Stream lines carrying one text each: JSON deltas, plain text, marks.
+# Stream lines carrying one text each, as JSON delta or plain, and as many marks, numbered from MARKS on.
+MARKS = 1_000_000_000
+
+
 def sse_lines(spark, d):
-    text = F.col("text")
+    text, kind = F.col("text"), F.col("kind")
+    docs = V.scan_docs(spark, d)
+    rows = docs.select("doc_id", (F.col("doc_id") % 2).alias("kind"), "text").unionByName(
+        docs.select((F.col("doc_id") + MARKS).alias("doc_id"), (F.col("doc_id") % 2 + 2).alias("kind"), F.lit("").alias("text"))
+    )
     line = (
-        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("data: "), F.to_json(F.struct(text.alias("delta")))))
-        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("data: "), F.replace(text, F.lit("\n"), F.lit(" "))))
-        .when(F.col("doc_id") % 4 == 2, F.lit("data: [DONE]")).otherwise(F.lit(": keep-alive"))
+        F.when(kind == 0, F.concat(F.lit("data: "), F.to_json(F.struct(text.alias("delta")))))
+        .when(kind == 1, F.concat(F.lit("data: "), F.replace(text, F.lit("\n"), F.lit(" "))))
+        .when(kind == 2, F.lit("data: [DONE]")).otherwise(F.lit(": keep-alive"))
     )
-    return V.scan_docs(spark, d).select("doc_id", (F.col("doc_id") % 11).alias("stream_id"), line.alias("line"))
+    return rows.select("doc_id", (F.col("doc_id") % 11).alias("stream_id"), line.alias("line"))
 
 
-SSE_SQL = f"""sse AS (SELECT doc_id, doc_id % 11 AS stream_id, CASE WHEN doc_id % 4 IN (0, 1) THEN
-    CASE WHEN doc_id % 4 = 0 THEN text ELSE trim(replace(text, chr(10), ' ')) END ELSE '' END AS text FROM scan_docs),
+SSE_SQL = f"""sse AS (SELECT doc_id, doc_id % 11 AS stream_id, doc_id % 2 AS kind,
+    CASE WHEN doc_id % 2 = 0 THEN text ELSE trim(replace(text, chr(10), ' ')) END AS text FROM scan_docs
+    UNION ALL SELECT doc_id + {MARKS}, (doc_id + {MARKS}) % 11, 2 + doc_id % 2, '' FROM scan_docs),
   sse_findings AS ({S.findings_sql('sse', 'doc_id')}),
   sse_resolved AS (SELECT *, CASE WHEN unauthorized_action = 'allow' THEN 'allow' ELSE 'redact' END AS effective_action FROM sse_findings),
   sse_redacted AS ({S.redacted_sql('sse_resolved', 'sse', 'doc_id')}),
   sse_out AS (SELECT s.doc_id, s.stream_id, coalesce(f.secret, false) AS secret, coalesce(f.top, 0) AS top, coalesce(f.n, 0) AS n,
-      CASE s.doc_id % 4 WHEN 0 THEN concat('data: ', to_json({{'delta': r.redacted}}), chr(10)) WHEN 1 THEN concat('data: ', r.redacted, chr(10))
+      CASE s.kind WHEN 0 THEN concat('data: ', to_json({{'delta': r.redacted}}), chr(10)) WHEN 1 THEN concat('data: ', r.redacted, chr(10))
         WHEN 2 THEN 'data: [DONE]' ELSE ': keep-alive' END AS line_out
     FROM sse s JOIN sse_redacted r ON r.doc_id = s.doc_id LEFT JOIN (SELECT doc_id, bool_or(label = 'secret_like') AS secret, count(*) AS n,
       max({S.case('unauthorized_action', S.ACTION_RANK)}) AS top FROM sse_resolved GROUP BY doc_id) f ON f.doc_id = s.doc_id)"""

@@ -102,7 +102,7 @@ def stream_session(spark, d):
 def stream_counters(spark, d):
     folder = J.work_dir(spark, "counters")
     events = live(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    J.run_counters(J.count_stream(events, ["event_type"]), folder).awaitTermination()
+    J.run_counters(events, ["event_type"], folder).awaitTermination()
     rows = J.latest_counters(spark, folder, ["window", "event_type"])
     return rows.select(micros(F.col("window.start")).alias("window_us"), "event_type", "n")
 

@@ -17,18 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share the rows of a few large input splits among all cores before per-row work.
-
-    A no-op where the scan already has as many splits as the cluster has cores.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df  # counted in the JVM
-
-
 def scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return spread(docs).withColumn("text", F.concat("text", F.expr(INJECT)))
+    return docs.withColumn("text", F.concat("text", F.expr(INJECT)))
 
 
 def callers() -> Column:

@@ -36,11 +36,18 @@ def build_session(app: str, master: str | None = None, conf: dict[str, str] | No
     return ship_package(builder.getOrCreate())
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a local one only where the cluster names none."""
+    """The folder every executor can reach; a new local one only where all executors are this very machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if not is_local(master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     folder = tempfile.mkdtemp(prefix="shroudline-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder

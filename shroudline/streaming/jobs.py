@@ -40,24 +40,34 @@ def redact_stream(lines: DataFrame, config: Detection, caller: Column, rules: tu
     return Y.redact_lines(lines, config, caller, rules=rules)
 
 
-def count_stream(events: DataFrame, by: list[str], ts: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counters per tumbling window; rows later than the watermark are dropped."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width), *by).agg(F.count("*").alias("n"))
+def run_counters(events: DataFrame, by: list[str], folder: str, ts: str = "ts", width: str = "1 hour", sums: tuple[str, ...] = (),
+                 trigger: dict | None = None) -> StreamingQuery:
+    """Counters per tumbling window and keys, with sums of columns.
 
-
-def run_counters(counts: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Write updated counters, each batch to its own partition, so a repeated batch replaces itself."""
+    Each batch writes what it adds to a partition of its own, so a repeated batch replaces itself, a row counts
+    however late it comes, and no state grows.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
+        added = batch.groupBy(F.window(ts, width), *by).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
+        added.write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
 
-    return run_batches(counts, folder, handle, "update", trigger)
+    return run_batches(events, folder, handle, "append", trigger)
 
 
-def latest_counters(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """The last value written per counter."""
+def latest_counters(spark: SparkSession, folder: str, keys: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """The counters as of the last batch."""
     rows = spark.read.option("basePath", f"{folder}/data").parquet(f"{folder}/data")
-    return rows.groupBy(*keys).agg(F.max_by("n", "batch_id").alias("n"))
+    return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", *sums)))
+
+
+def run_audit_sink(records: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append audit records of a stream as JSON lines, each batch to its own partition."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").json(f"{folder}/data/batch_id={batch_id}")
+
+    return run_batches(records, folder, handle, "append", trigger)
 
 
 def run_review_ingest(candidates: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:

@@ -24,11 +24,13 @@ class Correlator(StatefulProcessor):
     """Labels per session under a sliding time-to-live.
 
     Rows of a micro-batch are taken in time order.  A row older than the last one adds its labels and
-    leaves the last time alone.  State goes when a timer finds the session idle for one TTL.
+    leaves the last time alone.  No row is dropped for being late: state is kept by the clock, and goes when a
+    session got no row for one TTL and ``grace`` besides.
     """
 
-    def __init__(self, ttl_secs: int, threshold: int):
+    def __init__(self, ttl_secs: int, threshold: int, grace_secs: int = 600):
         self.ttl_us = ttl_secs * 1_000_000
+        self.idle_ms = (ttl_secs + grace_secs) * 1000
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -51,7 +53,7 @@ class Correlator(StatefulProcessor):
         self.state.update((sorted(labels), int(last)))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((last + self.ttl_us) // 1000) + 1)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame({"session_id": key[0], "row_id": batch["row_id"], "us": batch["us"], "escalated": flags})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -62,16 +64,15 @@ class Correlator(StatefulProcessor):
         pass
 
 
-def correlate_stream(events: DataFrame, ttl_secs: int, threshold: int, late: str = "10 minutes") -> DataFrame:
-    """Flag each row (session_id, row_id, ts, us, labels) of a stream.
+def correlate_stream(events: DataFrame, ttl_secs: int, threshold: int, grace_secs: int = 600) -> DataFrame:
+    """Flag each row (session_id, row_id, ts, us, labels) of a stream, late ones too.
 
     A micro-batch of one session is sorted in one task; the rate limit of the source bounds it.
     """
     _carry()
     return (
-        events.withWatermark("ts", late)
-        .groupBy("session_id")
-        .transformWithStateInPandas(Correlator(ttl_secs, threshold), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+        events.groupBy("session_id")
+        .transformWithStateInPandas(Correlator(ttl_secs, threshold, grace_secs), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
     )
 
 
@@ -79,34 +80,68 @@ LINE_OUTPUT = "stream_id string, line_no bigint, line string"
 
 
 class Reassembler(StatefulProcessor):
-    """Whole lines of a stream of chunks; the unfinished rest waits in state.
+    """Whole lines of a stream of chunks numbered from 0; the unfinished rest waits in state.
 
-    A chunk marked ``last`` ends its stream: what is left is given out as a line of its own.
+    A chunk that comes before its turn waits for it, across micro-batches, and one that comes twice is taken once.  The chunk
+    marked ``last`` ends its stream in its turn: what is left is given out as a line of its own.  A stream that got no chunk for
+    ``idle_secs`` is ended with what is there; chunks after the end are ignored until the mark of the end goes, as
+    long after it.
     """
 
+    def __init__(self, idle_secs: int = 3600):
+        self.idle_ms = idle_secs * 1000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", "rest binary, lines bigint")
+        self.handle = handle
+        self.state = handle.getValueState("rest", "rest binary, lines bigint, next bigint, done boolean")
+        self.waiting = handle.getMapState("waiting", "seq bigint", "chunk binary, last boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values("seq")
-        held, number = self.rest.get() if self.rest.exists() else (b"", 0)
-        *whole, rest = (bytes(held) + b"".join(bytes(c) for c in batch["chunk"])).split(b"\n")
-        if bool(batch["last"].any()):
-            whole += [rest] if rest else []
-            self.rest.clear()
-        else:
-            self.rest.update((rest, number + len(whole)))
-        yield pd.DataFrame({
+        rest, number, turn, done = self.state.get() if self.state.exists() else (b"", 0, 0, False)
+        for seq, chunk, last in pd.concat(rows)[["seq", "chunk", "last"]].itertuples(index=False):
+            if not done and seq >= turn:
+                self.waiting.updateValue((int(seq),), (bytes(chunk or b""), bool(last)))
+        taken = [bytes(rest)]
+        while not done and self.waiting.containsKey((turn,)):
+            chunk, done = self.waiting.getValue((turn,))
+            self.waiting.removeKey((turn,))
+            taken.append(bytes(chunk))
+            turn += 1
+        lines = self._given(key, taken, number, done)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        self.state.update((self.left, number + len(lines), turn, bool(done)))
+        yield lines
+
+    def _given(self, key, taken: list[bytes], number: int, done: bool) -> pd.DataFrame:
+        *whole, self.left = b"".join(taken).split(b"\n")
+        if done:
+            whole, self.left = whole + ([self.left] if self.left else []), b""
+        return pd.DataFrame({
             "stream_id": key[0], "line_no": range(number, number + len(whole)), "line": [line.decode("utf-8", "replace") for line in whole],
         })
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rest, number, _, done = self.state.get() if self.state.exists() else (b"", 0, 0, True)
+        if done:
+            self.state.clear()
+            self.waiting.clear()
+            return
+        held = sorted((k[0], bytes(v[0])) for k, v in self.waiting.iterator())
+        lines = self._given(key, [bytes(rest), *(chunk for _, chunk in held)], number, True)
+        self.waiting.clear()
+        self.state.update((b"", number + len(lines), 0, True))
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield lines
+
     def close(self) -> None:
         pass
 
 
-def reassemble_stream(chunks: DataFrame) -> DataFrame:
-    """Lines of a live stream of chunks (stream_id, seq, chunk, last)."""
+def reassemble_stream(chunks: DataFrame, idle_secs: int = 3600) -> DataFrame:
+    """Lines of a live stream of chunks (stream_id, seq, chunk, last), whatever the order they come in."""
     _carry()
     return chunks.groupBy("stream_id").transformWithStateInPandas(
-        Reassembler(), outputStructType=LINE_OUTPUT, outputMode="Append", timeMode="None"
+        Reassembler(idle_secs), outputStructType=LINE_OUTPUT, outputMode="Append", timeMode="ProcessingTime"
     )

@@ -136,3 +136,48 @@ def test_configuration_documents():
     assert config.ignore_json_pointers == ("/model",) and config.entities[0].min_score == 0.5
     people = principals_from({"auth": {"principals": [{"name": "a", "tenant_id": "t", "role": "r", "clearance": "public", "allowed_labels": ["email"]}]}})
     assert people[0].allowed_labels == ("email",)
+
+
+CLASSES = ["[[(]", "[^[]", "[]a]", "[^]a]", "[[:alpha:]]", "[a&&b]", r"[\]x-]", "[~|]", r"[\d.]", r"[^\s]"]
+PIECES = st.sampled_from([*CLASSES, "a", "b", r"\d", r"\s", r"\w", ".", r"\[", "(?:a|b)", "x"])
+COUNTS = st.sampled_from(["", "", "", "?", "+", "{1,3}", "{2}"])
+RULE_TEXTS = st.text(st.sampled_from(list("ab[]()x12 \n&|~-^é.")), max_size=30)
+
+
+def plain(pattern):
+    """The rule for Python's own engine, written out by hand for the named class."""
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        text = pattern.replace("[[:alpha:]]", "[A-Za-z]")
+        return re.compile(text[:-1] + r"\Z" if text.endswith("$") else text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(PIECES, COUNTS), min_size=1, max_size=5), st.booleans(), st.lists(RULE_TEXTS, min_size=1, max_size=6))
+def test_prefilter_and_spans_equal_the_plain_engine(pieces, end, texts):
+    pattern = "".join(p + c for p, c in pieces) + ("$" if end else "")
+    want = [[(m.start(), m.end()) for m in plain(pattern).finditer(t)] for t in texts]
+    got = D.scan_batch(pa.array(texts), (pattern,), None, 0.0).to_pylist()
+    assert [[(s["start"], s["end"]) for s in spans] for spans in got] == want
+    assert [bool(names) for names in D.prefilter_batch(pa.array(texts), (pattern,), ("r",)).to_pylist()] == [bool(w) for w in want]
+
+
+@pytest.mark.parametrize("pattern, text, found", [
+    (r"[[(]\s*(\d{6})", "x( 123456 ) and [123456", ["123456", "123456"]), (r"[^[]\s+secret", "a  secret", ["a  secret"]), (r"[[]foo$", "[foo\n", []),
+    (r"a{1,1500}b", "aab", ["aab"]), (r"(?x) a  b", "ab", ["ab"]),
+])
+def test_rules_that_engines_read_differently(pattern, text, found):
+    assert [s["matched"] for s in D.scan_batch(pa.array([text]), (pattern,), None, 0.0).to_pylist()[0]] == found
+
+
+@pytest.mark.parametrize("pattern", [r"(a+)+c$", r"(?:a|aa)+$", r"(?:a*b?)*c", r"(?P<x>a)(?P=x)", r"(?:[a-z]+\s?)+!"])
+def test_rules_of_exponential_time_are_refused(pattern):
+    with pytest.raises(ValueError):
+        Detection(rules=(Rule("x", "x", pattern),))
+
+
+def test_unknown_keys_are_refused():
+    with pytest.raises(ValueError):
+        detection_from({"rules": [{"name": "x", "label": "x", "pattern": "a", "unauthorised_action": "block"}]})

@@ -73,5 +73,5 @@ def test_counters_over_batches(spark, tmp_path):
     drop(spark, tmp_path, "b", [(START, "x")], schema, 2000)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
     folder = J.work_dir(spark, "t")
-    J.run_counters(J.count_stream(stream, ["kind"]), folder).awaitTermination()
+    J.run_counters(stream, ["kind"], folder).awaitTermination()
     assert {r.kind: r.n for r in J.latest_counters(spark, folder, ["window", "kind"]).collect()} == {"x": 2, "y": 1}
