@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shroudline.llm.work import body, settle
+from shroudline.llm.work import body, settle, sliced
 
 # Words are made of digits, letters and all bytes beyond ASCII; A-Z are lower-cased, any other byte becomes a space.
 TABLE = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 0x20 for c in range(256))
@@ -69,7 +69,7 @@ def index(docs: DataFrame, reach: Broadcast | None, width: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int32()), ("left", pa.string()), ("right", pa.string())]))
         wanted = None if reach is None else reach.value
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, postings = [], []
             for text in batch.column("body").to_pylist():
                 words = words_of(text)

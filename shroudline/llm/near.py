@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shroudline.llm.components import components
-from shroudline.llm.work import body, lookup, settle
+from shroudline.llm.work import body, lookup, settle, sliced
 
 # A signature: CHUNKS chunks of SYMBOLS minima, 16 bits of each.  Two signatures that differ in at most
 # 2 * CHUNKS - 1 places agree in some chunk but for one symbol at most, so the keys "chunk without symbol i" of both meet.
@@ -53,7 +53,7 @@ def normal(text: str) -> bytes:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -104,7 +104,7 @@ def word_hashes() -> WordHashes:
 def signed(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, hashes = zstandard.ZstdCompressor(level=1).compress, word_hashes()
-        for batch in batches:
+        for batch in sliced(batches):
             columns: list[list] = [[], [], [], [], [], []]
             for text in batch.column("body").to_pylist():
                 clean = normal(text)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroudline.llm.tokens import encoder
-from shroudline.llm.work import body, dense_ranks, settle
+from shroudline.llm.work import body, dense_ranks, settle, sliced
 
 # Patterns offered to the fit; the step between the smallest members of three grows until so many remain.
 PATTERNS = 12_000
@@ -49,7 +49,7 @@ def cut_pieces(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, "byte").encode
-        for batch in batches:
+        for batch in sliced(batches):
             at, columns = [], ([], [], [], [], [])
             for i, text in enumerate(batch.column("body").to_pylist()):
                 ids = encode(text) + end

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 # Chunks and pieces each worker remembers; what comes later is encoded anew, with the same ids.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 # White space and controls on which pattern engines differ; texts with them, or with a special token, are encoded whole.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000]|<\\|")

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroudline.llm.work import body
+from shroudline.llm.work import body, sliced
 
 # The bounded sample that the network is fitted on: documents of each label, of at most so many characters each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1600, 20_000
@@ -25,7 +25,7 @@ OFTEN = 3
 STEPS, BATCH, RATE, DECAY = 320, 40, 0.02, 0.05
 THRESHOLD = 0.3
 # Words whose input products a worker remembers; others are computed for the batch at hand.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*&%$#|/\\-_~`+="
 
 
@@ -336,7 +336,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
 def scoring(net: Broadcast):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             scores = scorer_of(net.value).scores(batch.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
