@@ -24,13 +24,13 @@ class Correlator(StatefulProcessor):
     """Labels per session under a sliding time-to-live.
 
     Rows of a micro-batch are taken in time order.  A row older than the last one adds its labels and
-    leaves the last time alone.  No row is dropped for being late: state is kept by the clock, and goes when a
-    session got no row for one TTL and ``grace`` besides.
+    leaves the last time alone.  No row is dropped for being late.  With ``idle_secs``, state goes when a session got
+    no row for so long by the clock.
     """
 
-    def __init__(self, ttl_secs: int, threshold: int, grace_secs: int = 600):
+    def __init__(self, ttl_secs: int, threshold: int, idle_secs: int | None = None):
         self.ttl_us = ttl_secs * 1_000_000
-        self.idle_ms = (ttl_secs + grace_secs) * 1000
+        self.idle_secs = idle_secs
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -51,9 +51,7 @@ class Correlator(StatefulProcessor):
             labels.update(found)
             flags.append(len(labels) >= self.threshold)
         self.state.update((sorted(labels), int(last)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        _restart(self, timerValues)
         yield pd.DataFrame({"session_id": key[0], "row_id": batch["row_id"], "us": batch["us"], "escalated": flags})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -64,18 +62,33 @@ class Correlator(StatefulProcessor):
         pass
 
 
-def correlate_stream(events: DataFrame, ttl_secs: int, threshold: int, grace_secs: int = 600) -> DataFrame:
+def correlate_stream(events: DataFrame, ttl_secs: int, threshold: int, idle_secs: int | None = None) -> DataFrame:
     """Flag each row (session_id, row_id, ts, us, labels) of a stream, late ones too.
 
+    A job that runs on without end gives ``idle_secs``, at least the TTL and the lateness to expect, so that state of
+    idle sessions goes; timers by the clock keep a job that stops at the end of its input from stopping.
+
     A micro-batch of one session is sorted in one task; the rate limit of the source bounds it.
     """
     _carry()
     return (
         events.groupBy("session_id")
-        .transformWithStateInPandas(Correlator(ttl_secs, threshold, grace_secs), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+        .transformWithStateInPandas(Correlator(ttl_secs, threshold, idle_secs), outputStructType=OUTPUT, outputMode="Append", timeMode=_mode(idle_secs))
     )
 
 
+def _mode(idle_secs: int | None) -> str:
+    return "None" if idle_secs is None else "ProcessingTime"
+
+
+def _restart(job, timerValues) -> None:
+    """Start the idle time of a key anew."""
+    if job.idle_secs is not None:
+        for timer in list(job.handle.listTimers()):
+            job.handle.deleteTimer(timer)
+        job.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + job.idle_secs * 1000)
+
+
 LINE_OUTPUT = "stream_id string, line_no bigint, line string"
 
 
@@ -83,13 +96,13 @@ class Reassembler(StatefulProcessor):
     """Whole lines of a stream of chunks numbered from 0; the unfinished rest waits in state.
 
     A chunk that comes before its turn waits for it, across micro-batches, and one that comes twice is taken once.  The chunk
-    marked ``last`` ends its stream in its turn: what is left is given out as a line of its own.  A stream that got no chunk for
-    ``idle_secs`` is ended with what is there; chunks after the end are ignored until the mark of the end goes, as
-    long after it.
+    marked ``last`` ends its stream in its turn: what is left is given out as a line of its own.  With ``idle_secs``, a stream that
+    got no chunk for so long is ended with what is there; chunks after the end are ignored until the mark of the end
+    goes, as long after it.
     """
 
-    def __init__(self, idle_secs: int = 3600):
-        self.idle_ms = idle_secs * 1000
+    def __init__(self, idle_secs: int | None = None):
+        self.idle_secs = idle_secs
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -108,9 +121,7 @@ class Reassembler(StatefulProcessor):
             taken.append(bytes(chunk))
             turn += 1
         lines = self._given(key, taken, number, done)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        _restart(self, timerValues)
         self.state.update((self.left, number + len(lines), turn, bool(done)))
         yield lines
 
@@ -132,16 +143,19 @@ class Reassembler(StatefulProcessor):
         lines = self._given(key, [bytes(rest), *(chunk for _, chunk in held)], number, True)
         self.waiting.clear()
         self.state.update((b"", number + len(lines), 0, True))
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        _restart(self, timerValues)
         yield lines
 
     def close(self) -> None:
         pass
 
 
-def reassemble_stream(chunks: DataFrame, idle_secs: int = 3600) -> DataFrame:
-    """Lines of a live stream of chunks (stream_id, seq, chunk, last), whatever the order they come in."""
+def reassemble_stream(chunks: DataFrame, idle_secs: int | None = None) -> DataFrame:
+    """Lines of a live stream of chunks (stream_id, seq, chunk, last), whatever the order they come in.
+
+    ``idle_secs`` is for jobs that run on without end, as with :func:`correlate_stream`.
+    """
     _carry()
     return chunks.groupBy("stream_id").transformWithStateInPandas(
-        Reassembler(idle_secs), outputStructType=LINE_OUTPUT, outputMode="Append", timeMode="ProcessingTime"
+        Reassembler(idle_secs), outputStructType=LINE_OUTPUT, outputMode="Append", timeMode=_mode(idle_secs)
     )

@@ -105,7 +105,7 @@ def test_chunks_find_their_order_across_batches():
 
     state, waiting, clock = Held(), Held(), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)
     handle = SimpleNamespace(getValueState=lambda *_: state, getMapState=lambda *_: waiting, listTimers=lambda: [], registerTimer=lambda at: None, deleteTimer=lambda at: None)
-    job = live.Reassembler()
+    job = live.Reassembler(idle_secs=60)
     job.init(handle)
 
     def feed(*chunks):
