@@ -97,13 +97,17 @@ def holds_raw(record: list[Column], resolved: Column) -> Column:
     return F.exists(strings, lambda s: F.exists(resolved, lambda f: F.contains(s, f["matched"])))
 
 
+def _field(name: str):
+    return lambda entry: entry[name]
+
+
 def record_strings(outcomes: DataFrame) -> list[Column]:
     """Every string that the audit record of an outcome carries beside its own identifiers."""
     evidence = P.evidence(F.col("resolved"))
     single = [_or_null(outcomes, name) for name in ("path", "direction", "decision", "source", "reason", "request_id", "session_id")]
     named = [f.name for f in outcomes.select(evidence.alias("e")).schema["e"].dataType.elementType.fields if f.dataType.typeName() == "string"]
     # the hash of a value is no raw value, whatever its digits
-    lists = [F.transform(evidence, lambda e, n=name: F.coalesce(e[n], F.lit(""))) for name in named if "sha256" not in name]
+    lists = [F.transform(F.transform(evidence, _field(name)), lambda s: F.coalesce(s, F.lit(""))) for name in named if "sha256" not in name]
     return [F.array(*(F.coalesce(c, F.lit("")) for c in single)), *lists]
 
 

@@ -44,7 +44,7 @@ def regex_findings(spark, d):
 
 # Rules as users write them: brackets inside classes, a leading bracket, named classes, counts and anchors.
 USER_RULES = (
-    (r"[[(]\s*(\d{2,6})", r"[\[(][\t-\r\x1c-\x20]*([0-9]{2,6})", 1), (r"[^[]\s+(of|des|les)\b", r"[^\[][\t-\r ]+(of|des|les)\b", 1), (r"[]|][^]\s]*", r"[\]|][^\]\t-\r ]*", 0),
+    (r"[[(]\s*(\d{2,6})", r"[\[(][\t-\r\x1c-\x20]*([0-9]{2,6})", 1), (r"[^[]\s+(of|des|les)[ ,.]", r"[^\[][\t-\r ]+(of|des|les)[ ,.]", 1), (r"[]|][^]\s]*", r"[\]|][^\]\t-\r ]*", 0),
     (r"[[:upper:]][[:digit:]]+", r"[A-Z][0-9]+", 0), (r"[%&*]{3}[^&~]", r"[%&*]{3}[^&~]", 0), (r"a{1,1500}n", r"a{1,1000}n", 0), (r"[\w.]+$", r"[\pL\pM\pN_.]+$", 0),
 )
 
