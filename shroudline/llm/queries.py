@@ -92,7 +92,36 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.find_near(table(spark, sf_dir, "documents"), width=4)
 
 
-@query("op1_secrets")
+def secret_spans(rank: int, kind: str) -> str:
+    """Spans of one kind: matches and the text between them, lengths added up."""
+    pattern, group, least = secrets.KINDS[kind]
+    p = "'" + pattern.replace("'", "''") + "'"
+    mixed = "AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')" if kind == "key" else ""
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s AS start_, s + length(m) AS end_ FROM (
+      SELECT doc_id, whole[i] AS m, part[i] AS v, (list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(whole[1:i-1], lambda x: length(x))), 0))::BIGINT AS s FROM (
+        SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (
+          SELECT doc_id, regexp_extract_all(text, {p}, 0) AS whole, regexp_extract_all(text, {p}, {group}) AS part, string_split_regex(text, {p}) AS gaps
+          FROM documents WHERE regexp_matches(text, {p})))) WHERE length(v) >= {least} {mixed}"""
+
+
+@query("op1_secrets", f"""
+WITH found AS ({' UNION ALL '.join(secret_spans(i, k) for i, k in enumerate(secrets.KINDS))}),
+met AS (
+  SELECT w.doc_id, w.rank, w.start_, w.end_, bool_or(o.kind IN ('access', 'ident')) AS named, bool_or(o.kind IN ('assign', 'hex', 'key')) AS keyed
+  FROM found w JOIN found o ON o.doc_id = w.doc_id AND abs(o.start_ - w.start_) <= 200 AND (o.start_ >= w.end_ OR o.end_ <= w.start_) AND o.kind <> 'endpoint'
+  WHERE w.rank > 2 GROUP BY ALL
+), spans AS (
+  SELECT f.* FROM found f LEFT JOIN met m ON m.doc_id = f.doc_id AND m.rank = f.rank AND m.start_ = f.start_
+  WHERE f.rank < 3 OR (f.kind = 'key' AND m.named) OR (f.kind = 'ident' AND m.keyed) OR (f.kind = 'endpoint' AND m.named AND m.keyed)
+), texts AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2,
+    string_agg(kind || ':' || start_ || ':' || end_, ',' ORDER BY start_, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start_ || ':' || end_, ',' ORDER BY start_, rank) AS all_
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(all_, '') AS spans
+FROM documents d LEFT JOIN texts t USING (doc_id)
+""")
 def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
