@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shroudline.llm.components import components
-from shroudline.llm.work import body, lookup, settle, sliced
+from shroudline.llm.work import body, held, lookup, settle, sliced
 
 # A signature: CHUNKS chunks of SYMBOLS minima, 16 bits of each.  Two signatures that differ in at most
 # 2 * CHUNKS - 1 places agree in some chunk but for one symbol at most, so the keys "chunk without symbol i" of both meet.
@@ -96,9 +96,8 @@ def keys(symbols: np.ndarray) -> np.ndarray:
     return mix(out.reshape(-1) ^ KEY_SALT).view(np.int64)
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return held("word hashes", WordHashes)
 
 
 def signed(width: int):
@@ -141,8 +140,8 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body(text).alias("body"))
     shape = "doc_id long, n_shingles long, s1 long, s2 long, signature binary, keys array<long>, words binary"
-    held = settle(rows.mapInArrow(signed(width), shape), "signatures")
-    linked = held.filter("s1 is not null and doc_id is not null")
+    found = settle(rows.mapInArrow(signed(width), shape), "signatures")
+    linked = found.filter("s1 is not null and doc_id is not null")
     sets = settle(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "sets")
     named = sets.select(F.col("node").alias("doc_id"), "s1", "s2")
     nodes = linked.join(named, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
@@ -173,10 +172,10 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
 
     final = with_root(sets, "node", roots, "component_id").select("s1", "s2", "n", "component_id")
     final = settle(final, "components")
-    narrow = held.select("doc_id", "n_shingles", "s1", "s2")
+    narrow = found.select("doc_id", "n_shingles", "s1", "s2")
     alone = narrow.filter("s1 is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = lookup(narrow.filter("s1 is not null and doc_id is not null"), final, ["s1", "s2"], "n", "inner")
-    out = found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    named = lookup(narrow.filter("s1 is not null and doc_id is not null"), final, ["s1", "s2"], "n", "inner")
+    out = named.select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -6,10 +6,11 @@ Ids travel as little-endian unsigned 32-bit bytes.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from shroudline.llm.work import held
+
 # Chunks and pieces each worker remembers; what comes later is encoded anew, with the same ids.
 REMEMBERED = 300_000
 
@@ -98,7 +99,6 @@ class WordLevel(Encoder):
         return b"".join(map(self.piece, WORD_PIECES.findall(chunk.lower()))) if PLAIN.match(chunk) else self.whole(chunk)
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, kind: str) -> Encoder:
-    """One per worker process and vocabulary; ``kind`` is ``byte`` or ``word``."""
-    return {"byte": ByteLevel, "word": WordLevel}[kind](path)
+    """The worker's encoder; ``kind`` is ``byte`` or ``word``."""
+    return held(("encoder", path, kind), lambda: {"byte": ByteLevel, "word": WordLevel}[kind](path))

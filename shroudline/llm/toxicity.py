@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroudline.llm.work import body, sliced
+from shroudline.llm.work import body, held, sliced
 
 # The bounded sample that the network is fitted on: documents of each label, of at most so many characters each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1600, 20_000
@@ -25,7 +25,7 @@ OFTEN = 3
 STEPS, BATCH, RATE, DECAY = 320, 40, 0.02, 0.05
 THRESHOLD = 0.3
 # Words whose input products a worker remembers; others are computed for the batch at hand.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*&%$#|/\\-_~`+="
 
 
@@ -278,7 +278,7 @@ class Scorer:
             flat, table = self.lookup([c for doc in chunks for c in doc])
             doc, start, end = spans(np.array([len(c) for c in chunks]))
             first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            found = np.concatenate([self.net.window_logits(table, placed(flat, start[i : i + 20_000], end[i : i + 20_000], 0)) for i in range(0, len(doc), 20_000)])
+            found = np.concatenate([self.net.window_logits(table, placed(flat, start[i : i + 8192], end[i : i + 8192], 0)) for i in range(0, len(doc), 8192)])
             out.append(np.maximum.reduceat(found, first))
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
@@ -289,16 +289,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-_latest: list[Scorer] = []
-
-
-def scorer_of(net: Network) -> Scorer:
-    """The worker's scorer for ``net``; a new network replaces the one before."""
-    if not _latest or _latest[0].net is not net:
-        _latest[:] = [Scorer(net)]
-    return _latest[0]
-
-
 def held_out(doc_id: str) -> Column:
     """Rows never learned from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -336,8 +326,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
 def scoring(net: Broadcast):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2000):
-            scores = scorer_of(net.value).scores(batch.column("body").to_pylist())
+        for batch in sliced(batches):
+            scores = held(("scorer", id(net.value)), lambda: Scorer(net.value)).scores(batch.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     return run

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,13 +58,26 @@ def body(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``rows`` rows: what Python holds of a batch at a time stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
+_held: list[tuple[object, object]] = []
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker remembers between tasks, one thing at a time: another key lets the one before go."""
+    if not _held or _held[0][0] != key:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
     """Join ``rows`` with ``table``, which has each key once and in ``count`` the number of rows that carry it.
 
