@@ -451,3 +451,30 @@ def test_ranks_have_no_gaps(spark):
     got = work.dense_ranks(rows, ["g"], ["id"], "rank", bucket_rows=100).collect()
     for g in (True, False):
         assert sorted(r["rank"] for r in got if r["g"] == g) == list(range(sum(r["g"] == g for r in got)))
+
+
+def unmarked(spark, pages_of):
+    rows = [(i, f"http://h.example/{i}", "".join(f"<p>{b}</p>" for b in blocks)) for i, blocks in enumerate(pages_of)]
+    got = pages.extract_text(frame(spark, rows, "page_id long, url string, html string")).collect()
+    return {r["page_id"]: r["text"].split("\n") for r in got}
+
+
+def words(name, n):
+    return " ".join(f"{name}{j}" for j in range(n))
+
+
+def test_pages_keep_what_few_pages_repeat(spark):
+    """Short sentences and long passages on some pages of a host stay; a frame on all pages goes."""
+    frame_of, quote = words("frame", 30), words("quote", 30)
+    made = [[frame_of, words(f"own{i}x", 40), *(["See the table below"] if i % 3 == 0 else []), *([quote] if i < 2 else [])] for i in range(60)]
+    got = unmarked(spark, made)
+    assert got == {i: blocks[1:] for i, blocks in enumerate(made)}
+
+
+def test_pages_published_twice_keep_their_text(spark):
+    """Pages without article under several urls are one page; so their text is no run, and a frame is still found."""
+    frame_of = words("frame", 30)
+    made = [[frame_of, words(f"own{i // 4}x", 40), "Short line", f"Of {i // 4} only"] for i in range(24)]
+    got = unmarked(spark, made)
+    assert got == {i: [blocks[1], blocks[3]] for i, blocks in enumerate(made)}
+    assert unmarked(spark, [[words("own", 40), "Short line"]] * 5) == dict.fromkeys(range(5), [words("own", 40), "Short line"])
