@@ -478,3 +478,10 @@ def test_pages_published_twice_keep_their_text(spark):
     got = unmarked(spark, made)
     assert got == {i: [blocks[1], blocks[3]] for i, blocks in enumerate(made)}
     assert unmarked(spark, [[words("own", 40), "Short line"]] * 5) == dict.fromkeys(range(5), [words("own", 40), "Short line"])
+
+
+def test_pages_find_every_repeated_run(spark):
+    """A repeated block goes also when its first word differs on each page, whatever its words are."""
+    made = [[f"on day{i} {words(f'notice{k}x', 18)}" for k in range(30)] + [words(f"own{i}x", 40)] for i in range(4)]
+    got = unmarked(spark, made)
+    assert got == {i: blocks[-1:] for i, blocks in enumerate(made)}
