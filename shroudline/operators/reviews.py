@@ -26,6 +26,53 @@ def open_tickets(candidates: DataFrame, tickets: DataFrame, ts: str = "ts", requ
     return firsts.join(pending, "fingerprint", "left_anti").select("fingerprint", "_first.*").select(*candidates.columns)
 
 
+def open_history(candidates: DataFrame, resolutions: DataFrame, opened: DataFrame | None = None, bin_secs: int = 900, ts: str = "ts", request_id: str = "request_id") -> DataFrame:
+    """The requests of a history that open a ticket: those whose fingerprint has no ticket pending at their time.
+
+    A ticket goes by the id of its request and is pending until the first of its ``resolutions`` (ticket_id, resolved_at) that is not
+    before it; a request of the same time finds it resolved.  Resolutions of requests that opened none change nothing.  ``opened`` are
+    tickets from before: each fingerprint goes on from its latest one, and requests up to that one open nothing.
+
+    Each request points to the request that would open the next ticket, found inside its bin or through one row per later bin;
+    those reached from the first of their fingerprint are found in rounds that double the reach, so no fingerprint is walked in one task.
+    """
+    held = F.struct(*candidates.columns)
+    named = (F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), micros(F.col(ts)).alias("_us"), F.coalesce(F.col(request_id).cast("string"), F.lit("")).alias("_id"))
+    rows = candidates.select(*named, held.alias("_row"), F.lit(1).alias("_new"))
+    if opened is not None:
+        before = opened.select(*named)
+        before = before.groupBy("fingerprint").agg(F.max(F.struct("_us", "_id")).alias("_last")).select("fingerprint", "_last.*")
+        seeds = before.select("*", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(0).alias("_new"))
+        floor = before.select("fingerprint", F.struct("_us", "_id").alias("_floor"))
+        rows = rows.join(floor, "fingerprint", "left").where(F.col("_floor").isNull() | (F.struct("_us", "_id") > F.col("_floor"))).drop("_floor").unionByName(seeds)
+    rows = rows.groupBy("fingerprint", "_id").agg(F.min_by(F.struct("_us", "_row", "_new"), F.struct("_us")).alias("_x")).select("fingerprint", "_id", "_x.*")
+    closing = resolutions.select(F.col("ticket_id").cast("string").alias("_id"), micros(F.col("resolved_at")).alias("_at"))
+    closing = rows.select("fingerprint", "_id", "_us").join(closing, "_id").where("_at >= _us").groupBy("fingerprint", "_id").agg(F.min("_at").alias("_done"))
+    rows = skew.settle(rows.join(closing, ["fingerprint", "_id"], "left"))
+
+    # places of requests, and places after which the next one opens; at equal times requests are in order of id
+    asked = rows.select("fingerprint", F.struct(F.col("_us").alias("us"), F.lit(1).alias("k"), F.col("_id").alias("id"), F.lit(0).alias("probe")).alias("_at"), F.col("_id").alias("_target"), F.lit(None).cast("string").alias("_from"))
+    same = F.col("_done") == F.col("_us")
+    place = F.struct(F.col("_done").alias("us"), F.when(same, 1).otherwise(0).alias("k"), F.when(same, F.col("_id")).otherwise("").alias("id"), F.lit(1).alias("probe"))
+    probes = rows.where("_done is not null").select("fingerprint", place.alias("_at"), F.lit(None).cast("string").alias("_target"), F.col("_id").alias("_from"))
+    both = asked.unionByName(probes).withColumn("_bin", F.floor(F.col("_at.us") / (bin_secs * MICROS)).cast("bigint"))
+    firsts = both.groupBy("fingerprint", "_bin").agg(F.min(F.when(F.col("_target").isNotNull(), F.struct("_at", "_target"))).alias("_first"))
+    after = Window.partitionBy("fingerprint").orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select("fingerprint", "_bin", F.first("_first._target", ignorenulls=True).over(after).alias("_later"))
+    inside = Window.partitionBy("fingerprint", "_bin").orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
+    found = both.withColumn("_inside", F.first("_target", ignorenulls=True).over(inside)).where("_from is not null").join(firsts, ["fingerprint", "_bin"])
+    jumps = found.select("fingerprint", F.col("_from").alias("_id"), F.coalesce("_inside", "_later").alias("_to")).where("_to is not null")
+
+    reached = rows.groupBy("fingerprint").agg(F.min(F.struct("_us", "_id")).alias("_x")).select("fingerprint", "_x._id")
+    jumps, reached = skew.settle(jumps), skew.settle(reached)
+    while not jumps.isEmpty():
+        ahead = reached.join(jumps, ["fingerprint", "_id"]).select("fingerprint", F.col("_to").alias("_id"))
+        reached = skew.settle(reached.unionByName(ahead).distinct())
+        second = jumps.select("fingerprint", F.col("_id").alias("_to"), F.col("_to").alias("_next"))
+        jumps = skew.settle(jumps.join(second, ["fingerprint", "_to"]).select("fingerprint", "_id", F.col("_next").alias("_to")))
+    return rows.join(reached, ["fingerprint", "_id"], "left_semi").where("_new = 1").select("_row.*")
+
+
 def fold_tickets(log: DataFrame) -> DataFrame:
     """Current state per ticket from ``created`` / ``resolved`` events; the latest resolution holds.
 

@@ -37,7 +37,11 @@ REVIEW_SQL = f"""base AS (SELECT *, epoch_us(ts) AS us, {TENANT} AS tenant_id, {
 
 
 def base(spark, d):
-    events = V.table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return rows_of(V.table(spark, d, "events"))
+
+
+def rows_of(events):
+    events = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     return (
         events.withColumn("tenant_id", F.expr(TENANT)).withColumn("path", F.expr(PATH))
         .withColumn("request_sha256", F.sha2(F.expr(BODY), 256)).withColumn("principal", F.concat(F.lit("user-"), "user_id"))
@@ -103,6 +107,23 @@ def review_open_dedup(spark, d):
     return W.open_tickets(asked, old, "ts", "event_id").select("fingerprint", micros(F.col("ts")).alias("opened_us"), "event_id")
 
 
+HISTORY_SQL = f"""WITH RECURSIVE {REVIEW_SQL},
+  asked AS (SELECT b.event_id, b.us, b.fingerprint, min(l.at_us) AS done FROM base b LEFT JOIN log l ON l.type = 'resolved'
+    AND l.ticket_id = concat('t', b.event_id) AND l.at_us >= b.us WHERE b.event_type = 'signup' GROUP BY ALL),
+  chain AS (SELECT fingerprint, arg_min({{'us': us, 'id': event_id, 'done': done}}, (us, concat('t', event_id))) AS o FROM asked GROUP BY fingerprint
+    UNION ALL SELECT c.fingerprint, arg_min({{'us': a.us, 'id': a.event_id, 'done': a.done}}, (a.us, concat('t', a.event_id))) AS o FROM chain c JOIN asked a
+      ON a.fingerprint = c.fingerprint AND a.us >= c.o.done AND (a.us, concat('t', a.event_id)) > (c.o.us, concat('t', c.o.id)) GROUP BY c.fingerprint)
+  SELECT fingerprint, o.id AS event_id FROM chain"""
+
+
+@query("review_open_history", HISTORY_SQL)
+def review_open_history(spark, d):
+    """Sign-ups open tickets, also again after the ticket before was resolved."""
+    asked = base(spark, d).where("event_type = 'signup'").select("fingerprint", "event_id", "ts", F.concat(F.lit("t"), "event_id").alias("request_id"))
+    resolutions = review_log(spark, d).where("type = 'resolved'").select("ticket_id", "resolved_at")
+    return W.open_history(asked, resolutions).select("fingerprint", "event_id")
+
+
 AT_US = 1705320000000000
 
 

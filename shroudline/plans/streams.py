@@ -120,6 +120,18 @@ def stream_review(spark, d):
     return spark.read.option("basePath", f"{folder}/data").parquet(f"{folder}/data").select("fingerprint", "event_id")
 
 
+@query("stream_review_reopen", PR.HISTORY_SQL)
+def stream_review_reopen(spark, d):
+    """Ticket ingest fed with the resolutions that the events give."""
+    folder = J.work_dir(spark, "reopen")
+    log = PR.review_log(spark, d).where("type = 'resolved'").select("ticket_id", "status", "resolved_at")
+    log.write.parquet(f"{folder}/log")
+    asked = PR.rows_of(live(spark, d, "events")).where("event_type = 'signup'").select("fingerprint", "event_id", "ts", F.concat(F.lit("t"), "event_id").alias("request_id"))
+    resolutions = spark.readStream.schema(log.schema).parquet(f"{folder}/log")
+    J.run_review_ingest(asked, folder, resolutions=resolutions).awaitTermination()
+    return spark.read.option("basePath", f"{folder}/data").parquet(f"{folder}/data").select("fingerprint", "event_id")
+
+
 def audit_records(spark, d):
     return PA.audit(spark, d).withColumn("ts", F.timestamp_seconds("ts"))
 

@@ -70,22 +70,42 @@ def run_audit_sink(records: DataFrame, folder: str, trigger: dict | None = None)
     return run_batches(records, folder, handle, "append", trigger)
 
 
-def run_review_ingest(candidates: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Open tickets from a stream of requests sent to review: one pending ticket per fingerprint.
+def run_review_ingest(candidates: DataFrame, folder: str, trigger: dict | None = None, resolutions: DataFrame | None = None) -> StreamingQuery:
+    """Open tickets from a stream of requests sent to review: at most one pending ticket per fingerprint.
 
-    Tickets of earlier batches are read back from the ticket table; a batch writes its own partition
-    and ignores that partition when it runs again.
+    ``resolutions`` is the stream of (ticket_id, status, resolved_at), a ticket going by its request_id.  Each batch folds the tickets and
+    resolutions of earlier batches with its own, so a fingerprint opens again after its ticket was resolved.  Without it no ticket
+    is ever resolved.  A batch writes partitions of its own and ignores them when it runs again.  Time is that of the events: what
+    comes late opens no ticket before the latest one of its fingerprint.
     """
+    inner = candidates.select(F.struct("*").alias("asked"))
+    shape = inner.schema["asked"].dataType
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
+    if resolutions is not None:
+        closed = resolutions.select(F.struct(F.col("ticket_id").cast("string").alias("ticket_id"), "status", "resolved_at").alias("resolved"))
+        inner = inner.unionByName(closed, allowMissingColumns=True)
+    else:
+        inner = inner.withColumn("resolved", F.lit(None).cast(RESOLUTION))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         from shroudline.operators import reviews as W
 
         spark = batch.sparkSession
-        table = f"{folder}/data"
-        schema = f"{', '.join(f'`{name}` {kind}' for name, kind in batch.dtypes)}, status string, batch_id int"
-        spark.createDataFrame([], schema.replace(", batch_id int", "")).write.mode("ignore").parquet(f"{table}/batch_id=-1")
-        tickets = spark.read.schema(schema).option("basePath", table).parquet(table).where(F.col("batch_id") < batch_id)
-        opened = W.open_tickets(batch, tickets).withColumn("status", F.lit("pending"))
-        opened.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-
-    return run_batches(candidates, folder, handle, "append", trigger)
+        known = _earlier(spark, f"{folder}/resolutions", "ticket_id string, status string, resolved_at timestamp", batch_id)
+        batch.where("resolved is not null").select("resolved.*").write.mode("overwrite").parquet(f"{folder}/resolutions/batch_id={batch_id}")
+        tickets = _earlier(spark, f"{folder}/data", f"{fields}, status string", batch_id)
+        closed = known.unionByName(batch.where("resolved is not null").select("resolved.*"))
+        opened = W.open_history(batch.where("asked is not null").select("asked.*"), closed, tickets)
+        opened.withColumn("status", F.lit("pending")).write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
+
+    return run_batches(inner, folder, handle, "append", trigger)
+
+
+RESOLUTION = "struct<ticket_id:string,status:string,resolved_at:timestamp>"
+
+
+def _earlier(spark: SparkSession, table: str, fields: str, batch_id: int) -> DataFrame:
+    """What batches before this one have written."""
+    spark.createDataFrame([], fields).write.mode("ignore").parquet(f"{table}/batch_id=-1")
+    rows = spark.read.schema(f"{fields}, batch_id int").option("basePath", table).parquet(table)
+    return rows.where(F.col("batch_id") < batch_id).drop("batch_id")

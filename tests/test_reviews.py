@@ -102,3 +102,15 @@ def test_listing(spark):
 def test_fingerprint(spark):
     got = spark.range(1).select(W.fingerprint(F.lit("t"), F.lit("/p"), F.lit("s"))).first()[0]
     assert got == hashlib.sha256(b"t|/p|s").hexdigest()
+
+
+def test_history_opens_again_after_a_resolution(spark):
+    asked = spark.createDataFrame(
+        [(i, at(s), fp) for i, s, fp in [("a", 0, "f"), ("b", 5, "f"), ("c", 10, "f"), ("d", 11, "f"), ("e", 4000, "f"), ("g", 4001, "f"), ("h", 3, "z"), ("i", 3, "z"), ("j", 3, "z")]],
+        "request_id string, ts timestamp, fingerprint string")
+    # b opened nothing, so its resolution is nobody's; h is resolved at once, i is not
+    done = spark.createDataFrame([(i, at(s)) for i, s in [("a", 10), ("a", 20), ("b", 6), ("c", 3000), ("e", 3999), ("h", 3)]], "ticket_id string, resolved_at timestamp")
+    for bins in (1, 900):
+        assert sorted(r.request_id for r in W.open_history(asked, done, None, bins).collect()) == ["a", "c", "e", "h", "i"]
+    before = asked.where("request_id = 'c'")
+    assert sorted(r.request_id for r in W.open_history(asked, done, before).collect()) == ["e", "h", "i"]

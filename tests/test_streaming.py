@@ -75,3 +75,19 @@ def test_counters_over_batches(spark, tmp_path):
     folder = J.work_dir(spark, "t")
     J.run_counters(stream, ["kind"], folder).awaitTermination()
     assert {r.kind: r.n for r in J.latest_counters(spark, folder, ["window", "kind"]).collect()} == {"x": 2, "y": 1}
+
+
+def test_review_ingest_reopens_after_resolution(spark, tmp_path):
+    def after(hours):
+        return START + dt.timedelta(hours=hours)
+
+    asked, closed = "request_id string, ts timestamp, fingerprint string", "ticket_id string, status string, resolved_at timestamp"
+    drop(spark, tmp_path / "in", "a", [("r1", START, "f"), ("r2", after(1), "f"), ("r3", after(3), "f"), ("g1", START, "g")], asked, 1000)
+    drop(spark, tmp_path / "in", "b", [("r4", after(5), "f"), ("g2", after(5), "g"), ("g3", after(7), "g")], asked, 2000)
+    drop(spark, tmp_path / "done", "a", [("r1", "approved", after(2)), ("r2", "approved", after(2))], closed, 1000)
+    drop(spark, tmp_path / "done", "b", [("g1", "rejected", after(6))], closed, 2000)
+    folder = J.work_dir(spark, "t")
+    streams = [spark.readStream.schema(x).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{d}/*") for x, d in ((asked, "in"), (closed, "done"))]
+    J.run_review_ingest(streams[0], folder, resolutions=streams[1]).awaitTermination()
+    rows = spark.read.option("basePath", f"{folder}/data").parquet(f"{folder}/data").collect()
+    assert sorted(r.request_id for r in rows) == ["g1", "g3", "r1", "r3"]
