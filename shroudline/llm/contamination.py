@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shroudline.llm.work import body, settle, sliced
+from shroudline.llm.work import body, fresh, settle, sliced
 
 # Words are made of digits, letters and all bytes beyond ASCII; A-Z are lower-cased, any other byte becomes a space.
 TABLE = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 0x20 for c in range(256))
@@ -187,6 +187,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, *
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
-    """``docs`` without the contaminated ones; ids are taken as unique here."""
-    gone = find_contamination(docs, benchmark, doc_id=doc_id, **names).filter("contaminated").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    """``docs`` without the contaminated ones.  Each row goes by its own text, also without id or with an id that others have."""
+    (number,) = fresh(docs, "number")
+    rows = settle(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
+    gone = find_contamination(rows, benchmark, doc_id=number, **names).filter("contaminated").select(F.col("doc_id").alias(number))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shroudline.llm.components import components
-from shroudline.llm.work import body, held, lookup, settle, sliced
+from shroudline.llm.work import body, fresh, held, lookup, settle, sliced
 
 # A signature: CHUNKS chunks of SYMBOLS minima, 16 bits of each.  Two signatures that differ in at most
 # 2 * CHUNKS - 1 places agree in some chunk but for one symbol at most, so the keys "chunk without symbol i" of both meet.
@@ -180,9 +180,16 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates."""
-    gone = find_near(docs, doc_id, text, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    """``docs`` with one row of each group of near duplicates: the one of the smallest id.
+
+    Rows are numbered in order of their ids, so those with one id are judged each by its own text.  Rows without id are kept.
+    """
+    (number,) = fresh(docs, "number")
+    order = (F.col(doc_id).cast("long"), F.xxhash64(body(text)))
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = settle(ordered.withColumn(number, F.when(F.col(doc_id).isNotNull(), F.monotonically_increasing_id())), "ordered")
+    gone = find_near(rows, number, text, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(number))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def with_root(rows: DataFrame, node: str, roots: DataFrame, name: str) -> DataFrame:

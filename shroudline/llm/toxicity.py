@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroudline.llm.work import body, held, sliced
+from shroudline.llm.work import body, fresh, held, sliced
 
 # The bounded sample that the network is fitted on: documents of each label, of at most so many characters each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1600, 20_000
@@ -318,12 +318,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     or none, every score is 0.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("body"))
-    net = rows.sparkSession.sparkContext.broadcast(train(*sample(rows, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")))))
+    net = trained(rows, labels)
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.select("doc_id", held_out("doc_id").alias("held_out"), "body").mapInArrow(scoring(net), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def trained(rows: DataFrame, labels: DataFrame) -> Broadcast:
+    return rows.sparkSession.sparkContext.broadcast(train(*sample(rows, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")))))
+
+
 def scoring(net: Broadcast):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -334,6 +338,17 @@ def scoring(net: Broadcast):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those predicted toxic; ids are taken as unique here."""
-    gone = score_documents(docs, labels, doc_id, text).filter("predicted = 1").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    """``docs`` without those predicted toxic.  Each row goes by its own text, also without id or with an id that others have."""
+    net = trained(docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("body")), labels)
+    (said,) = fresh(docs, "body")
+    return docs.withColumn(said, body(text)).mapInArrow(clean(net, said, docs.columns), docs.schema)
+
+
+def clean(net: Broadcast, text: str, columns: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            scores = held(("scorer", id(net.value)), lambda: Scorer(net.value)).scores(batch.column(text).to_pylist())
+            kept = batch.filter(pa.array(np.asarray(scores) < THRESHOLD))
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in columns], columns)
+
+    return run

@@ -485,3 +485,25 @@ def test_pages_find_every_repeated_run(spark):
     made = [[f"on day{i} {words(f'notice{k}x', 18)}" for k in range(30)] + [words(f"own{i}x", 40)] for i in range(4)]
     got = unmarked(spark, made)
     assert got == {i: blocks[-1:] for i, blocks in enumerate(made)}
+
+
+def test_stages_judge_each_row_by_its_own_text(spark):
+    """Rows without id and with an id of others: what is rejected goes, what is clean stays."""
+    def texts_of(df):
+        return sorted(r["text"] for r in df.collect())
+
+    passage, clean = words("bench", 20), words("clean", 20)
+    rows = [(None, passage), (None, clean), (1, passage), (1, clean), (2, passage + " x")]
+    items = frame(spark, [(1, passage)], "item_id long, text string")
+    assert texts_of(contamination.drop_contaminated(frame(spark, rows), items)) == [clean, clean]
+
+    rows = [(1, words("one", 60)), (2, words("one", 60) + " x"), (2, words("two", 60)), (3, words("two", 60)), (None, words("three", 60))]
+    assert texts_of(near.drop_near(frame(spark, rows).repartition(3))) == sorted([words("one", 60), words("two", 60), words("three", 60)])
+
+    r = np.random.default_rng(1)
+    vocabulary = ["".join(r.choice(list("bcdfaeio"), 5)) for _ in range(200)]
+    learn = [(i, " ".join([*r.choice(vocabulary, 20), *["vile"] * (4 * (i % 4 == 0))])) for i in range(600)]
+    bad, good = " ".join(["vile"] * 4 + vocabulary[:20]), " ".join(vocabulary[:20])
+    labels = frame(spark, [(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    kept = [x["text"] for x in toxicity.drop_toxic(frame(spark, [*learn, (None, bad), (None, good), (7000, bad), (7000, good)]), labels).collect()]
+    assert kept.count(good) == 2 and bad not in kept
