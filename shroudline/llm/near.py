@@ -22,7 +22,7 @@ from shroudline.llm.work import body, fresh, held, lookup, settle, sliced
 # A pair of similarity 0.8 has no such chunk once in 600,000 times, one of 0.85 once in 60 million.
 CHUNKS, SYMBOLS = 10, 5
 WIDTH = CHUNKS * SYMBOLS
-# Candidates further apart than this are not confirmed; similarity 0.8 exceeds it once in 50 million times.
+# Candidates further apart than this are not confirmed; similarity 0.8 exceeds it once in 2 million times.
 DISTANCE = 25
 
 SPACES = np.zeros(256, bool)
@@ -161,11 +161,12 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     placed = settle(placed.join(mixed, "key").select("key", "node", "root", "lead"), "mixed")
     known = lonely(texts.join(placed.select("node").distinct(), "node", "left_semi"), width)
-    able = placed.join(known.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "node")
+    able = placed.join(known.filter(F.col("n").isNull() | (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))), "node")
     other = able.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
-    most = F.least(F.col("n") - F.col("own"), F.col("n_b") - F.col("own_b"))  # common shingles at most
+    # common shingles at most; least() passes over nulls, but the sum of sizes below is null if one is
+    most = F.least(F.col("n") - F.col("own"), F.col("n_b") - F.col("own_b"))
     possible = (100 + percent) * most >= percent * (F.col("n") + F.col("n_b"))
-    met = able.join(other, "key").filter("node < b and root <> other and node <> lead").filter(possible)
+    met = able.join(other, "key").filter("node < b and root <> other and node <> lead").filter(F.coalesce(possible, F.lit(True)))
     across = met.select(F.col("node").alias("a"), "b").distinct()
     edges = edges.unionByName(confirmed(across, texts, width, percent))
     roots = settle(components(edges), "roots")
@@ -206,13 +207,14 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def lonely(texts: DataFrame, width: int) -> DataFrame:
     """(node, n, own): shingles of each node, and how many of them no other node of ``texts`` has.
 
-    Equal hashes of different shingles can only lower ``own``.  A node with several texts counts as having none.
+    Equal hashes of different shingles can only lower ``own``.  A node with several texts has no one size:
+    its ``n`` is null, and no pair of it is ruled out.
     """
     each = texts.select("node", "words").mapInArrow(exploded(width), "node long, shingle long")
     alone = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("top")).filter("node = top")
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
     sizes = texts.groupBy("node").agg(F.max("n_shingles").alias("n"), F.count("*").alias("texts"))
-    return sizes.join(alone, "node", "left").select("node", "n", F.when(F.col("texts") == 1, F.coalesce("alone", F.lit(0))).otherwise(0).alias("own"))
+    return sizes.join(alone, "node", "left").select("node", F.when(F.col("texts") == 1, F.col("n")).alias("n"), F.coalesce("alone", F.lit(0)).alias("own"))
 
 
 def exploded(width: int):

@@ -507,3 +507,12 @@ def test_stages_judge_each_row_by_its_own_text(spark):
     labels = frame(spark, [(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
     kept = [x["text"] for x in toxicity.drop_toxic(frame(spark, [*learn, (None, bad), (None, good), (7000, bad), (7000, good)]), labels).collect()]
     assert kept.count(good) == 2 and bad not in kept
+
+
+def test_several_texts_of_an_id_have_no_one_size(spark):
+    import zstandard
+
+    made = [(1, words("a", 12)), (1, words("b", 104)), (2, words("c", 14))]
+    rows = [(n, len(t.split(" ")) - 4, bytearray(zstandard.compress(t.encode()))) for n, t in made]
+    got = near.lonely(spark.createDataFrame(rows, "node long, n_shingles long, words binary"), 5).collect()
+    assert {r["node"]: r["n"] for r in got} == {1: None, 2: 10}
