@@ -57,6 +57,9 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sc
     beside both.  The join is on the text and a bin ``scope`` wide, so what meets is bounded by what fits into three bins;
     positions come from running sums over the pieces between matches, linear in the matches.
 
+    Not reported: a weak key without upper case, lower case and digit, whatever stands beside it, and what begins more than ``scope``
+    after the start of a longer span, even directly behind its end.
+
     Null text counts as empty: no spans.  Null and repeated ids are rows like any other; an empty table gives
     an empty result.
     """
