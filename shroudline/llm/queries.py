@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import contamination, exact, lines, near, packing, pages, secrets, shards, token_files, toxicity, work
+from shroudline.llm import contamination, exact, lines, near, packing, pages, secrets, shards, token_files, toxicity, trie, work
 from shroudline.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +170,45 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_toxicity")
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Keyed turns of every conversation after its rebuilding: the first h turns of its base, then its own after its first h."""
+    start = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    every = turns.filter("position = 0").select("conv_id", start.alias("h"), (F.col("conv_id") - F.col("conv_id") % 5).alias("base"))
+    heads = turns.filter("position < 8 and conv_id % 5 = 0").withColumnRenamed("conv_id", "base")
+    taken = every.join(heads, "base").filter("position < h").select(*turns.columns)
+    own = turns.filter(F.col("position") >= start)
+    bare = every.select("conv_id", F.lit(-1).cast("long").alias("position"), F.lit(None).cast("binary").alias("turn_key"), F.lit(0).cast("long").alias("size"))
+    return taken.unionByName(own).unionByName(bare)
+
+
+# crc32 of an ASCII string, byte by byte; CRC_TABLE has the 256 steps.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t"""
+
+
+def crc_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+
+@query("op11_prefix_trie", f"""
+WITH crc AS ({CRC_TABLE}),
+own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''),
+  md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, w, conv_id - conv_id % 5 AS base, {crc_sql("conv_id::VARCHAR")} % 9 AS h FROM own, crc),
+new AS (SELECT h.conv_id, list_concat(coalesce(b.w[1:h.h], []), h.w[h.h + 1:]) AS w FROM h LEFT JOIN own b ON b.conv_id = h.base),
+pre AS (SELECT conv_id, w[1:d] AS p, d, d = len(w) AS ends FROM (SELECT *, unnest(range(len(w) + 1)) AS d FROM new)),
+nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, bool_and(ends) AS leaf,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM pre GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+sub AS (SELECT p[1:k] AS p, k AS d, count(*) FILTER (WHERE leaf) AS n_leaves, sum(CASE WHEN d > 0 THEN (n_convs - 1) * strlen(p[d].text) ELSE 0 END) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS k FROM nodes) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sub ON sub.p = n.p AND sub.d = n.d LEFT JOIN kids ON kids.p = n.p AND kids.d = n.d
+LEFT JOIN nodes up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1] AND n.d > 0
+""")
+def prefix_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = work.settle(trie.keyed_turns(table(spark, sf_dir, "conversations")), "turns")
+    return trie.trie_of(rebuilt(turns))
