@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import contamination, exact, lines, near, packing, pages, secrets, shards, token_files, toxicity, trie, work
+from shroudline.llm import contamination, exact, lines, near, packing, pages, repair, secrets, shards, token_files, toxicity, trie, work
 from shroudline.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,3 +212,63 @@ LEFT JOIN nodes up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1] AND n.d > 0
 def prefix_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = work.settle(trie.keyed_turns(table(spark, sf_dir, "conversations")), "turns")
     return trie.trie_of(rebuilt(turns))
+
+
+def edit(state: str, cost: str, letter: str) -> str:
+    """One more edit behind a label: nine digits of cost, then the audit; null stays null."""
+    return f"lpad((left({state}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{letter}'"
+
+
+def after_row(first: str, states: tuple[str, str, str, str]) -> str:
+    """Labels of the four states after a row: start, system, user, assistant; n0 to n3 before inserts, s0 to s3 with them."""
+    s0, s1, s2, s3 = states
+    keep = {1: ("'s'", (s0,)), 2: ("'u'", (s0, s1, s3)), 3: ("'a'", (s2,))}
+    out = []
+    for q, own in enumerate(states):
+        ways = [edit(own, "3", "D")]
+        if q:
+            initial, before = keep[q]
+            ways += [f"CASE WHEN NOT gone AND {first} = {initial} THEN {edit(b, 't', 'K')} END" for b in before]
+            if q > 1:
+                ways += [f"CASE WHEN NOT gone THEN {edit(b, '2 + t', 'R')} END" for b in before]
+        out.append(f"least({', '.join(ways)}, NULL) AS n{q}")
+    return ", ".join(out)
+
+
+INSERTS = f"""n0 AS s0, n1 AS s1, least(n2, {', '.join(edit(b, '2', 'I') for b in ('n0', 'n1', 'n3'))}) AS s2,
+  least(n3, {edit('n2', '2', 'I')}, {', '.join(edit(edit_once, '2', 'I') for edit_once in (f"({edit(b, '2', 'I')})" for b in ('n0', 'n1')))}) AS s3"""
+STRIPPED = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("op13_structure_repair", f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("(conv_id::VARCHAR || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS code
+  FROM conversations, crc WHERE conv_id IS NOT NULL),
+bad AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+  CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE code <> 0),
+r AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  left(role, 1) AS first, lag(left(role, 1)) OVER w AS before FROM bad WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, CASE WHEN {STRIPPED} = '' THEN 'b' WHEN again THEN 'd' WHEN right({STRIPPED}, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'f' END AS fault FROM r),
+g AS (SELECT conv_id, i, first, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS t FROM f),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND before || first NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {INSERTS} FROM (SELECT DISTINCT conv_id, '000000000' AS n0, NULL::VARCHAR AS n1, NULL::VARCHAR AS n2, NULL::VARCHAR AS n3 FROM c)
+  UNION ALL
+  SELECT conv_id, i, {INSERTS} FROM (SELECT g.conv_id, g.i, {after_row("g.first", ("s0", "s1", "s2", "s3"))} FROM walk JOIN g ON g.conv_id = walk.conv_id AND g.i = walk.i + 1)
+),
+ends AS (SELECT conv_id, left(least(s0, s3), 9)::BIGINT AS cost, substr(least(s0, s3), 10) AS audit FROM walk LEFT JOIN counts USING (conv_id) WHERE i = coalesce(n, 0)),
+letters AS (SELECT conv_id, j, audit[j] AS letter FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS j FROM ends)),
+placed AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS o FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+led AS (SELECT p.conv_id, bool_or(p.o = 1 AND p.letter = 'K' AND left(f.role, 1) = 's') AS system FROM placed p JOIN f USING (conv_id, i) GROUP BY ALL),
+fixed AS (SELECT p.conv_id, string_agg(CASE WHEN letter = 'K' THEN f.role WHEN (o - coalesce(system, FALSE)::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+  || ':' || CASE WHEN letter = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY j) AS repaired
+  FROM placed p LEFT JOIN f USING (conv_id, i) LEFT JOIN led USING (conv_id) WHERE letter <> 'D' GROUP BY p.conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM ends LEFT JOIN counts USING (conv_id) LEFT JOIN fixed USING (conv_id)
+""")
+def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged, gone = repair.damage(table(spark, sf_dir, "conversations"))
+    out = repair.repair(damaged, gone=F.col(gone))
+    return out.select(*out.columns[:-1], F.sha2(repair.joined(), 256).alias("repaired_sha256"))
