@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import contamination, exact, lines, near, packing, pages, repair, secrets, shards, token_files, toxicity, trie, work
+from shroudline.llm import contamination, exact, lines, near, packing, pages, quality, repair, secrets, shards, token_files, toxicity, trie, work
 from shroudline.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,11 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     return taken.unionByName(own).unionByName(bare)
 
 
+@query("op12_quality")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # crc32 of an ASCII string, byte by byte; CRC_TABLE has the 256 steps.
 CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
   lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t"""
