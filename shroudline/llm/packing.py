@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroudline.llm.tokens import encoder
-from shroudline.llm.work import body, dense_ranks, settle, sliced
+from shroudline.llm.work import body, dense_ranks, settle
 
 # Patterns offered to the fit; the step between the smallest members of three grows until so many remain.
 PATTERNS = 12_000
 SWEEPS = 30
+# Ids whose pieces a worker holds at a time, or one document's.
+PIECE_IDS = 1 << 20
 
 
 def pack_documents(
@@ -48,25 +50,38 @@ def cut_pieces(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, "byte").encode
-        for batch in sliced(batches):
-            at, columns = [], ([], [], [], [], [])
-            for i, text in enumerate(batch.column("body").to_pylist()):
-                ids = encode(text) + end
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    at.append(i)
-                    part = ids[4 * a : 4 * b]
-                    for column, value in zip(columns, (piece, a, b - a, zlib.crc32(part), part), strict=True):
-                        column.append(value)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            out = [batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                out.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in columns[4]], pa.list_(pa.int32())))
-                names.append("ids")
-            yield from pa.table(dict(zip(names, out, strict=True))).to_batches(max_chunksize=2000)
+        each = encoder(vocabulary, "byte").each
+        for batch in batches:
+            for some in some_rows(batch, each(batch.column("body"), end)):
+                yield from pieces_of(*some)
+
+    def some_rows(batch: pa.RecordBatch, found: Iterator[np.ndarray]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+        """Documents go on when PIECE_IDS ids have gathered."""
+        lo, ids, size = 0, [], 0
+        for i, mine in enumerate(found):
+            ids.append(mine)
+            size += len(mine)
+            if size >= PIECE_IDS or i + 1 == batch.num_rows:
+                yield batch.column("doc_id").slice(lo, len(ids)), ids
+                lo, ids, size = i + 1, [], 0
+
+    def pieces_of(names: pa.Array, documents: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at, columns = [], ([], [], [], [], [])
+        for i, ids in enumerate(documents):
+            n = len(ids)
+            cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+            for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                at.append(i)
+                part = ids[a:b]
+                for column, value in zip(columns, (piece, a, b - a, zlib.crc32(part), part), strict=True):
+                    column.append(value)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        out = [names.take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))]
+        heads = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if with_ids:
+            out.append(pa.array([x.astype(np.int32) for x in columns[4]], pa.list_(pa.int32())))
+            heads.append("ids")
+        yield from pa.table(dict(zip(heads, out, strict=True))).to_batches(max_chunksize=2000)
 
     return run
 

@@ -102,22 +102,21 @@ def segments(vocabulary: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = encoder(vocabulary, "word").encode, TaskContext.get().partitionId()
+        each, part = encoder(vocabulary, "word").each, TaskContext.get().partitionId()
         start, held, names, lengths = 0, [], [], []
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(names[0].type), pa.list_(pa.int64()), pa.binary())
             values = (part, start, len(ids), [x.as_py() for x in names], lengths, pack(ids))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "segment_start", "n_ids", "doc_ids", "lengths", "blocks"])
 
         size = 0
         for batch in batches:
-            for name, text in zip(batch.column("doc_id"), batch.column("body").to_pylist(), strict=True):
-                ids = encode(text) + end
+            for name, ids in zip(batch.column("doc_id"), each(batch.column("body"), end), strict=True):
                 held.append(ids)
                 names.append(name)
-                lengths.append(len(ids) // 4)
+                lengths.append(len(ids))
                 size += lengths[-1]
                 if size >= SEGMENT:
                     yield closed()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,8 +182,28 @@ def test_token_ids_are_the_librarys(texts):
     made = ["".join(r.choice(letters, r.integers(1, 60))) for _ in range(1500)]
     for path, kind in ((BYTE, "byte"), (WORD, "word")):
         library, own = Tokenizer.from_file(path), tokens.encoder(path, kind)
-        for t in [*ODD_TEXTS, *made, *(t for t in texts if t)]:
-            assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        every = [*ODD_TEXTS, *made, *(t for t in texts if t)]
+        want = [library.encode(t, add_special_tokens=False).ids for t in every]
+        for t, ids in zip(every, want, strict=True):
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == ids, repr(t)
+        # a memory that forgets all the time, slices of a few texts, texts in parts
+        small = {"byte": tokens.ByteLevel, "word": tokens.WordLevel}[kind](path, most=3, slice_=50)
+        for t, ids, got in zip(every, want, small.each(pa.array(every).slice(0), b"\7\0\0\0"), strict=True):
+            assert got.tolist() == [*ids, 7], repr(t)
+        assert [x.tolist() for x in own.each(pa.array(every).slice(3, 40))] == want[3:43]
+
+
+def test_very_long_text():
+    from tokenizers import Tokenizer
+
+    text = " ".join(["One long text, of many words.\nAnd lines  with gaps"] * 400_000)
+    for path, kind in ((BYTE, "byte"), (WORD, "word")):
+        step = Tokenizer.from_file(path).encode(text[:51 * 200] + "", add_special_tokens=False).ids
+        got = np.frombuffer(tokens.encoder(path, kind).encode(text), "<u4")
+        assert len(text) > 2 * tokens.SLICE and got[: len(step) - 5].tolist() == step[:-5]
+        one = next(k for k in range(5, 60) if (got[: 40 * k].reshape(40, k)[1:] == got[k : 2 * k]).all())
+        body = got[one : one * 400_000].reshape(-1, one)
+        assert (body == body[0]).all()
 
 
 def test_packing(spark, texts):
