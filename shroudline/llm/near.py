@@ -10,12 +10,13 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shroudline.llm.components import components
 from shroudline.llm.work import body, fresh, held, lookup, settle, sliced
+from shroudline.operators import skew
 
 # A signature: CHUNKS chunks of SYMBOLS minima, 16 bits of each.  Two signatures that differ in at most
 # 2 * CHUNKS - 1 places agree in some chunk but for one symbol at most, so the keys "chunk without symbol i" of both meet.
@@ -24,6 +25,10 @@ CHUNKS, SYMBOLS = 10, 5
 WIDTH = CHUNKS * SYMBOLS
 # Candidates further apart than this are not confirmed; similarity 0.8 exceeds it once in 2 million times.
 DISTANCE = 25
+# Longest parity bitmap; sets of more shingles are told apart less well by it, and none is lost.
+PARITY_BITS = 1 << 14
+# Pairs of one node that one task gets with its text.
+PAIRS_PER_TASK = 10_000
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -133,7 +138,8 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     each node meets the smallest node of any of its buckets, then the smallest of each bucket, and only nodes of one bucket
     that still belong to different components meet each other.  A link between nodes that are connected already changes
     nothing, so no component loses by this.  Of the last, those cannot be similar enough that have too many shingles
-    which no other node left has; such pairs are not made.  Candidates within DISTANCE are confirmed on their full word sets.
+    which no other node left has, or whose parity bitmaps differ in more places than so similar sets differ in shingles; such
+    pairs are not made.  Candidates within DISTANCE are confirmed on their full word sets.
 
     Null, empty or blank text has no shingles and no links, and is its own component.  Rows with the same id are one
     document with several texts.  Rows without id link with nothing: component_id is null and they are kept.
@@ -160,13 +166,22 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     placed = with_root(members, "node", roots, "root")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     placed = settle(placed.join(mixed, "key").select("key", "node", "root", "lead"), "mixed")
-    known = lonely(texts.join(placed.select("node").distinct(), "node", "left_semi"), width)
+    left = settle(texts.join(placed.select("node").distinct(), "node", "left_semi"), "left")
+    bits = left.filter(F.col("n_shingles").isNotNull()).select("node", "words").mapInArrow(parities(width), "node long, parity array<long>, half array<long>")
+    # a node with several texts has no one bitmap
+    bits = bits.groupBy("node").agg(F.count("*").alias("texts"), F.first("parity").alias("parity"), F.first("half").alias("half")).filter("texts = 1").drop("texts")
+    known = settle(lonely(left, width).join(bits, "node", "left"), "known")
     able = placed.join(known.filter(F.col("n").isNull() | (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))), "node")
-    other = able.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
+    other = able.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("parity").alias("parity_b"), F.col("half").alias("half_b"))
     # common shingles at most; least() passes over nulls, but the sum of sizes below is null if one is
     most = F.least(F.col("n") - F.col("own"), F.col("n_b") - F.col("own_b"))
     possible = (100 + percent) * most >= percent * (F.col("n") + F.col("n_b"))
-    met = able.join(other, "key").filter("node < b and root <> other and node <> lead").filter(F.coalesce(possible, F.lit(True)))
+    # a place in which parities differ holds a shingle that only one of the two sets has
+    apart_in = F.when(F.size("parity") == F.size("parity_b"), unequal("parity", "parity_b")).when(
+        F.size("parity") > F.size("parity_b"), unequal("half", "parity_b")).otherwise(unequal("parity", "half_b"))
+    alike = (100 + percent) * apart_in <= (100 - percent) * (F.col("n") + F.col("n_b"))
+    met = able.join(other, "key").filter("node < b and root <> other and node <> lead").filter(
+        F.when(F.coalesce(possible, F.lit(True)), F.coalesce(alike, F.lit(True))).otherwise(F.lit(False)))
     across = met.select(F.col("node").alias("a"), "b").distinct()
     edges = edges.unionByName(confirmed(across, texts, width, percent))
     roots = settle(components(edges), "roots")
@@ -217,6 +232,37 @@ def lonely(texts: DataFrame, width: int) -> DataFrame:
     return sizes.join(alone, "node", "left").select("node", F.when(F.col("texts") == 1, F.col("n")).alias("n"), F.coalesce("alone", F.lit(0)).alias("own"))
 
 
+def parity_bits(hashed: np.ndarray, bits: int) -> np.ndarray:
+    """Bit i is odd where an odd number of hashes falls on i, as 64-bit words."""
+    odd = np.bincount((hashed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def parities(width: int):
+    """Per text: its parity bitmap, four to eight bits a shingle up to PARITY_BITS, and the one half as long.
+
+    Sets similar enough to be linked have sizes within a factor of two, so one of the two lengths fits the other's.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, hashes = zstandard.ZstdDecompressor().decompress, word_hashes()
+        for batch in sliced(batches):
+            whole, half = [], []
+            for words in batch.column("words").to_pylist():
+                hashed = shingles(read(words).split(b" "), width, hashes)
+                bits = min(PARITY_BITS, max(128, 1 << (4 * len(hashed) - 1).bit_length()))
+                whole.append(parity_bits(hashed, bits))
+                half.append(parity_bits(hashed, bits // 2))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(whole, kind), pa.array(half, kind)], ["node", "parity", "half"])
+
+    return run
+
+
+def unequal(a: str, b: str) -> Column:
+    """In how many bits two bitmaps of one length differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+
+
 def exploded(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, hashes = zstandard.ZstdDecompressor().decompress, word_hashes()
@@ -229,14 +275,22 @@ def exploded(width: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures are near and whose full sets are similar enough."""
+    """The pairs (a, b) whose signatures are near and whose full sets are similar enough.
+
+    A node of very many pairs is dealt over tasks, its text repeated once in each.
+    """
     def side(name: str, *columns: str) -> DataFrame:
         return texts.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    sized = pairs.join(side("b", "n_shingles", "signature"), "b").join(side("a", "n_shingles", "signature"), "a")
+    def with_a(rows: DataFrame, *columns: str) -> DataFrame:
+        return skew.lookup(rows, side("a", *columns), ["a"], "b", "inner", counts=many, target=PAIRS_PER_TASK)
+
+    pairs = settle(pairs, "pairs")
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > PAIRS_PER_TASK)
+    sized = with_a(pairs.join(side("b", "n_shingles", "signature"), "b"), "n_shingles", "signature")
     fair = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
     near = settle(sized.filter(fair).filter(differing("signature_a", "signature_b") <= DISTANCE).select("a", "b").distinct(), "near")
-    full = near.join(side("b", "words"), "b").join(side("a", "words"), "a").select("a", "b", "words_a", "words_b")
+    full = with_a(near.join(side("b", "words"), "b"), "words").select("a", "b", "words_a", "words_b")
     return full.mapInArrow(similar(width, percent), "a long, b long").distinct()
 
 
