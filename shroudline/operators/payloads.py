@@ -128,34 +128,57 @@ def rebuild_chat(body: Column, rewrite) -> Column:
     return F.to_json(F.struct(messages.alias("messages"), parsed["model"].alias("model")))
 
 
+SCANNED = f"struct<spans:array<{D.SPANS}>,error:string>"
+
+
+def _scan_lists(lists: pa.Array, patterns: tuple[str, ...], min_length: int | None, min_entropy: float) -> pa.Array:
+    """Spans per text of each list, the texts of all lists scanned together."""
+    lengths = lists.value_lengths().fill_null(0).to_pylist()
+    flat = D.scan_batch(lists.flatten(), patterns, min_length, min_entropy)
+    offsets, at = [0], 0
+    for length in lengths:
+        at += length
+        offsets.append(at)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+
+
 def _scan_leaves(texts: Column, config: Detection) -> Column:
-    """Spans per text of an array column: the texts of all rows of a batch are scanned together."""
+    """``struct<spans,error>`` of an array column: spans per text, or why a row could not be scanned.
+
+    The rows of a batch are scanned together; only where that fails is each tried alone.
+    """
     patterns = tuple(rule.pattern for rule in config.rules)
     entropy = config.high_entropy
     min_length = entropy.min_length if entropy else None
     min_entropy = entropy.min_entropy if entropy else 0.0
 
-    @F.arrow_udf(f"array<{D.SPANS}>")
+    @F.arrow_udf(SCANNED)
     def spans(lists: pa.Array) -> pa.Array:
-        lengths = lists.value_lengths().fill_null(0).to_pylist()
-        flat = D.scan_batch(lists.flatten(), patterns, min_length, min_entropy)
-        offsets, at = [0], 0
-        for length in lengths:
-            at += length
-            offsets.append(at)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+        try:
+            found, errors = _scan_lists(lists, patterns, min_length, min_entropy), pa.nulls(len(lists), pa.string())
+        except (TimeoutError, RecursionError, MemoryError, ValueError, pa.ArrowException):
+            rows, why = [], []
+            for i in range(len(lists)):
+                try:
+                    rows.append(_scan_lists(lists.slice(i, 1), patterns, min_length, min_entropy).to_pylist()[0])
+                    why.append(None)
+                except (TimeoutError, RecursionError, MemoryError, ValueError, pa.ArrowException) as error:
+                    rows.append([])
+                    why.append(f"{type(error).__name__}: {error}"[:200])
+            found, errors = pa.array(rows, pa.list_(D._SPAN_TYPE)), pa.array(why, pa.string())
+        return pa.StructArray.from_arrays([found, errors], ["spans", "error"])
 
     return spans(texts)
 
 
 def judge_leaves(rows: DataFrame, config: Detection, caller: Column, direction: Column, tokenizer: R.Tokenizer | None = None,
                  scanned: Column | None = None) -> DataFrame:
-    """From a ``_leaves`` array to ``resolved``, ``decision`` and ``_changed`` (rewritten leaves that had findings).
+    """From a ``_leaves`` array to ``resolved``, ``decision``, ``_changed`` (rewritten leaves that had findings) and ``scan_error``.
 
     ``scanned`` gives the texts to scan where that is only a beginning of each leaf.
     """
     texts = F.transform("_leaves", lambda leaf: leaf["text"]) if scanned is None else scanned
-    rows = rows.withColumn("_spans", _scan_leaves(texts, config))
+    rows = rows.withColumn("_scan", _scan_leaves(texts, config)).withColumn("_spans", F.col("_scan.spans"))
 
     def judged(leaf: Column) -> Column:
         found = D.findings_of(leaf["_spans"], leaf["_leaves"]["pointer"], config)
@@ -165,7 +188,9 @@ def judge_leaves(rows: DataFrame, config: Detection, caller: Column, direction:
         )
 
     hit = F.filter(F.arrays_zip("_leaves", "_spans"), lambda z: F.size(z["_spans"]) > 0)
-    rows = rows.withColumn("_hit", skew.bound(F.transform(hit, judged))).drop("_leaves", "_spans")
+    seen = F.struct(F.transform(hit, judged).alias("hit"), F.col("_scan.error").alias("error"))
+    rows = rows.withColumn("_seen", skew.bound(seen)).drop("_leaves", "_spans", "_scan")
+    rows = rows.withColumn("_hit", F.col("_seen.hit")).withColumn("scan_error", F.col("_seen.error")).drop("_seen")
     changed = F.transform(
         "_hit", lambda h: F.struct(h["pointer"].alias("pointer"), R.redact_text(h["text"], h["resolved"], tokenizer).alias("text"))
     )
@@ -179,12 +204,13 @@ def judge_leaves(rows: DataFrame, config: Detection, caller: Column, direction:
 
 
 def process(df: DataFrame, config: Detection, caller: Column, direction: Column, body: str = "body",
-            is_json: Column | None = None, text_pointer: str = "/", tokenizer: R.Tokenizer | None = None) -> DataFrame:
+            is_json: Column | None = None, text_pointer: str = "/", tokenizer: R.Tokenizer | None = None, failure: Column | None = None) -> DataFrame:
     """Scan and judge a payload column: adds ``json`` (whether it was read as JSON), ``resolved``,
-    ``decision`` and ``sanitised``.
+    ``decision``, ``source``, ``reason``, ``sanitised`` and ``failed_stage``.
 
     Where ``is_json`` holds but the body does not parse, it is taken as text.  Ignored pointers are
-    left out before scanning.
+    left out before scanning.  A row that could not be scanned, or for which ``failure`` says why an earlier step failed, is
+    no end of the job: its stage is named, its body withheld and its findings left out.
     """
     wanted = F.lit(True) if is_json is None else is_json
     whole = F.array(F.struct(F.lit(text_pointer).alias("pointer"), F.col(body).alias("text")))
@@ -196,7 +222,21 @@ def process(df: DataFrame, config: Detection, caller: Column, direction: Column,
     rows = judge_leaves(rows, config, caller, direction, tokenizer)
     as_text = F.when(F.size("_changed") > 0, F.element_at("_changed", 1)["text"]).otherwise(F.col(body))
     tree = rebuild_json(F.when(F.col("json"), F.col(body)), F.col("_changed"))
-    return rows.withColumn("_tree", tree).withColumn("sanitised", F.when(F.col("json"), F.col("_tree")).otherwise(as_text)).drop("_changed", "_tree")
+    rows = rows.withColumn("_tree", tree).withColumn("sanitised", F.when(F.col("json"), F.col("_tree")).otherwise(as_text)).drop("_changed", "_tree")
+    why = F.col("scan_error") if failure is None else F.coalesce("scan_error", failure)
+    return withheld(rows.withColumn("failed_stage", P.failed_stage(why, F.when(F.col("json"), "json").otherwise("text"))), "sanitised").drop("scan_error")
+
+
+def withheld(rows: DataFrame, body: str) -> DataFrame:
+    """Rows of a ``failed_stage`` get the fallback of that stage in ``decision``, ``source``, ``reason`` and ``body``, and no findings."""
+    none = F.lit(None).cast("string")
+    out = P.with_fallback(F.col("decision"), F.lit("builtin"), none, F.col(body), F.col("failed_stage"))
+    return (
+        rows.withColumn("_out", out)
+        .withColumn("resolved", F.when(F.col("failed_stage").isNull(), F.col("resolved")).otherwise(F.filter("resolved", lambda _: F.lit(False))))
+        .withColumn("decision", F.col("_out.decision")).withColumn("source", F.col("_out.source")).withColumn("reason", F.col("_out.reason"))
+        .withColumn(body, F.col("_out.body")).drop("_out")
+    )
 
 
 def scrub_bodies(df: DataFrame, config: Detection, body: str = "body", tokenizer: R.Tokenizer | None = None) -> DataFrame:
@@ -219,7 +259,7 @@ def redact_lines(lines: DataFrame, config: Detection, caller: Column, line: str
     labels = F.transform("resolved", lambda f: f["label"])
     external = P.external_decision(rules, F.lit("response"), labels, caller["role"], F.lit(False) if escalated is None else escalated)
     none = F.lit(None).cast("string")
-    final = P.merge_external(F.col("decision"), F.lit("builtin"), none, external)
+    final = P.merge_external(F.col("decision"), F.col("source"), F.col("reason"), external)
     rows = rows.withColumn("_final", F.when(F.col("_payload").isNull(), P.merge_external(F.lit("allow"), F.lit("builtin"), none, F.lit(None).cast("struct<action:string,reason:string>"))).otherwise(final))
     tightened = ranks.action_rank(F.col("_final.decision")) > ranks.action_rank(F.col("decision"))
     shown = F.when(tightened, P.sentinel(F.col("json"))).otherwise(F.col("sanitised"))

@@ -188,6 +188,11 @@ def preserve_signed(original: Column, outbound: Column, signs_body: Column) -> C
     return F.when(signs_body, original).otherwise(outbound)
 
 
+def failed_stage(error: Column, kind: Column) -> Column:
+    """The stage that ``error`` belongs to: reading a body as JSON or as text, or else the payload as a whole; NULL without error."""
+    return F.when(error.isNotNull(), F.when(kind.isin("json", "text"), kind).otherwise(F.lit("payload")))
+
+
 def with_fallback(decision: Column, source: Column, reason: Column, body: Column, failed_stage: Column) -> Column:
     """``struct<decision,source,reason,body>``: on a failed stage the body is withheld, not passed."""
     # Stage, source name and reason of each fallback.

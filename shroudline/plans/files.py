@@ -55,15 +55,15 @@ LINES_SQL = f"""{NODES_SQL}, lines AS (SELECT doc_id * 100000 + text_index AS li
   FROM lines l JOIN line_redacted r ON r.line_id = l.line_id LEFT JOIN file_decision d ON d.doc_id = l.doc_id""")
 def ooxml_rewrite(spark, d):
     """Rewritten archives, opened again."""
-    done = A.scan_office(office_files(spark, d), V.CONFIG, P.local_principal(), 10_000_000)
+    done = A.scan_office(office_files(spark, d), V.CONFIG, P.local_principal())
     return A.explode_nodes(done, "doc_id", content="rewritten").select("doc_id", F.col("text_index").cast("bigint").alias("text_index"), "text")
 
 
 BUDGET = 1500
 
 
-@query("text_budget", f"""WITH {NODES_SQL} SELECT doc_id, text_index, substring(text, 1, ({BUDGET} - before)::INT) AS text FROM (
-  SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY text_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM nodes) WHERE before < {BUDGET}""")
+@query("text_budget", f"""WITH {NODES_SQL} SELECT doc_id, text_index, substring(text, 1, ({BUDGET} - before)::INT) AS text, truncated FROM (
+  SELECT *, sum(length(text)) OVER (PARTITION BY doc_id) > {BUDGET} AS truncated, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY text_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM nodes) WHERE before < {BUDGET}""")
 def text_budget(spark, d):
     folder = J.work_dir(spark, "nodes")
     A.explode_nodes(office_files(spark, d), "doc_id").select("doc_id", F.col("text_index").cast("bigint").alias("text_index"), "text").write.parquet(folder)
@@ -75,7 +75,7 @@ def text_budget(spark, d):
   '/attachments/file' AS part_pointer FROM line_findings f""")
 def part_findings(spark, d):
     files = office_files(spark, d)
-    done = A.scan_office(files, V.CONFIG, P.local_principal(), 10_000_000)
+    done = A.scan_office(files, V.CONFIG, P.local_principal())
     folder = J.work_dir(spark, "findings")
     done.select("doc_id", F.explode("resolved").alias("f")).select("doc_id", "f.rule_name", "f.pointer").write.parquet(folder)
     found = spark.read.schema("doc_id bigint, rule_name string, pointer string").parquet(folder)
@@ -103,9 +103,39 @@ S.VIEWS["open_resolved"] = "SELECT *, unauthorized_action AS effective_action FR
 S.VIEWS["open_redacted"] = S.redacted_sql("open_resolved", "scan_docs", "doc_id")
 
 
-@query("attachment_text", "SELECT t.doc_id, r.redacted AS text, coalesce(f.n, 0) AS n_findings FROM scan_docs t JOIN open_redacted r ON r.doc_id = t.doc_id "
+@query("attachment_text", "SELECT t.doc_id, r.redacted AS text, coalesce(f.n, 0) AS n_findings, FALSE AS truncated FROM scan_docs t JOIN open_redacted r ON r.doc_id = t.doc_id "
        "LEFT JOIN (SELECT doc_id, count(*) AS n FROM findings GROUP BY doc_id) f ON f.doc_id = t.doc_id")
 def attachment_text(spark, d):
     parts = V.scan_docs(spark, d).select("doc_id", F.col("text").cast("binary").alias("content"), F.lit("/attachments/file").alias("pointer"))
-    done = A.scan_text_parts(parts, V.CONFIG, P.local_principal(), 1_000_000_000)
-    return done.select("doc_id", F.col("rewritten").cast("string").alias("text"), F.size("resolved").cast("bigint").alias("n_findings"))
+    done = A.scan_text_parts(parts, V.CONFIG, P.local_principal())
+    return done.select("doc_id", F.col("rewritten").cast("string").alias("text"), F.size("resolved").cast("bigint").alias("n_findings"), "truncated")
+
+
+def damaged_files(spark, d):
+    """Office files of which some cannot be read: by doc_id modulo 8 cut short, with a wrong checksum, marked as encrypted, packed in an unknown way."""
+    def spoil(contents: pa.Array, kinds: pa.Array) -> pa.Array:
+        out = []
+        for content, kind in zip(contents.to_pylist(), kinds.to_pylist()):
+            data = bytearray(content)
+            central = data.rfind(b"PK\x01\x02", 0, data.rfind(b"PK\x01\x02"))  # directory entry of the text
+            if kind == 1:
+                data = data[: len(data) // 2]
+            elif kind == 2:
+                data[16 + central] ^= 255
+            elif kind == 3:
+                data[6] |= 1
+                data[8 + central] |= 1
+            elif kind == 4:
+                data[8] = data[10 + central] = 99
+            out.append(bytes(data))
+        return pa.array(out, pa.binary())
+
+    return office_files(spark, d).withColumn("content", F.arrow_udf(spoil, "binary")(F.col("content"), (F.col("doc_id") % 8).cast("int")))
+
+
+@query("attachment_unreadable", f"""WITH per AS (SELECT t.doc_id, t.doc_id % 8 IN (1, 2, 3, 4) AS failed, max(coalesce({S.case('f.unauthorized_action', S.ACTION_RANK)}, 0)) AS top
+    FROM scan_docs t LEFT JOIN line_findings f ON f.line_id // 100000 = t.doc_id GROUP BY ALL)
+  SELECT doc_id, CASE WHEN failed THEN 'block' ELSE {S.action_of('top')} END AS decision, failed, failed AS withheld FROM per""".replace("WITH per", f"WITH {LINES_SQL}, per", 1))
+def attachment_unreadable(spark, d):
+    done = A.scan_office(damaged_files(spark, d), V.CONFIG, P.local_principal())
+    return done.select("doc_id", "decision", F.col("error").isNotNull().alias("failed"), F.col("rewritten").isNull().alias("withheld"))

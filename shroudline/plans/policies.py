@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from shroudline.config import DEFAULT_POLICY_RULES
 from shroudline.functions import ranks, text as T
-from shroudline.operators import policy as P
+from shroudline.operators import attachments as A, payloads as Y, policy as P, skew
 from shroudline.plans import sql as S, views as V
+from shroudline.plans.files import office_files
 from shroudline.plans.registry import query
 
 # Credentials by row: three known callers, an unknown secret, none.
@@ -173,10 +174,16 @@ def signed_body(spark, d):
   {S.case('t.doc_id % 6', {0: T.REDACTED_JSON, 1: T.REDACTED_TEXT, 2: T.REDACTED_JSON})[:-3]} ELSE s.redacted END AS body
   FROM decisions t JOIN sanitised s ON s.doc_id = t.doc_id""")
 def processing_fallback(spark, d):
+    """Three kinds of rows fail: a JSON body or a text whose outside recogniser gave an error, and an archive that cannot be read."""
     doc = F.col("doc_id")
-    stage = F.when(doc % 6 == 0, "json").when(doc % 6 == 1, "text").when(doc % 6 == 2, "payload")
-    out = P.with_fallback(F.col("decision"), F.lit("builtin"), F.lit(None).cast("string"), F.col("redacted"), stage)
-    return V.judged(spark, d).withColumn("o", out).select("doc_id", "o.decision", "o.source", "o.body")
+    rows = V.traffic(spark, d).withColumn("body", F.when(doc % 6 == 0, F.to_json(F.struct("text"))).otherwise(F.col("text")))
+    answers = V.table(spark, d, "documents").where("doc_id % 6 IN (0, 1)").select("doc_id", F.lit("recogniser answered 503").alias("ner_error"))
+    files = office_files(spark, d).where(doc % 6 == 2).select("doc_id", "pointer", F.expr("substring(content, 1, octet_length(content) div 2)").alias("content"))
+    archives = files.select("doc_id", skew.bound(A.read_office(F.col("content"), F.col("pointer"))).alias("read")).select("doc_id", F.col("read.error").alias("archive_error"))
+    rows = rows.join(answers, "doc_id", "left").join(archives, "doc_id", "left")
+    done = Y.process(rows, V.CONFIG, F.col("caller"), F.col("direction"), is_json=doc % 6 == 0, failure=F.col("ner_error"))
+    done = done.withColumn("failed_stage", F.coalesce("failed_stage", P.failed_stage(F.col("archive_error"), F.lit("archive"))))
+    return Y.withheld(done, "sanitised").select("doc_id", "decision", "source", F.col("sanitised").alias("body"))
 
 
 @query("post_approval", "SELECT doc_id, CASE WHEN base_decision = 'redact' THEN 'redact' ELSE 'allow' END AS post_approval_action FROM decisions")

@@ -48,6 +48,68 @@ def test_budget_limits_what_is_scanned(spark):
     assert [f.matched for f in done.resolved] == ["admin@example.com"]
 
 
+def spoiled(kind):
+    data = bytearray(office())
+    entry = data.find(b"PK\x01\x02")
+    if kind == "encrypted":
+        data[6] |= 1
+        data[entry + 8] |= 1
+    elif kind == "packed":
+        data[8] = data[entry + 10] = 99
+    elif kind == "short":
+        data = data[:-30]
+    elif kind == "checksum":
+        data[14] ^= 1
+        data[entry + 16] ^= 1
+    elif kind == "xml":
+        target = io.BytesIO()
+        with zipfile.ZipFile(target, "w") as archive:
+            archive.writestr("word/document.xml", "<a><b>leak@corp.example</a>")
+        data = target.getvalue()
+    elif kind == "encoding":
+        target = io.BytesIO()
+        with zipfile.ZipFile(target, "w") as archive:
+            archive.writestr("word/document.xml", '<?xml version="1.0" encoding="no-such"?><a>leak@corp.example</a>')
+        data = target.getvalue()
+    elif kind == "empty":
+        data = b""
+    return bytes(data)
+
+
+def test_unreadable_files_are_withheld(spark):
+    kinds = ["encrypted", "packed", "short", "checksum", "xml", "encoding", "empty"]
+    done = A.scan_office(files(spark, *map(spoiled, kinds), office()), EMAIL_ONLY, P.local_principal()).orderBy("i").collect()
+    for kind, row in zip(kinds, done):
+        assert (row.decision, row.rewritten, list(row.resolved)) == ("block", None, []) and row.error, kind
+    assert done[-1].decision == "redact" and done[-1].error is None
+
+
+def test_file_that_cannot_be_written_again(spark):
+    data = bytearray(office())  # the text reads well, the picture does not
+    local, entry = data.rfind(b"PK\x03\x04"), data.rfind(b"PK\x01\x02")
+    data[local + 8] = data[entry + 10] = 99
+    row = A.scan_office(files(spark, bytes(data)), EMAIL_ONLY, P.local_principal(), on_unreadable="review").first()
+    assert (row.decision, row.rewritten) == ("review", None) and row.error and len(row.resolved) == 3
+
+
+def test_text_beyond_the_budget_is_marked(spark):
+    whole = A.scan_office(files(spark, office()), EMAIL_ONLY, P.local_principal()).first()
+    assert (whole.truncated, whole.decision, len(whole.resolved)) == (False, "redact", 3)
+    short = A.scan_office(files(spark, office()), EMAIL_ONLY, P.local_principal(), 1).first()
+    assert (short.truncated, short.decision, len(short.resolved)) == (True, "review", 0)
+    left = A.scan_office(files(spark, office()), EMAIL_ONLY, P.local_principal(), 1, on_truncated=None).first()
+    assert (left.truncated, left.decision) == (True, "allow")
+    parts = files(spark, b"0123456789 a@b.example", b"short")
+    out = A.scan_text_parts(parts, EMAIL_ONLY, P.local_principal(), 10).orderBy("i").collect()
+    assert [(r.truncated, r.decision) for r in out] == [(True, "review"), (False, "allow")]
+    assert [r.truncated for r in A.scan_text_parts(parts, EMAIL_ONLY, P.local_principal()).orderBy("i").collect()] == [False, False]
+
+
+def test_decision_of_a_failed_part_counts(spark):
+    done = A.scan_office(files(spark, b"no archive"), EMAIL_ONLY, P.local_principal()).withColumn("request_id", F.lit("r")).withColumn("rewritable", F.lit(True))
+    assert A.attachment_decision(done).first().decision == "block"
+
+
 def test_text_parts_keep_bad_bytes_readable(spark):
     done = A.scan_text_parts(files(spark, b"a@b.example \xff"), EMAIL_ONLY, P.local_principal(), 1000).first()
     assert bytes(done.rewritten).decode() == "a***@b.example �"

@@ -93,3 +93,28 @@ def test_small_text_functions(spark):
     assert one(T.host_of(F.lit(None).cast("string"), F.lit("Host.Example:80"))) == "host.example"
     assert one(T.media_type(F.lit("binary/octet-stream"), F.lit("A.PDF"))) == "application/pdf"
     assert abs(one(T.shannon_entropy(F.lit("aabb"))) - 1.0) < 1e-12 and one(T.shannon_entropy(F.lit(""))) == 0.0
+
+
+def test_failed_rows_are_withheld(spark):
+    rows = spark.createDataFrame([(0, '{"a":"leak@corp.example"}', "503"), (1, "leak@corp.example", "503"), (2, "leak@corp.example", None)], "i int, body string, why string")
+    out = Y.process(rows, CONFIG, P.local_principal(), F.lit("request"), failure=F.col("why")).orderBy("i").collect()
+    assert [(r.failed_stage, r.decision, r.source, r.sanitised, len(r.resolved)) for r in out] == [
+        ("json", "redact", "json_processing_error_fallback", T.REDACTED_JSON, 0), ("text", "redact", "presidio_error_fallback", T.REDACTED_TEXT, 0),
+        (None, "redact", "builtin", "l***@corp.example", 1),
+    ]
+
+
+def test_one_row_that_cannot_be_scanned(spark, monkeypatch):
+    """The batch is scanned again row by row; only the bad row has an error."""
+    import pyarrow as pa
+
+    def scan(texts, *_):
+        if any(t == "bad" for t in texts.to_pylist()):
+            raise TimeoutError("too slow")
+        return pa.array([[]] * len(texts), Y.D._SPAN_TYPE)
+
+    monkeypatch.setattr(Y.D, "scan_batch", scan)
+    monkeypatch.setattr(Y.F, "arrow_udf", lambda _: lambda fn: fn)
+    run = Y._scan_leaves(pa.array([["a"], ["b", "bad"], [], None]), CONFIG)
+    assert run.field("error").to_pylist() == [None, "TimeoutError: too slow", None, None]
+    assert run.field("spans").to_pylist() == [[[]], [], [], []]
