@@ -181,7 +181,7 @@ class Detection:
     def __post_init__(self):
         for rule in self.rules:
             try:
-                regex.compiled(rule.pattern)
+                regex.accepted(rule.pattern)
             except re.error as error:
                 raise ValueError(f"rule {rule.name}: {error}") from error
         for rule in self.scored:
