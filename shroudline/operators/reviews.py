@@ -12,6 +12,9 @@ from shroudline.operators.sessions import MICROS, micros
 LIST_DEFAULT = 50
 STATUSES = ("pending", "approved", "rejected")
 
+# Bins are grouped by RADIX into nodes, and those again, LEVELS deep: with bins of 900 seconds the top holds 478 years.
+RADIX, LEVELS = 16, 7
+
 
 def fingerprint(tenant: Column, path: Column, body_sha256: Column) -> Column:
     return F.sha2(F.concat_ws("|", tenant, path, body_sha256), 256)
@@ -104,8 +107,35 @@ def overrides_asof(tickets: DataFrame, at: Column) -> DataFrame:
     return resolved.groupBy("fingerprint").agg(latest).where(F.col("o.expires_at") > at).select("fingerprint", "o.*")
 
 
+def cover(first: Column, last: Column) -> Column:
+    """The fewest nodes that hold the bins ``first`` to ``last`` and no other: ``array<struct<level,node>>``.
+
+    A node of level k stands for RADIX ** k bins side by side.  There are less than 2 * RADIX nodes a level, so a span of any length
+    has a number of nodes that grows with its logarithm.
+    """
+    def nodes(level: int) -> Column:
+        size = F.lit(RADIX**level).cast("bigint")
+        low, high = -F.floor(-first / size).cast("bigint"), F.floor((last + 1) / size).cast("bigint")  # of whole nodes, end exclusive
+        inner_low, inner_high = -F.floor(-low / RADIX).cast("bigint") * RADIX, F.floor(high / RADIX).cast("bigint") * RADIX
+        none = F.array().cast("array<bigint>")
+
+        def span(start: Column, end: Column) -> Column:
+            return F.when(start < end, F.sequence(start, end - 1)).otherwise(none)
+
+        split = inner_low < inner_high if level + 1 < LEVELS else F.lit(False)
+        taken = F.when(split, F.concat(span(low, inner_low), span(inner_high, high))).otherwise(span(low, high))
+        return F.transform(taken, lambda node: F.struct(F.lit(level).alias("level"), node.alias("node")))
+
+    return F.concat(*(nodes(level) for level in range(LEVELS)))
+
+
+def above(bin_: Column) -> Column:
+    """The node of each level that holds a bin."""
+    return F.array(*(F.struct(F.lit(level).alias("level"), F.floor(bin_ / F.lit(RADIX**level).cast("bigint")).cast("bigint").alias("node")) for level in range(LEVELS)))
+
+
 def override_periods(tickets: DataFrame, bin_secs: int) -> DataFrame:
-    """When each resolution is in force, cut at bin borders: ``[from_us, until_us)`` per (fingerprint, bin).
+    """When each resolution is in force, ``[from_us, until_us)``, once for each node of the cover of its bins.
 
     It ends when it expires or the next resolution of the fingerprint comes.  The next one is looked
     up inside the bin, else through one row per later bin, so a fingerprint is never sorted whole.
@@ -124,9 +154,9 @@ def override_periods(tickets: DataFrame, bin_secs: int) -> DataFrame:
     cut = timed.withColumn("until_us", until).where(F.col("until_us") > F.col("_from"))
     last_bin = F.floor((F.col("until_us") - 1) / width).cast("bigint")
     return cut.select(
-        "fingerprint", F.explode(F.sequence("_home", last_bin)).alias("_bin"), F.col("_from").alias("from_us"), "until_us",
+        "fingerprint", F.explode(cover(F.col("_home"), last_bin)).alias("_at"), F.col("_from").alias("from_us"), "until_us",
         F.struct("ticket_id", "status", "post_approval_action").alias("override"),
-    )
+    ).select("fingerprint", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"), "from_us", "until_us", "override")
 
 
 def apply_overrides(traffic: DataFrame, tickets: DataFrame, bin_secs: int = 900, ts: str = "ts", row_id: str = "request_id") -> DataFrame:
@@ -140,11 +170,14 @@ def apply_overrides(traffic: DataFrame, tickets: DataFrame, bin_secs: int = 900,
         F.struct("ticket_id", "status", "post_approval_action", "principal", "path", "request_sha256", "resolved_at").alias("_named"),
     )
     at = micros(F.col(ts))
-    binned = traffic.withColumn("_us", at).withColumn("_bin", F.floor(at / (bin_secs * MICROS)).cast("bigint"))
-    rows = skew.lookup(binned, named, ["review_ticket"], row_id)
-    counts = binned.groupBy("fingerprint", "_bin").agg(F.count("*").alias("n"))
+    # a request meets a period at the one node of its bin's path that the period's cover has; only keys and times take part
+    periods = skew.settle(override_periods(tickets, bin_secs))
+    asked = traffic.select(row_id, "fingerprint", at.alias("_us")).join(periods.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    probes = asked.withColumn("_at", F.explode(above(F.floor(F.col("_us") / (bin_secs * MICROS)).cast("bigint"))))
+    probes = probes.select(row_id, "fingerprint", "_us", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
     during = (F.col("from_us") <= F.col("_us")) & (F.col("_us") < F.col("until_us"))
-    rows = skew.lookup(rows, override_periods(tickets, bin_secs), ["fingerprint", "_bin"], row_id, on=during, counts=counts)
+    matched = skew.lookup(probes, periods, ["fingerprint", "_level", "_node"], row_id, "inner", on=during).select(row_id, "override")
+    rows = skew.lookup(traffic, named, ["review_ticket"], row_id).join(matched, row_id, "left")
     agrees = (
         (F.col("_named.principal") == F.col("principal")) & (F.col("_named.path") == F.col("path"))
         & (F.col("_named.request_sha256") == F.col("request_sha256")) & (F.col("_named.resolved_at") <= F.col(ts))
@@ -160,7 +193,7 @@ def apply_overrides(traffic: DataFrame, tickets: DataFrame, bin_secs: int = 900,
         .withColumn("decision", F.when(F.col("_status") == "approved", approved).when(F.col("_status") == "rejected", "block").otherwise(F.col("decision")))
         .withColumn("source", F.when(F.col("_status").isNotNull(), F.concat(F.lit("review_override_"), F.col("_status"))).otherwise(F.col("source")))
         .withColumn("reason", F.when(F.col("_status").isNotNull(), why).otherwise(F.col("reason")))
-        .drop("_status", "_us", "_bin", "_named", "from_us", "until_us", "override")
+        .drop("_status", "_named", "override")
     )
 
 

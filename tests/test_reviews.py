@@ -114,3 +114,27 @@ def test_history_opens_again_after_a_resolution(spark):
         assert sorted(r.request_id for r in W.open_history(asked, done, None, bins).collect()) == ["a", "c", "e", "h", "i"]
     before = asked.where("request_id = 'c'")
     assert sorted(r.request_id for r in W.open_history(asked, done, before).collect()) == ["e", "h", "i"]
+
+
+def test_cover_holds_each_bin_once(spark):
+    spans = [(0, 0), (5, 9), (15, 16), (-40, 300), (4095, 4097), (1, 70_000), (-7, -7), (255, 256 * 16 + 3), (0, 3_506_000)]
+    rows = spark.createDataFrame(spans, "a long, b long").select("a", "b", W.cover(F.col("a"), F.col("b")).alias("c")).collect()
+    for a, b, nodes in rows:
+        bins = sorted((n.node * W.RADIX**n.level, (n.node + 1) * W.RADIX**n.level) for n in nodes)
+        assert bins[0][0] == a and bins[-1][1] == b + 1 and all(x[1] == y[0] for x, y in zip(bins, bins[1:]))
+        assert len(nodes) <= 2 * W.RADIX * W.LEVELS
+    paths = spark.createDataFrame([(b,) for b in (-41, -40, 0, 16, 299, 300, 301)], "bin long").select("bin", W.above(F.col("bin")).alias("p")).collect()
+    held = {(n.level, n.node) for n in next(r.c for r in rows if (r.a, r.b) == (-40, 300))}
+    assert {r.bin: sum((n.level, n.node) in held for n in r.p) for r in paths} == {-41: 0, -40: 1, 0: 1, 16: 1, 299: 1, 300: 1, 301: 0}
+
+
+def test_overrides_of_a_century(spark):
+    century = 100 * 365 * 86_400
+    state = tickets(spark, created("t1", 0, post="redact"), resolved("t1", 10, ttl=century), created("t2", 0, fp="g"), resolved("t2", 10, "rejected", ttl=60))
+    assert W.override_periods(state, 900).where("fingerprint = 'f'").count() <= 2 * W.RADIX * W.LEVELS
+    asked = [("early", 9, "f"), ("first", 10, "f"), ("late", century // 2, "f"), ("last", century + 9, "f"), ("gone", century + 10, "f"), ("g", 69, "g"), ("g gone", 70, "g")]
+    df = spark.createDataFrame(
+        [(i, at(s), fp, None, "p", "/x", "sha", "review", "builtin", None) for i, s, fp in asked],
+        "request_id string, ts timestamp, fingerprint string, review_ticket string, principal string, path string, request_sha256 string, decision string, source string, reason string")
+    got = {r.request_id: r.decision for r in W.apply_overrides(df, state).collect()}
+    assert got == {"early": "review", "first": "redact", "late": "redact", "last": "redact", "gone": "review", "g": "block", "g gone": "review"}
