@@ -17,7 +17,7 @@ from shroudline.operators.sessions import micros
 from shroudline.plans import audits as PA, drifts as PD, payloads as PP, reviews as PR, sessions as PN, sql as S, views as V
 from shroudline.plans.registry import query
 from shroudline.sources import logs, traffic as TR
-from shroudline.streaming import jobs as J, sessions as SS
+from shroudline.streaming import jobs as J, outcomes as O, sessions as SS
 
 
 def live(spark, d, name):
@@ -75,6 +75,41 @@ def sse_outcome(spark, d):
     return L.stream_outcome(Y.redact_lines(lines, V.CONFIG, P.local_principal(), rules=DEFAULT_POLICY_RULES))
 
 
+def outcome_lines(spark, d):
+    """The rewritten lines as files of a stream, numbered per stream, dealt out regardless of order, some of them twice."""
+    from pyspark.sql import Window
+
+    folder = J.work_dir(spark, "outcome-lines")
+    lines = PP.sse_lines(spark, d)
+    done = Y.redact_lines(lines, V.CONFIG, P.local_principal(), rules=DEFAULT_POLICY_RULES)
+    of = Window.partitionBy("stream_id")
+    numbered = done.withColumn("n", F.row_number().over(of.orderBy("doc_id")) - 1).withColumn("size", F.count("*").over(of))
+    judged = O.judged_lines(numbered, F.col("n"), F.col("doc_id"), F.col("n") == F.col("size") - 1)
+    mixed = judged.withColumn("part", F.pmod(F.xxhash64("stream_id", "seq"), F.lit(5)))
+    again = mixed.where("seq % 7 = 0").withColumn("part", F.pmod(F.col("part") + 1, F.lit(5)))
+    mixed.unionByName(again).repartition(5, "part").drop("part").write.parquet(folder)
+    schema = judged.schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("stream_outcome_live", OUTCOME_SQL)
+def stream_outcome_live(spark, d):
+    """The outcomes of sse_outcome, from keyed state over several batches."""
+    with rocksdb(spark):
+        out = finished(spark, O.outcome_stream(outcome_lines(spark, d)), "outcomes")
+    return out.where("ended").select(F.col("stream_id").cast("bigint").alias("stream_id"), "decision", "source", "reason", "n_findings", "n_lines")
+
+
+@query("stream_outcome_audit", OUTCOME_SQL.replace("SELECT stream_id, (['allow'", "SELECT stream_id::VARCHAR AS request_id, (['allow'").replace(
+    "y.s AS source, y.c AS reason, n_findings, n_lines FROM y", "y.s AS policy_source, y.c AS decision_reason FROM y"))
+def stream_outcome_audit(spark, d):
+    """One audit record per stream, appended by the live sink and read back."""
+    folder = J.work_dir(spark, "outcome-audit")
+    with rocksdb(spark):
+        J.run_audit_sink(O.outcome_audit(O.outcome_stream(outcome_lines(spark, d))), folder).awaitTermination()
+    return logs.read_audit(spark, f"{folder}/data").select("request_id", "decision", "policy_source", "decision_reason")
+
+
 @query("stream_sse_redact", f"WITH {PP.SSE_SQL} SELECT doc_id, line_out AS line, {S.action_of('top')} AS decision FROM sse_out")
 def stream_sse_redact(spark, d):
     folder = J.work_dir(spark, "sse-lines")
