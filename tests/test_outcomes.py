@@ -44,10 +44,10 @@ class Handle:
     def __init__(self):
         self.timers = []
 
-    def getValueState(self, name, _):
+    def getValueState(self, *_):
         return Value()
 
-    def getMapState(self, name, _):
+    def getMapState(self, *_):
         return Map()
 
     def listTimers(self):
