@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from shroudline.config import DEFAULT_POLICY_RULES
 from shroudline.functions import sql as FS
-from shroudline.operators import lines as L, payloads as Y, policy as P
+from shroudline.operators import lines as L, payloads as Y, policy as P, skew
 from shroudline.operators.sessions import micros
 from shroudline.plans import audits as PA, drifts as PD, payloads as PP, reviews as PR, sessions as PN, sql as S, views as V
-from shroudline.plans.registry import query
+from shroudline.plans import metrics as _metrics, policies as PPOL  # noqa: F401  their SQL is built upon here
+from shroudline.plans.registry import ORACLES, query
 from shroudline.sources import logs, traffic as TR
-from shroudline.streaming import jobs as J, outcomes as O, sessions as SS
+from shroudline.streaming import counters as C, jobs as J, outcomes as O, sessions as SS
 
 
 def live(spark, d, name):
@@ -142,6 +143,56 @@ def stream_counters(spark, d):
     return rows.select(micros(F.col("window.start")).alias("window_us"), "event_type", "n")
 
 
+def counter_events(spark, d):
+    """Everything that counts, as rows of one event table."""
+    from functools import reduce
+
+    from shroudline.operators import usage as U
+    from shroudline.plans import metrics as PM
+
+    audit = PM.judged_audit(spark, d).select(F.struct("direction", "decision", "policy_source", "matched_labels", "error_stage", "error_kind").alias("audit"))
+    failures = P.auth_failures(PPOL.credentials(spark, d), P.principals_df(spark, S.CALLERS[:3])).select(F.col("reason").alias("auth_failure"))
+    resolved = PR.review_log(spark, d).where("type = 'resolved'").select(F.col("status").alias("resolution"))
+    bodies = PP.usage_bodies(spark, d)
+    # a body without usage is a request to a model; one with usage adds its tokens
+    models = bodies.select(skew.bound(U.model_of(F.col("body"))).alias("model")).where("model is not null")
+    tokens = U.usages(bodies).select(F.coalesce("model", F.lit("unknown")).alias("used_by"), "prompt_tokens", "completion_tokens")
+    timing = PM.latency(spark, d).select(F.struct("direction", "kind", "seconds").alias("timing"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (audit, failures, resolved, models, tokens, timing)).select(*[
+        F.col(name).cast(kind).alias(name) for name, kind in C.FIELDS
+    ])
+
+
+def counts_sql(name, family, *keys, n="n"):
+    levels = [*keys, *["NULL"] * (3 - len(keys))]
+    return f"SELECT '{family}' AS family, {', '.join(f'{k}::VARCHAR AS k{i}' for i, k in enumerate(levels, 1))}, {n}::DOUBLE AS n FROM ({ORACLES[name]})"
+
+
+def all_counts_sql():
+    from shroudline.plans import metrics as PM
+
+    buckets = [counts_sql("m_histogram", "seconds_bucket", "direction", "kind", f"'{le}'", n=f"le_{str(le).replace('.', '_')}") for le in PM.M.BUCKETS]
+    return " UNION ALL ".join([
+        counts_sql("m_requests", "requests_total", "direction", "decision"), counts_sql("m_decisions", "policy_decisions_total", "direction", "decision", "source"),
+        counts_sql("m_fallbacks", "processing_fallback_total", "kind"), counts_sql("m_detections", "detections_total", "direction", "label"),
+        counts_sql("m_auth_failures", "auth_failures_total", "reason"), counts_sql("m_review_events", "review_events_total", "event"),
+        counts_sql("m_llm_requests", "llm_requests_total", "model"), counts_sql("m_llm_tokens", "llm_tokens_total", "model", "kind", n="tokens"),
+        counts_sql("m_histogram", "seconds_count", "direction", "kind", n="count"), counts_sql("m_histogram", "seconds_sum", "direction", "kind", n="sum_seconds"),
+        *[f"SELECT * FROM ({b}) WHERE n > 0" for b in buckets],
+    ])
+
+
+@query("stream_m_all", all_counts_sql())
+def stream_m_all(spark, d):
+    """All counters of a live stream over several batches, added up every two of them."""
+    folder = J.work_dir(spark, "all-counters")
+    events = counter_events(spark, d)
+    events.repartition(5, F.rand(3)).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    C.run_all_counters(stream, folder, every=2).awaitTermination()
+    return C.all_counters(spark, folder).select(*C.KEYS, F.round("n", 6).alias("n"))
+
+
 @query("stream_review", f"WITH {PR.REVIEW_SQL} SELECT fingerprint, arg_min(event_id, (us, event_id)) AS event_id FROM base WHERE event_type = 'click' GROUP BY fingerprint")
 def stream_review(spark, d):
     from shroudline.operators import reviews as W
