@@ -70,20 +70,41 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], row_id: str | lis
     return left.join(right, match, how).drop("_salt", "_r__salt", *[f"_r_{key}" for key in keys])
 
 
-def prefix_sum(rows: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+def dense_order(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """``rows`` with their number within ``key``, from 0 without gaps, by ``order``: whole numbers that may lie far apart; equal ones share a number.
+
+    Key and order alone are range-partitioned and sorted, so a key of any size lies in neighbouring partitions; a row's number is its place
+    there and what the partitions before hold of its key, one row per partition and key.
+    """
+    ranged = rows.select(key, F.col(order).alias("_order")).repartitionByRange(key, "_order").dropDuplicates([key, "_order"]).sortWithinPartitions(key, "_order")
+    placed = settle(ranged.withColumn("_place", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_place", 33))
+    held = placed.groupBy(key, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_held"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = held.select(key, "_part", (F.coalesce(F.sum("_held").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
+    numbers = placed.join(base, [key, "_part"]).select(key, F.col("_order").alias(order), (F.col("_place") + F.col("_base")).alias(name))
+    return rows.join(numbers, [key, order])
+
+
+def prefix_sum(rows: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK, dense: bool = False) -> DataFrame:
     """Sum of ``value`` over earlier rows of the same key, ``order`` being unique whole numbers.
 
-    Sorted in blocks of ``block`` consecutive numbers, and then over one total per block, so no task
-    sorts a whole key.
+    Rows are numbered without gaps (``dense`` says that they are), summed in blocks of ``block``, and blocks in blocks of blocks, so no
+    task sorts a whole key: up to block ** 3 rows of a key no window is longer than a block.
     """
-    blocked = rows.withColumn("_value", value).withColumn("_block", F.floor(F.col(order) / block).cast("bigint"))
-    totals = blocked.groupBy(key, "_block").agg(F.sum("_value").alias("_total"), F.count("*").alias("n"))
-    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(key, "_block", "n", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("_pos", F.col(order)) if dense else dense_order(rows, key, order, "_pos")
+    blocked = numbered.withColumn("_value", value).withColumn("_block", F.floor(F.col("_pos") / block).cast("bigint"))
+    totals = blocked.groupBy(key, "_block").agg(F.sum("_value").alias("_total")).withColumn("_over", F.floor(F.col("_block") / block).cast("bigint"))
+    larger = totals.groupBy(key, "_over").agg(F.sum("_total").alias("_sum"))
+
+    def earlier(by: str, *within: str) -> Window:
+        return Window.partitionBy(key, *within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+
+    base = larger.select(key, "_over", F.coalesce(F.sum("_sum").over(earlier("_over")), F.lit(0)).alias("_base"))
+    inner = totals.select(key, "_block", "_over", F.coalesce(F.sum("_total").over(earlier("_block", "_over")), F.lit(0)).alias("_inner"))
+    before = inner.join(base, [key, "_over"]).select(key, "_block", (F.col("_base") + F.col("_inner")).alias("_before"))
     return (
-        blocked.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .join(before.drop("n"), [key, "_block"])
+        blocked.withColumn("_inside", F.coalesce(F.sum("_value").over(earlier("_pos", "_block")), F.lit(0)))
+        .join(before, [key, "_block"])
         .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_value", "_block", "_before", "_inside")
+        .drop("_value", "_block", "_before", "_inside", "_pos")
     )

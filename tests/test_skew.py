@@ -44,3 +44,27 @@ def test_bracketed_quantiles_are_exact(spark):
         for name, values in groups.items():
             values = sorted(values)
             assert [got[name].p50, got[name].p95] == [values[math.floor((len(values) - 1) * p)] for p in wanted.values()]
+
+
+def test_numbers_and_sums_over_sparse_orders(spark):
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for key, n in (("hot", 3000), ("a", 1), ("b", 40), ("c", 700)):
+        orders = [*{r.randrange(-(2**62), 2**62) for _ in range(n - 1)}, 2**63 - 1]
+        rows += [(key, o, r.randrange(5)) for o in orders]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o bigint, v int").repartition(6)
+    number, total, want = {}, {}, {}
+    for key, order, value in sorted(rows):
+        want[key, order] = (number.get(key, 0), total.get(key, 0))
+        number[key], total[key] = number.get(key, 0) + 1, total.get(key, 0) + value
+    got = {(x.k, x.o): x.n for x in skew.dense_order(df, "k", "o", "n").collect()}
+    assert got == {k: n for k, (n, _) in want.items()}
+    for block in (4096, 7):  # 7: blocks of blocks, and more than block ** 3 rows
+        got = {(x.k, x.o): x.s for x in skew.prefix_sum(df, "k", "o", F.col("v").cast("bigint"), "s", block=block).collect()}
+        assert got == {k: s for k, (_, s) in want.items()}
+    assert skew.dense_order(df.limit(0), "k", "o", "n").count() == 0
+    twice = spark.createDataFrame([("a", 5), ("a", 5), ("a", -9), ("a", 7)], "k string, o bigint")
+    assert sorted((x.o, x.n) for x in skew.dense_order(twice, "k", "o", "n").collect()) == [(-9, 0), (5, 1), (5, 1), (7, 2)]
