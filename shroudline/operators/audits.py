@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroudline.functions import ranks
-from shroudline.operators import policy as P
+from shroudline.operators import policy as P, skew
 
 # How many records are listed unless a limit is given.
 LIMIT_DEFAULT = 50
@@ -75,7 +75,7 @@ def query_audit(audit: DataFrame, label: str | None = None, limit: int | None =
 
 def recent(audit: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` records."""
-    return audit.orderBy(F.col("ts").desc(), F.col("request_id").desc()).limit(n)
+    return skew.top(audit, n, [("ts", True), ("request_id", True)])
 
 
 def tail_then_filter(audit: DataFrame, n: int, **conditions) -> DataFrame:

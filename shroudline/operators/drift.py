@@ -18,7 +18,8 @@ EPSILON = 2.220446049250313e-16
 METRICS = ("throughput_rps", "avg_ms", "p95_ms")
 SEVERITY = {"regression": 0, "new": 1, "improvement": 2, "unchanged": 3}
 
-ACCURACY = 10_000
+# Cells that a bracket is cut into, and values in a bracket that are few enough to be put in order.
+CELLS = 256
 DIRECT = 100_000
 
 
@@ -26,47 +27,57 @@ def exact_quantiles(facts: DataFrame, value: str, by: list[str], quantiles: dict
                     direct: int = DIRECT) -> DataFrame:
     """The value at index floor((n − 1)·p) of each sorted group, for every named p.
 
-    A sketch brackets each quantile first; then values below the bracket are only counted, and only
-    those inside it are ordered, a thousandth part of a group and not the group.  The bracket is
-    checked: a rank outside it stops the job instead of giving a wrong value.  Groups of at most
-    ``direct`` rows are ordered as they are.  ``stats`` holds the count ``n`` and the columns made by
-    :func:`brackets`.
+    A quantile lies in a bracket, at first from the least to the greatest value.  A bracket of more than ``direct`` values is cut
+    into CELLS cells at sketched borders, the cells are counted exactly, and the one that holds the rank is the next
+    bracket; borders need not be right for the counts to be.  So no more than ``direct`` values are ever ordered in one task, and
+    a bracket of one value is done.  ``stats`` holds the count ``n`` and the columns made by :func:`brackets`.
     """
-    small = F.col("n") <= direct
-    targets = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"), F.floor((F.col("n") - 1) * F.lit(p)).cast("bigint").alias("rank"),
-            F.when(small, F.col("_least")).otherwise(F.get("_low", F.lit(i))).alias("low"),
-            F.when(small, F.col("_most")).otherwise(F.get("_high", F.lit(i))).alias("high"),
-        )
-        for i, (name, p) in enumerate(quantiles.items())
+    wanted = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.floor((F.col("n") - 1) * F.lit(p)).cast("bigint").alias("rank")) for name, p in quantiles.items()
     ])
-    wanted = stats.select(*by, targets.alias("_targets"))
+    open_ = stats.select(*by, F.explode(wanted).alias("t"), F.col("_least").alias("low"), F.col("_most").alias("high"), F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"))
+    targets = open_.select(*by, "t.name", "t.rank", "low", "high", "below", "inside")
+    while True:
+        targets = skew.settle(targets)
+        wide = (F.col("inside") > direct) & (F.col("low") < F.col("high"))
+        if targets.where(wide).isEmpty():
+            break
+        targets = targets.where(~wide).unionByName(_narrowed(_values(facts, value, by, targets.where(wide), stats), by))
+
+    upto = Window.partitionBy(*by, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = _values(facts, value, by, targets, stats).withColumn("_upto", F.col("below") + F.sum("_c").over(upto))
+    placed = placed.where((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("_c") <= F.col("rank")))
+    found = placed.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in quantiles])
+    return stats.drop("_least", "_most").join(found, by)
+
+
+def _values(facts: DataFrame, value: str, by: list[str], targets: DataFrame, stats: DataFrame) -> DataFrame:
+    """Each value in the bracket of a target, and how often it occurs."""
+    listed = targets.groupBy(*by).agg(F.collect_list(F.struct("name", "rank", "low", "high", "below")).alias("_targets"))  # one per quantile
     # groups may be few and large: the hot ones are dealt out over tasks
-    met = skew.lookup(facts, wanted, by, [c for c in facts.columns if c not in by], "inner", counts=stats.select(*by, "n"))
-    rows = (
-        met.select(*by, value, F.explode("_targets").alias("_t"))
-        .where(F.col(value) <= F.col("_t.high"))
-        .select(*by, "_t.name", "_t.rank", F.when(F.col(value) >= F.col("_t.low"), F.col(value)).alias("_v"))
-        .groupBy(*by, "name", "rank", "_v").agg(F.count("*").alias("_c"))
-    )
-    upto = Window.partitionBy(*by, "name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("_upto", F.sum("_c").over(upto)).where((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("_c") <= F.col("rank")))
-    checked = F.when(F.col("_v").isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(F.col("_v"))
-    found = placed.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, checked)).alias(name) for name in quantiles])
-    return stats.drop("_low", "_high", "_least", "_most").join(found, by)
-
-
-def brackets(value: str, quantiles: dict[str, float], accuracy: int = ACCURACY) -> list[Column]:
-    """Sketch aggregates that bracket every quantile by four times the error of the sketch."""
-    slack = 4.0 / accuracy
-    low = [F.lit(max(p - slack, 0.0)) for p in quantiles.values()]
-    high = [F.lit(min(p + slack, 1.0)) for p in quantiles.values()]
-    return [
-        F.percentile_approx(value, F.array(*low), accuracy).alias("_low"),
-        F.percentile_approx(value, F.array(*high), accuracy).alias("_high"),
-        F.min(value).alias("_least"), F.max(value).alias("_most"),
-    ]
+    met = skew.lookup(facts, listed, by, [c for c in facts.columns if c not in by], "inner", counts=stats.select(*by, "n"))
+    inside = met.select(*by, F.col(value).alias("_v"), F.explode("_targets").alias("_t")).where((F.col("_v") >= F.col("_t.low")) & (F.col("_v") <= F.col("_t.high")))
+    return inside.groupBy(*by, "_t.name", "_t.rank", "_t.below", "_v").agg(F.count("*").alias("_c"))
+
+
+def _narrowed(values: DataFrame, by: list[str]) -> DataFrame:
+    """Brackets of one cell each."""
+    keys = [*by, "name"]
+    values = skew.settle(values)
+    borders = values.groupBy(*keys).agg(
+        F.percentile_approx("_v", F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)]), 10 * CELLS).alias("_borders"), F.count("*").alias("n"))
+    met = skew.lookup(values, borders.drop("n"), keys, "_v", "inner", counts=borders.select(*keys, "n"))
+    cell = F.size(F.filter("_borders", lambda border: border < F.col("_v"))).alias("_cell")
+    cells = met.select(*keys, "rank", "below", "_v", "_c", cell).groupBy(*keys, "rank", "below", "_cell").agg(
+        F.sum("_c").alias("_n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.count("*").alias("inside"))
+    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    counted = cells.withColumn("_upto", F.col("below") + F.sum("_n").over(upto)).where((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("_n") <= F.col("rank")))
+    return counted.select(*keys, "rank", "low", "high", (F.col("_upto") - F.col("_n")).alias("below"), "inside")
+
+
+def brackets(value: str, quantiles: dict[str, float]) -> list[Column]:
+    """Aggregates that bracket every quantile of a group."""
+    return [F.min(value).alias("_least"), F.max(value).alias("_most")]
 
 
 def run_stats(facts: DataFrame, by: list[str], value: str = "latency_ms", ts: str = "started_at") -> DataFrame:

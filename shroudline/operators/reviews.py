@@ -236,7 +236,7 @@ def trim_tickets(tickets: DataFrame, capacity: int) -> DataFrame:
     Dropping a ticket drops the pending and override entry of its fingerprint, even one a newer
     ticket had set.
     """
-    kept = tickets.orderBy(F.col("created_at").desc(), F.col("ticket_id").desc()).limit(max(capacity, 1))
+    kept = skew.top(tickets, max(capacity, 1), [("created_at", True), ("ticket_id", True)])
     kept_by = kept.groupBy("fingerprint").agg(F.count("*").alias("_kept"))
     total_by = (
         tickets.join(kept_by.select("fingerprint"), "fingerprint", "left_semi").groupBy("fingerprint").agg(F.count("*").alias("_all"))

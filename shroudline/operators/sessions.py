@@ -99,7 +99,7 @@ def active_sessions(df: DataFrame, at: Column, ttl_secs: int, key: str = "sessio
 
 def cap_sessions(df: DataFrame, n: int, key: str = "session_id", ts: str = "ts") -> DataFrame:
     """The ``n`` most recently updated sessions (a capacity, so a top-n)."""
-    return df.groupBy(key).agg(F.max(ts).alias("updated_at")).orderBy(F.col("updated_at").desc(), F.col(key)).limit(n)
+    return skew.top(df.groupBy(key).agg(F.max(ts).alias("updated_at")), n, [("updated_at", True), (key, False)])
 
 
 def flag_marked(rows: DataFrame, marks: DataFrame, ttl_secs: int, key: str, ts: str = "ts", row_id: str = "request_id") -> DataFrame:

@@ -108,3 +108,42 @@ def prefix_sum(rows: DataFrame, key: str, order: str, value: Column, name: str,
         .withColumn(name, F.col("_before") + F.col("_inside"))
         .drop("_value", "_block", "_before", "_inside", "_pos")
     )
+
+
+# More rows than this are not taken by one task's heap but by the value of the last one.
+TAKEN = 10_000
+
+
+def top(rows: DataFrame, n: int, order: list[tuple[str, bool]], taken: int = TAKEN) -> DataFrame:
+    """The first ``n`` rows by ``order``: (column, whether descending); NULL is least.
+
+    For a large ``n`` the order columns alone are range-partitioned and sorted; counts per partition tell where the n-th row lies, and
+    rows are filtered by its values where they are, so no task sees ``n`` rows.  Rows equal to the n-th in all columns are cut to the number left.
+    """
+    sort = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order]
+    if n <= taken:
+        return rows.orderBy(*sort).limit(n)
+    names = [c for c, _ in order]
+    ranged = rows.select(*names).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    placed = settle(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    held = sorted((r[0], r[1]) for r in placed.groupBy(F.shiftright("_place", 33).alias("_part")).agg(F.count("*").alias("n")).collect())  # one per partition
+    before = 0
+    for part, count in held:
+        if before + count >= n:
+            break
+        before += count
+    else:
+        return rows
+    edge = placed.where(F.col("_place") == (part << 33) + n - before - 1).first()
+    earlier, same = F.lit(False), F.lit(True)
+    for name, down in order:
+        value = F.lit(edge[name]).cast(rows.schema[name].dataType)
+        column = F.col(name)
+        if edge[name] is None:
+            ahead = column.isNotNull() if down else F.lit(False)
+        else:
+            ahead = F.coalesce(column > value if down else column < value, F.lit(not down))
+        earlier = earlier | (same & ahead)
+        same = same & column.eqNullSafe(value)
+    first = rows.where(earlier)
+    return first.unionByName(rows.where(same).limit(n - placed.where(earlier).count()))

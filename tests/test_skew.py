@@ -68,3 +68,39 @@ def test_numbers_and_sums_over_sparse_orders(spark):
     assert skew.dense_order(df.limit(0), "k", "o", "n").count() == 0
     twice = spark.createDataFrame([("a", 5), ("a", 5), ("a", -9), ("a", 7)], "k string, o bigint")
     assert sorted((x.o, x.n) for x in skew.dense_order(twice, "k", "o", "n").collect()) == [(-9, 0), (5, 1), (5, 1), (7, 2)]
+
+
+def test_quantiles_by_narrowing_alone(spark):
+    """Brackets of many values, of heavy ties, and of one value, down to a handful of values at a time."""
+    rng = random.Random(6)
+    groups = {
+        "wide": [rng.gauss(0, 1e6) for _ in range(20_000)], "ties": [float(rng.choice([0, 0, 0, 1, 2, 900])) for _ in range(9_000)],
+        "steps": [math.floor(rng.expovariate(1) * 300) / 8 for _ in range(9_000)], "same": [2.5] * 5_000, "two": [1.0, 9.0],
+    }
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double").repartition(8)
+    wanted = {"least": 0.0, "p50": 0.5, "p999": 0.999, "most": 1.0}
+    stats = df.groupBy("g").agg(F.count("*").alias("n"), *B.brackets("v", wanted))
+    got = {r.g: r for r in B.exact_quantiles(df, "v", ["g"], wanted, stats, 3).collect()}
+    for name, values in groups.items():
+        values = sorted(values)
+        assert [got[name][q] for q in wanted] == [values[math.floor((len(values) - 1) * p)] for p in wanted.values()], name
+
+
+def test_large_top_n(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(40)]), rng.choice(["a", "b", "c", None]), i) for i in range(3_000)]
+    rows += [(39, "c", -1)] * 50
+    df = spark.createDataFrame(rows, "x int, y string, i int").repartition(7)
+    low = (-1, "")
+    for order in ([("x", True), ("y", False)], [("x", False), ("y", True), ("i", True)]):
+        def key(row):
+            values = {"x": row[0], "y": row[1], "i": row[2]}
+            return [values[c] for c, _ in order]
+        ordered = list(rows)
+        for at, (_, down) in reversed(list(enumerate(order))):  # stable, the last column first; NULL is least
+            ordered.sort(key=lambda row: (key(row)[at] is not None, key(row)[at] if key(row)[at] is not None else low[0] if order[at][0] != "y" else low[1]), reverse=down)
+        for n in (1, 30, 77, 1500, 3049, 3050, 9000):
+            got = [tuple(r) for r in skew.top(df, n, order, taken=0).collect()]
+            assert sorted(map(repr, map(key, got))) == sorted(map(repr, map(key, ordered[:n]))), (order, n)
+            assert sorted(map(repr, map(key, (tuple(r) for r in skew.top(df, n, order).collect())))) == sorted(map(repr, map(key, got)))
+    assert skew.top(df.limit(0), 5, [("x", True)], taken=0).count() == 0
