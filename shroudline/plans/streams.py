@@ -18,7 +18,7 @@ from shroudline.plans import audits as PA, drifts as PD, payloads as PP, reviews
 from shroudline.plans import metrics as _metrics, policies as PPOL  # noqa: F401  their SQL is built upon here
 from shroudline.plans.registry import ORACLES, query
 from shroudline.sources import logs, traffic as TR
-from shroudline.streaming import counters as C, jobs as J, outcomes as O, sessions as SS
+from shroudline.streaming import counters as C, jobs as J, outcomes as O, sessions as SS, tickets as TB
 
 
 def live(spark, d, name):
@@ -218,6 +218,19 @@ def stream_review_reopen(spark, d):
     return spark.read.option("basePath", f"{folder}/data").parquet(f"{folder}/data").select("fingerprint", "event_id")
 
 
+@query("stream_review_keyed", PR.HISTORY_SQL)
+def stream_review_keyed(spark, d):
+    """The same tickets from keyed state: a batch reads no ticket but the latest of its fingerprints."""
+    folder = J.work_dir(spark, "keyed")
+    named = PR.rows_of(V.table(spark, d, "events")).select("fingerprint", F.concat(F.lit("t"), "event_id").alias("ticket_id"))
+    log = PR.review_log(spark, d).where("type = 'resolved'").select("ticket_id", "resolved_at").join(named, "ticket_id")
+    log.write.parquet(f"{folder}/log")
+    asked = PR.rows_of(live(spark, d, "events")).where("event_type = 'signup'").select("fingerprint", "ts", F.concat(F.lit("t"), "event_id").alias("request_id"))
+    with rocksdb(spark):
+        out = finished(spark, TB.ticket_stream(asked, spark.readStream.schema(log.schema).parquet(f"{folder}/log")), "keyed-out")
+    return out.select("fingerprint", F.substring("request_id", 2, 30).cast("bigint").alias("event_id"))
+
+
 def audit_records(spark, d):
     return PA.audit(spark, d).withColumn("ts", F.timestamp_seconds("ts"))
 
