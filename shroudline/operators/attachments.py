@@ -191,14 +191,14 @@ def explode_nodes(files: DataFrame, *keep: str, content: str = "content", pointe
     return nodes.select(*keep, F.explode("_nodes").alias("n")).select(*keep, "n.*")
 
 
-def apply_budget(nodes: DataFrame, max_chars: int, key: str = "path", order: str = "position", text: str = "text") -> DataFrame:
+def apply_budget(nodes: DataFrame, max_chars: int, key: str = "path", order: str = "position", text: str = "text", dense: bool = False) -> DataFrame:
     """Nodes within a character budget per file, in order; the last one is cut.  ``truncated`` marks all nodes of a file with more text.
 
-    ``order`` numbers the nodes of a file.
+    ``order`` orders the nodes of a file by unique whole numbers; ``dense`` says that they run from 0 without gaps.
     """
     size = F.char_length(text).cast("bigint")
     over = nodes.groupBy(key).agg(F.sum(size).alias("_total"), F.count("*").alias("n")).where(F.col("_total") > max_chars)
-    counted = skew.prefix_sum(nodes, key, order, size, "before").where(F.col("before") < max_chars)
+    counted = skew.prefix_sum(nodes, key, order, size, "before", dense=dense).where(F.col("before") < max_chars)
     marked = skew.lookup(counted, over.select(key, "_total"), [key], order, "left", counts=over.select(key, "n"))
     return (
         marked.withColumn("truncated", F.col("_total").isNotNull())

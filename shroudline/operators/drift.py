@@ -37,12 +37,9 @@ def exact_quantiles(facts: DataFrame, value: str, by: list[str], quantiles: dict
     ])
     open_ = stats.select(*by, F.explode(wanted).alias("t"), F.col("_least").alias("low"), F.col("_most").alias("high"), F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"))
     targets = open_.select(*by, "t.name", "t.rank", "low", "high", "below", "inside")
-    while True:
-        targets = skew.settle(targets)
-        wide = (F.col("inside") > direct) & (F.col("low") < F.col("high"))
-        if targets.where(wide).isEmpty():
-            break
-        targets = targets.where(~wide).unionByName(_narrowed(_values(facts, value, by, targets.where(wide), stats), by))
+    wide = (F.col("inside") > direct) & (F.col("low") < F.col("high"))
+    while not targets.where(wide).isEmpty():
+        targets = skew.settle(targets.where(~wide).unionByName(_narrowed(_values(facts, value, by, targets.where(wide), stats), by)))
 
     upto = Window.partitionBy(*by, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = _values(facts, value, by, targets, stats).withColumn("_upto", F.col("below") + F.sum("_c").over(upto))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shroudline.operators import drift as B
+from shroudline.operators import drift as B, skew
 from shroudline.plans import views as V
 from shroudline.plans.registry import query
 
@@ -14,23 +14,31 @@ SCENARIO = "CASE WHEN user_id % 10 = 0 AND ts >= TIMESTAMP_NTZ '2024-01-16 00:00
 LATENCY = "CASE WHEN event_type = 'view' AND ts >= TIMESTAMP_NTZ '2024-01-16 00:00:00' THEN value * 0.5 ELSE value END"
 
 
-def facts(spark, d, current: bool):
-    events = V.table(spark, d, "events")
-    half = events.where(f"ts >= TIMESTAMP_NTZ '{SPLIT}'" if current else f"ts < TIMESTAMP_NTZ '{SPLIT}'")
-    return half.select(
-        F.expr(SCENARIO).alias("scenario"), (F.col("user_id") % 3).alias("run"), F.expr(LATENCY).alias("latency_ms"),
-        F.col("ts").cast("timestamp").alias("started_at"),
+def facts(spark, d):
+    """Latencies of both halves of the time; ``current`` tells which."""
+    return V.table(spark, d, "events").select(
+        F.expr(f"ts >= TIMESTAMP_NTZ '{SPLIT}'").alias("current"), F.expr(SCENARIO).alias("scenario"), (F.col("user_id") % 3).alias("run"),
+        F.expr(LATENCY).alias("latency_ms"), F.col("ts").cast("timestamp").alias("started_at"),
     )
 
 
-def stats(spark, d, current: bool = True):
-    rows = B.run_stats(facts(spark, d, current), ["scenario", "run"])
-    return rows.withColumn("ok", F.col("max_ms") < 480).withColumn(
-        "sources", F.array(F.concat(F.lit("src-"), F.col("run")), F.lit("builtin")))
+def with_marks(rows):
+    return rows.withColumn("ok", F.col("max_ms") < 480).withColumn("sources", F.array(F.concat(F.lit("src-"), F.col("run")), F.lit("builtin")))
 
 
-def summary(spark, d, current: bool = True):
-    return B.median_runs(stats(spark, d, current))
+def stats(spark, d):
+    """Figures of the runs of the current half."""
+    return with_marks(B.run_stats(facts(spark, d).where("current"), ["scenario", "run"]))
+
+
+def summary(spark, d):
+    return B.median_runs(stats(spark, d))
+
+
+def summaries(spark, d):
+    """Medians of the current and of the earlier half, from one pass with the half as a key."""
+    rows = with_marks(skew.settle(B.run_stats(facts(spark, d).where("current IS NOT NULL"), ["current", "scenario", "run"])))
+    return tuple(B.median_runs(rows.where(half).drop("current")) for half in ("current", "NOT current"))
 
 
 def _stats_sql(name: str, where: str) -> str:
@@ -103,13 +111,13 @@ def pct_delta(spark, d):
 
 @query("bench_drift", f"WITH {ROWS_SQL} SELECT scenario, plain AS classification, {', '.join(f'round(d_{m}, 6) AS {m}_delta' for m in B.METRICS)} FROM judged")
 def bench_drift(spark, d):
-    rows = B.drift(summary(spark, d), summary(spark, d, False))
+    rows = B.drift(*summaries(spark, d))
     return rows.select("scenario", "classification", *rounded(rows, *[f"{m}_delta" for m in B.METRICS]))
 
 
 @query("bench_drift_counts", f"WITH {ROWS_SQL} SELECT plain AS classification, count(*) AS n FROM judged GROUP BY 1")
 def bench_drift_counts(spark, d):
-    return B.drift_counts(B.drift(summary(spark, d), summary(spark, d, False)))
+    return B.drift_counts(B.drift(*summaries(spark, d)))
 
 
 @query("bench_band", f"WITH {BOTH_SQL} " + " UNION ALL ".join(
@@ -123,7 +131,7 @@ def bench_band(spark, d):
 
 
 def gated(spark, d):
-    return B.gate_rows(summary(spark, d), summary(spark, d, False))
+    return B.gate_rows(*summaries(spark, d))
 
 
 @query("bench_gate_rows", f"WITH {ROWS_SQL} SELECT scenario, gated AS classification, raw_regressions, suppressed_regressions, suppressed_improvements, ok FROM judged")

@@ -68,7 +68,7 @@ def text_budget(spark, d):
     folder = J.work_dir(spark, "nodes")
     A.explode_nodes(office_files(spark, d), "doc_id").select("doc_id", F.col("text_index").cast("bigint").alias("text_index"), "text").write.parquet(folder)
     nodes = spark.read.schema("doc_id bigint, text_index bigint, text string").parquet(folder)
-    return A.apply_budget(nodes, BUDGET, "doc_id", "text_index")
+    return A.apply_budget(nodes, BUDGET, "doc_id", "text_index", dense=True)
 
 
 @query("part_findings", f"""WITH {LINES_SQL} SELECT f.line_id // 100000 AS doc_id, f.rule_name, concat('/attachments/file/word/document.xml#text/', f.line_id % 100000) AS pointer,
