@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroudline.llm.work import body, settle
+from shroudline.llm.work import body, fresh, settle
 
 RUNS = "doc_id {id}, text_sha256 string, keep_id {id}, group_size long, first boolean, edge boolean"
 
@@ -43,9 +43,16 @@ def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pre
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row per distinct text; ids are taken as unique here."""
-    gone = find_copies(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id))
-    return docs.join(gone, doc_id, "left_anti")
+    """``docs`` with one row per distinct text: of equal texts the row with the largest id, a null id being the least.
+
+    Rows are numbered in order of their ids, and each stays or goes by its own text, also without id or with an id that others have.
+    """
+    (number,) = fresh(docs, "number")
+    order = (F.col(doc_id).asc_nulls_first(), F.xxhash64(body(text)))
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = settle(ordered.withColumn(number, F.monotonically_increasing_id()), "ordered")
+    gone = find_copies(rows, number, text).filter(~F.col("kept")).select(F.col("doc_id").alias(number))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def mark_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -537,3 +537,11 @@ def test_several_texts_of_an_id_have_no_one_size(spark):
     rows = [(n, len(t.split(" ")) - 4, bytearray(zstandard.compress(t.encode()))) for n, t in made]
     got = near.lonely(spark.createDataFrame(rows, "node long, n_shingles long, words binary"), 5).collect()
     assert {r["node"]: r["n"] for r in got} == {1: None, 2: 10}
+
+
+def test_drop_copies_by_row(spark):
+    """Null and repeated ids: every distinct text stays once, with the largest id that has it."""
+    rows = [(None, "a"), (None, "a"), (1, "a"), (1, "b"), (1, "b"), (2, None), (None, ""), (3, "c"), (None, "only"), (3, "b")]
+    left = exact.drop_copies(frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in left if r["doc_id"] is not None) == [(1, "a"), (2, ""), (3, "b"), (3, "c")]
+    assert [(r["doc_id"], r["text"]) for r in left if r["doc_id"] is None] == [(None, "only")]
