@@ -25,8 +25,8 @@ def _binned(df: DataFrame, ts: str, ttl_secs: int) -> DataFrame:
     return df.withColumn("_us", at).withColumn("_bin", F.floor(at / (ttl_secs * MICROS)).cast("bigint"))
 
 
-def _segments(per_bin: DataFrame, key: str, ttl_secs: int) -> DataFrame:
-    """(session, bin, segment, n): which stretch of its session a bin belongs to.
+def _segments(per_bin: DataFrame, key: str, ttl_secs: int, *keep: str) -> DataFrame:
+    """(session, bin, segment, n) and the columns to keep: which stretch of its session a bin belongs to.
 
     ``per_bin`` has one row per bin that holds something, so a session has at most as many rows as
     TTLs fit into the time covered.
@@ -36,7 +36,7 @@ def _segments(per_bin: DataFrame, key: str, ttl_secs: int) -> DataFrame:
     return (
         per_bin.withColumn("_broken", broken.cast("int"))
         .withColumn("segment", F.sum("_broken").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-        .select(key, "_bin", "segment", "n")
+        .select(key, "_bin", "segment", "n", *keep)
     )
 
 
@@ -59,30 +59,26 @@ def correlate(df: DataFrame, ttl_secs: int, threshold: int, key: str = "session_
     """
     binned = _binned(df, ts, ttl_secs)
     point = F.struct(F.col("_us").alias("us"), F.col(row_id).alias("id"))
-    # one pass over the rows; a row without labels still counts for its bin, and n, which only guides
-    # the splitting of hot bins, counts a row once per label
-    base = skew.settle(
+    # one pass over the rows, and then one row per session and bin with the first occurrence of each of its labels; a row without
+    # labels still counts for its bin, and n, which only guides the splitting of hot bins, counts a row once per label
+    found = (
         binned.select(key, "_bin", "_us", point.alias("_at"), F.explode_outer(labels).alias("_label"))
         .groupBy(key, "_bin", "_label")
         .agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count("*").alias("n"), F.min("_at").alias("_at"))
     )
-    per_bin = base.groupBy(key, "_bin").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("n").alias("n"))
-    segments = _segments(per_bin, key, ttl_secs)
-    firsts = (
-        base.where(F.col("_label").isNotNull()).select(key, "_bin", "_label", "_at")
-        .join(segments.select(key, "_bin", "segment"), [key, "_bin"])
-        .groupBy(key, "segment", "_label")
-        .agg(F.min("_at").alias("_at"))
+    first = F.when(F.col("_label").isNotNull(), F.struct("_label", "_at"))
+    per_bin = found.groupBy(key, "_bin").agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("n").alias("n"), F.collect_list(first).alias("_labels")
     )
+    segments = skew.settle(_segments(per_bin, key, ttl_secs, "_labels"))
+    firsts = segments.select(key, "segment", F.explode("_labels").alias("f")).groupBy(key, "segment", F.col("f._label").alias("_label")).agg(F.min("f._at").alias("_at"))
     nth = Window.partitionBy(key, "segment").orderBy("_at")
     points = (
         firsts.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") == threshold)
         .select(key, "segment", F.col("_at").alias("_point"))
     )
-    summary = segments.join(points, [key, "segment"], "left")
-    joined = skew.lookup(
-        binned, summary.drop("n"), [key, "_bin"], row_id, "inner", counts=segments.select(key, "_bin", "n")
-    )
+    summary = segments.select(key, "_bin", "segment").join(points, [key, "segment"], "left")
+    joined = skew.lookup(binned, summary, [key, "_bin"], row_id, "inner", counts=segments.select(key, "_bin", "n"))
     return joined.withColumn("escalated", F.coalesce(point >= F.col("_point"), F.lit(False))).drop("_us", "_bin", "_point")
 
 
