@@ -151,9 +151,9 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     sets = settle(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "sets")
     named = sets.select(F.col("node").alias("doc_id"), "s1", "s2")
     nodes = linked.join(named, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
-    keyed = nodes.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    keyed = nodes.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).filter("lead < top").select("key", "lead")
-    members = settle(keyed.join(shared, "key").select("key", "node", "lead"), "members")
+    members = settle(keyed.join(shared, "key").select("key", "place", "node", "lead"), "members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = settle(linked.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "signature", "words"), "texts")
 
@@ -165,14 +165,14 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     roots = settle(components(edges), "roots")
     placed = with_root(members, "node", roots, "root")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    placed = settle(placed.join(mixed, "key").select("key", "node", "root", "lead"), "mixed")
+    placed = settle(placed.join(mixed, "key").select("key", "place", "node", "root", "lead"), "mixed")
     left = settle(texts.join(placed.select("node").distinct(), "node", "left_semi"), "left")
-    bits = left.filter(F.col("n_shingles").isNotNull()).select("node", "words").mapInArrow(parities(width), "node long, parity array<long>, half array<long>")
+    bits = left.filter(F.col("n_shingles").isNotNull()).select("node", "words").mapInArrow(parities(width), "node long, parity array<long>, half array<long>, keys array<long>")
     # a node with several texts has no one bitmap
-    bits = bits.groupBy("node").agg(F.count("*").alias("texts"), F.first("parity").alias("parity"), F.first("half").alias("half")).filter("texts = 1").drop("texts")
+    bits = bits.groupBy("node").agg(F.count("*").alias("texts"), F.first("parity").alias("parity"), F.first("half").alias("half"), F.first("keys").alias("keys")).filter("texts = 1").drop("texts")
     known = settle(lonely(left, width).join(bits, "node", "left"), "known")
     able = placed.join(known.filter(F.col("n").isNull() | (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))), "node")
-    other = able.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("parity").alias("parity_b"), F.col("half").alias("half_b"))
+    other = able.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("parity").alias("parity_b"), F.col("half").alias("half_b"), F.col("keys").alias("keys_b"))
     # common shingles at most; least() passes over nulls, but the sum of sizes below is null if one is
     most = F.least(F.col("n") - F.col("own"), F.col("n_b") - F.col("own_b"))
     possible = (100 + percent) * most >= percent * (F.col("n") + F.col("n_b"))
@@ -180,8 +180,10 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     apart_in = F.when(F.size("parity") == F.size("parity_b"), unequal("parity", "parity_b")).when(
         F.size("parity") > F.size("parity_b"), unequal("half", "parity_b")).otherwise(unequal("parity", "half_b"))
     alike = (100 + percent) * apart_in <= (100 - percent) * (F.col("n") + F.col("n_b"))
-    met = able.join(other, "key").filter("node < b and root <> other and node <> lead").filter(
-        F.when(F.coalesce(possible, F.lit(True)), F.coalesce(alike, F.lit(True))).otherwise(F.lit(False)))
+    # nodes that share several keys meet at the first; all of them are mixed, as the nodes' components differ
+    first_met = F.array_position(F.zip_with("keys", "keys_b", lambda x, y: x == y), True) == F.col("place") + 1
+    meets = F.when(F.coalesce(possible, F.lit(True)), F.when(F.coalesce(alike, F.lit(True)), F.coalesce(first_met, F.lit(True))))
+    met = able.join(other, "key").filter("node < b and root <> other and node <> lead").filter(F.coalesce(meets, F.lit(False)))
     across = met.select(F.col("node").alias("a"), "b").distinct()
     edges = edges.unionByName(confirmed(across, texts, width, percent))
     roots = settle(components(edges), "roots")
@@ -239,21 +241,22 @@ def parity_bits(hashed: np.ndarray, bits: int) -> np.ndarray:
 
 
 def parities(width: int):
-    """Per text: its parity bitmap, four to eight bits a shingle up to PARITY_BITS, and the one half as long.
+    """Per text: its parity bitmap, four to eight bits a shingle up to PARITY_BITS, the one half as long, and its keys.
 
     Sets similar enough to be linked have sizes within a factor of two, so one of the two lengths fits the other's.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, hashes = zstandard.ZstdDecompressor().decompress, word_hashes()
         for batch in sliced(batches):
-            whole, half = [], []
+            whole, half, key = [], [], []
             for words in batch.column("words").to_pylist():
                 hashed = shingles(read(words).split(b" "), width, hashes)
                 bits = min(PARITY_BITS, max(128, 1 << (4 * len(hashed) - 1).bit_length()))
                 whole.append(parity_bits(hashed, bits))
                 half.append(parity_bits(hashed, bits // 2))
+                key.append(keys(signature(hashed)))
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(whole, kind), pa.array(half, kind)], ["node", "parity", "half"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(x, kind) for x in (whole, half, key))], ["node", "parity", "half", "keys"])
 
     return run
 
