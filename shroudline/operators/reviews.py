@@ -165,7 +165,10 @@ def apply_overrides(traffic: DataFrame, tickets: DataFrame, bin_secs: int = 900,
     A named ticket must be resolved and agree on principal, path and body, whatever its age; a
     fingerprint override must be in force at the time of the request.
     """
-    named = tickets.where(F.col("status") != "pending").select(
+    # the folded tickets and the requests that can meet one are each worked out once
+    columns = ("ticket_id", "status", "post_approval_action", "principal", "path", "request_sha256", "resolved_at", "expires_at", "fingerprint")
+    tickets = skew.settle(tickets.where(F.col("status") != "pending").select(*columns))
+    named = tickets.select(
         F.col("ticket_id").alias("review_ticket"),
         F.struct("ticket_id", "status", "post_approval_action", "principal", "path", "request_sha256", "resolved_at").alias("_named"),
     )
@@ -173,7 +176,7 @@ def apply_overrides(traffic: DataFrame, tickets: DataFrame, bin_secs: int = 900,
     # a request meets a period at the one node of its bin's path that the period's cover has; only keys and times take part
     periods = skew.settle(override_periods(tickets, bin_secs))
     asked = traffic.select(row_id, "fingerprint", at.alias("_us")).join(periods.select("fingerprint").distinct(), "fingerprint", "left_semi")
-    probes = asked.withColumn("_at", F.explode(above(F.floor(F.col("_us") / (bin_secs * MICROS)).cast("bigint"))))
+    probes = skew.settle(asked).withColumn("_at", F.explode(above(F.floor(F.col("_us") / (bin_secs * MICROS)).cast("bigint"))))
     probes = probes.select(row_id, "fingerprint", "_us", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
     during = (F.col("from_us") <= F.col("_us")) & (F.col("_us") < F.col("until_us"))
     matched = skew.lookup(probes, periods, ["fingerprint", "_level", "_node"], row_id, "inner", on=during).select(row_id, "override")
