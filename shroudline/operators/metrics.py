@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +40,11 @@ def count_auth_failures(failures: DataFrame) -> DataFrame:
 
 def count_review_events(review_log: DataFrame, audit: DataFrame) -> DataFrame:
     """``created`` for every request sent to review, the outcome of every resolution, every override used."""
-    created = audit.where((F.col("decision") == "review") & (F.col("direction") == "request")).select(F.lit("created").alias("event"))
+    created = F.when((F.col("decision") == "review") & (F.col("direction") == "request"), F.lit("created"))
+    used = F.when(F.col("policy_source").isin("review_override_approved", "review_override_rejected"), F.substring("policy_source", len("review_") + 1, 100))
+    asked = audit.select(F.explode(F.array_compact(F.array(created, used))).alias("event"))  # one pass: a record may count twice
     resolved = review_log.where(F.col("type") == "resolved").select(F.col("status").alias("event"))
-    used = audit.where(F.col("policy_source").isin("review_override_approved", "review_override_rejected")).select(
-        F.substring("policy_source", len("review_") + 1, 100).alias("event")
-    )
-    return count_by(reduce(DataFrame.unionByName, (created, resolved, used)), "event")
+    return count_by(asked.unionByName(resolved), "event")
 
 
 def count_fallbacks(audit: DataFrame) -> DataFrame:
