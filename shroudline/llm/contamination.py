@@ -170,6 +170,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, *
     """Per row: doc_id, n_words, n_hit, items (sorted list of item ids), contaminated.
 
     A word inside any occurrence of a window is hit; a document is contaminated if at least one in ``share`` words is.
+
+    Null or empty text has no words and is not contaminated.  Rows without id, and rows that share one, are judged each by their own text.  A
+    benchmark item without id cannot be named and is left out; items with equal texts are all named.  An empty benchmark hits nothing, an
+    empty table gives an empty result.  Texts of any length are read whole; a posting holds a few words around it and never the text.
     """
     found = Matches(docs, benchmark, **names)
     phrases = settle(found.phrases(), "phrases")

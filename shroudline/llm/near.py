@@ -141,7 +141,8 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     which no other node left has, or whose parity bitmaps differ in more places than so similar sets differ in shingles; such
     pairs are not made.  Candidates within DISTANCE are confirmed on their full word sets.
 
-    Null, empty or blank text has no shingles and no links, and is its own component.  Rows with the same id are one
+    Ids are whole numbers.  Null, empty or blank text has no shingles and no links, and is its own component; an empty table gives an
+    empty result.  A very long text is one row of its compressed words and is shingled whole, at some 50 bytes a word.  Rows with the same id are one
     document with several texts.  Rows without id link with nothing: component_id is null and they are kept.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body(text).alias("body"))
