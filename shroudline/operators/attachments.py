@@ -272,7 +272,7 @@ def part_findings(findings: DataFrame, parts: DataFrame, request: str = "request
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ""))
     candidates = findings.withColumn("part_pointer", F.explode(above))
     keys = [request, "part_pointer"]
-    return skew.lookup(candidates, parts.select(request, F.col("pointer").alias("part_pointer")), keys, findings.columns, "inner")
+    return skew.lookup(candidates, parts.select(request, F.col("pointer").alias("part_pointer")), keys, findings.columns, "inner", grown=True)
 
 
 def attachment_decision(parts: DataFrame, request: str = "request_id") -> DataFrame:

@@ -36,13 +36,14 @@ def settle(summary: DataFrame) -> DataFrame:
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], row_id: str | list[str], how: str = "left",
-           on: Column | None = None, counts: DataFrame | None = None, target: int = ROWS_PER_TASK) -> DataFrame:
+           on: Column | None = None, counts: DataFrame | None = None, target: int = ROWS_PER_TASK, grown: bool = False) -> DataFrame:
     """``rows`` joined to ``table``, whose rows match each left row at most once.
 
     Keys with more than ``target`` rows on the left are dealt out over several tasks by a hash of
     ``row_id`` (columns that tell rows apart) and their table rows repeated as often; other keys join as they are.  ``counts`` (keys
     and ``n``) saves counting where the caller has it already.  NULL keys match nothing and are
-    spread by row instead of meeting in one task.
+    spread by row instead of meeting in one task.  ``grown`` says that the rows are many more than were read: Spark guesses their size from the
+    files and would send them all through the driver as a broadcast, so both sides shuffle.
     """
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -67,7 +68,7 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], row_id: str | lis
         match = match & (F.col(key) == F.col(f"_r_{key}"))
     if on is not None:
         match = match & on
-    return left.join(right, match, how).drop("_salt", "_r__salt", *[f"_r_{key}" for key in keys])
+    return (left.hint("merge") if grown else left).join(right, match, how).drop("_salt", "_r__salt", *[f"_r_{key}" for key in keys])
 
 
 def dense_order(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:

@@ -121,6 +121,14 @@ def test_part_prefixes(spark):
     assert sorted(r.pointer for r in A.part_findings(found, parts).collect()) == ["/attachments/a", "/attachments/a/w.xml#text/0"]
 
 
+def test_pieces_of_pointers_are_never_broadcast(spark):
+    found = spark.createDataFrame([("r", "/attachments/a#text/0")], "request_id string, pointer string")
+    parts = spark.createDataFrame([("r", "/attachments/a")] * 3, "request_id string, pointer string")
+    plan = A.part_findings(found, parts)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "_r_part_pointer" in line and "Inner" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+
+
 def test_unwritable_parts_go_to_review(spark):
     resolved = "array<struct<action:string>>"
     rows = [("a", True, [("redact",)]), ("a", False, []), ("b", True, []), ("b", False, [("redact",)]), ("c", False, [("block",)]), ("d", True, [])]
