@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from shroudline.plans.sql import with_views
-from shroudline.session import ship_package
+from shroudline.session import bound_batches, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            bound_batches(ship_package(spark))
             return fn(spark, sf_dir)
 
         if name in QUERIES:

@@ -84,11 +84,13 @@ def outcome_lines(spark, d):
     lines = PP.sse_lines(spark, d)
     done = Y.redact_lines(lines, V.CONFIG, P.local_principal(), rules=DEFAULT_POLICY_RULES)
     of = Window.partitionBy("stream_id")
-    numbered = done.withColumn("n", F.row_number().over(of.orderBy("doc_id")) - 1).withColumn("size", F.count("*").over(of))
-    judged = O.judged_lines(numbered, F.col("n"), F.col("doc_id"), F.col("n") == F.col("size") - 1)
-    mixed = judged.withColumn("part", F.pmod(F.xxhash64("stream_id", "seq"), F.lit(5)))
-    again = mixed.where("seq % 7 = 0").withColumn("part", F.pmod(F.col("part") + 1, F.lit(5)))
-    mixed.unionByName(again).repartition(5, "part").drop("part").write.parquet(folder)
+    # only what is judged of a line is numbered, neither its text nor its findings
+    judged = O.judged_lines(done, F.col("doc_id"), F.col("doc_id"), F.lit(False))
+    numbered = judged.withColumn("seq", F.row_number().over(of.orderBy("us")).cast("bigint") - 1)
+    judged = numbered.withColumn("last", F.col("seq") == F.count("*").over(of) - 1)
+    part = F.pmod(F.xxhash64("stream_id", "seq"), F.lit(5))
+    twice = F.when(F.col("seq") % 7 == 0, F.array(part, F.pmod(part + 1, F.lit(5)))).otherwise(F.array(part))
+    judged.withColumn("part", F.explode(twice)).repartition(5, "part").drop("part").write.parquet(folder)
     schema = judged.schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 

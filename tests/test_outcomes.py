@@ -1,6 +1,7 @@
 """Live outcomes of event streams beside a plain fold: any order, batches, repeats, gaps, silence."""
 
 import random
+import tracemalloc
 
 import pandas as pd
 import pytest
@@ -134,3 +135,15 @@ def test_audit_record(spark):
     rows = {r.request_id: r for r in O.outcome_audit(df).collect()}
     assert (rows["s"].decision, rows["s"].policy_source, rows["s"].decision_reason, rows["s"].matched_labels, rows["s"].error_stage) == ("block", "opa", "why", ["a"], None)
     assert rows["t"].error_stage == "stream_idle" and rows["s"].status_code == 403
+
+
+def test_many_open_gaps_take_little_state():
+    rows = [{**row, "reason": "why"} for row in lines(random.Random(3), 20_000)]
+    job = folder()
+    tracemalloc.start()
+    assert not list(job.handleInputRows(("s",), iter([pd.DataFrame(rows[at : at + 2000 : 2]) for at in range(0, 20_000, 2000)]), None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(v[0]) for v in job.runs.held.values()) < 100 * 10_000 and peak < 1000 * 10_000
+    out = list(job.handleInputRows(("s",), iter([pd.DataFrame(rows[1::2])]), None))
+    assert given(out) == [plain(rows)]
