@@ -110,16 +110,29 @@ class Reassembler(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "seq bigint", "chunk binary, last boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rest, number, turn, done = self.state.get() if self.state.exists() else (b"", 0, 0, False)
-        for seq, chunk, last in pd.concat(rows)[["seq", "chunk", "last"]].itertuples(index=False):
-            if not done and seq >= turn:
-                self.waiting.updateValue((int(seq),), (bytes(chunk or b""), bool(last)))
+        known = self.state.exists()
+        rest, number, turn, done = self.state.get() if known else (b"", 0, 0, False)
+        # chunks in their turn never pass through state, each access of which is a round trip
+        came = {}
+        for batch in rows:
+            for seq, chunk, last in zip(batch["seq"], batch["chunk"], batch["last"]):
+                if not done and seq >= turn:
+                    came[int(seq)] = (bytes(chunk or b""), bool(last))
+        waits = known and bool(came)
         taken = [bytes(rest)]
-        while not done and self.waiting.containsKey((turn,)):
-            chunk, done = self.waiting.getValue((turn,))
-            self.waiting.removeKey((turn,))
+        while not done:
+            if waits and self.waiting.containsKey((turn,)):
+                held = self.waiting.getValue((turn,))
+                self.waiting.removeKey((turn,))
+            elif turn in came:
+                held = None
+            else:
+                break
+            chunk, done = came.pop(turn, held)
             taken.append(bytes(chunk))
             turn += 1
+        for seq in () if done else sorted(came):
+            self.waiting.updateValue((seq,), came[seq])
         lines = self._given(key, taken, number, done)
         _restart(self, timerValues)
         self.state.update((self.left, number + len(lines), turn, bool(done)))

@@ -119,3 +119,15 @@ def test_chunks_find_their_order_across_batches():
     state.clear()
     assert feed((0, b"a\nb", False), (2, b"c", False)) == [(0, "a")]
     assert [tuple(r) for out in job.handleExpiredTimer(("s",), clock, None) for r in out[["line_no", "line"]].itertuples(index=False)] == [(1, "bc")]
+
+
+def test_chunks_in_their_turn_take_no_state():
+    import pandas as pd
+
+    state, waiting, clock = Held(), Held(), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)
+    waiting.updateValue = waiting.getValue = waiting.removeKey = waiting.containsKey = None  # each is a round trip
+    job = live.Reassembler()
+    job.init(SimpleNamespace(getValueState=lambda *_: state, getMapState=lambda *_: waiting))
+    frames = [pd.DataFrame([(n, b"a\nb", n == 3)], columns=["seq", "chunk", "last"]) for n in (2, 0, 3, 1, 1)]
+    out = [line for part in job.handleInputRows(("s",), iter(frames), clock) for line in part["line"]]
+    assert out == ["a", "ba", "ba", "ba", "b"] and state.value == (b"", 5, 4, True)
