@@ -131,3 +131,18 @@ def test_chunks_in_their_turn_take_no_state():
     frames = [pd.DataFrame([(n, b"a\nb", n == 3)], columns=["seq", "chunk", "last"]) for n in (2, 0, 3, 1, 1)]
     out = [line for part in job.handleInputRows(("s",), iter(frames), clock) for line in part["line"]]
     assert out == ["a", "ba", "ba", "ba", "b"] and state.value == (b"", 5, 4, True)
+
+
+def test_registered_queries_bound_what_a_worker_holds(spark):
+    from shroudline import plans
+
+    held = {key: spark.conf.get(key) for key in session.ARROW_CONF}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+        plans.load()[0]["sse_redact"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4194304"
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10"
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
