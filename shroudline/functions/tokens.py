@@ -75,17 +75,32 @@ def tokenizer(key: bytes, prefix: str) -> Callable[[Column, Column], Column]:
 def detokenize(token: Column, key: bytes, prefix: str) -> Column:
     """``struct<label,value>`` inside a bracketed or bare token; NULL where it does not open."""
     check_prefix(prefix)
-    trimmed = F.trim(token)
-    bracketed = F.regexp_extract(trimmed, r"^\[[^:]*:([\s\S]*)\]\z", 1)
-    raw = F.when(trimmed.startswith("[") & trimmed.endswith("]"), bracketed).otherwise(trimmed)
     shape = rf"^{re.escape(prefix)}\.([^,]*),([\s\S]*)\z"
-    nonce = _from_url_base64(F.regexp_extract(raw, shape, 1))
-    sealed = _from_url_base64(F.regexp_extract(raw, shape, 2))
-    opened = F.when(
-        raw.rlike(shape) & (F.octet_length(nonce) == NONCE_BYTES),
-        F.try_aes_decrypt(F.concat(nonce, sealed), F.lit(key), F.lit("GCM")),
-    )
-    return F.from_json(opened.cast("string"), PAYLOAD)
+
+    def bare(trimmed: Column) -> Column:
+        bracketed = F.regexp_extract(trimmed, r"^\[[^:]*:([\s\S]*)\]\z", 1)
+        return F.when(trimmed.startswith("[") & trimmed.endswith("]"), bracketed).otherwise(trimmed)
+
+    def halves(raw: Column) -> Column:
+        return F.struct(F.regexp_extract(raw, shape, 1).alias("nonce"), F.regexp_extract(raw, shape, 2).alias("sealed"))
+
+    def decoded(texts: Column) -> Column:
+        return F.struct(_from_url_base64(texts["nonce"]).alias("nonce"), _from_url_base64(texts["sealed"]).alias("sealed"))
+
+    def opened(parts: Column) -> Column:
+        # what has another shape has an empty nonce
+        whole = F.octet_length(parts["nonce"]) == NONCE_BYTES
+        return F.when(whole, F.try_aes_decrypt(F.concat(parts["nonce"], parts["sealed"]), F.lit(key), F.lit("GCM")))
+
+    return F.from_json(_once(F.trim(token), bare, halves, decoded, opened).cast("string"), PAYLOAD)
+
+
+def _once(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """``value`` through the steps, each of which refers to the one before several times and has it worked out once."""
+    out = F.array(value)
+    for step in steps:
+        out = F.transform(out, step)
+    return F.element_at(out, 1)
 
 
 def detokenize_for(role: Column, token: Column, key: bytes, prefix: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shroudline.config import DEFAULT_RULES, Detection, EntityRule, Rule
 from shroudline.functions import masks, ranks, regex, text as T, tokens
-from shroudline.operators import detect as D, policy as P, redact as R
+from shroudline.operators import detect as D, policy as P, redact as R, skew
 from shroudline.plans import sql as S, views as V
 from shroudline.plans.registry import query
 
@@ -253,7 +253,8 @@ def tokenize_roundtrip(spark, d):
     sealed = exploded(spark, d).select("doc_id", "ord", "label", F.array(seal(F.col("label"), F.col("matched"))).alias("t"))
     # the token is bound once (explode) because a second evaluation would draw another nonce
     bound = sealed.select("doc_id", "ord", "label", F.explode("t").alias("token"))
-    opened = tokens.detokenize(F.col("token"), CHECK_KEY, "tok1")
+    bound = bound.withColumn("opened", skew.bound(tokens.detokenize(F.col("token"), CHECK_KEY, "tok1")))
+    opened = F.col("opened")
     shape = F.concat(F.lit(r"^\["), F.upper("label"), F.lit(r"_TOKEN:tok1\.[A-Za-z0-9_-]{16},[A-Za-z0-9_-]+\]$"))
     return bound.select("doc_id", "ord", opened["label"].alias("label"), opened["value"].alias("opened"), F.rlike("token", shape).alias("well_formed"))
 

@@ -146,3 +146,10 @@ def test_registered_queries_bound_what_a_worker_holds(spark):
     finally:
         for key, value in held.items():
             spark.conf.set(key, value)
+
+
+def test_opening_a_token_reads_it_once(spark):
+    opened = tokens.detokenize(F.col("t"), bytes(32), "tok1")
+    assert str(opened).count("regexp_extract(") <= 3
+    sealed = spark.range(3).select("id", F.explode(F.array(tokens.tokenizer(bytes(32), "tok1")(F.lit("email"), F.col("id").cast("string")))).alias("t"))
+    assert [tuple(r.o) for r in sealed.select("id", opened.alias("o")).orderBy("id").collect()] == [("email", str(i)) for i in range(3)]
