@@ -184,13 +184,18 @@ def all_counts_sql():
     ])
 
 
+BATCHES = 5
+
+
 @query("stream_m_all", all_counts_sql())
 def stream_m_all(spark, d):
     """All counters of a live stream over several batches, added up every two of them."""
     folder = J.work_dir(spark, "all-counters")
     events = counter_events(spark, d)
-    events.repartition(5, F.rand(3)).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    # a batch is as many files as there are cores: one file would be counted by one of them
+    files = max(2, spark.sparkContext.defaultParallelism)
+    events.repartition(BATCHES * files, F.rand(3)).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     C.run_all_counters(stream, folder, every=2).awaitTermination()
     return C.all_counters(spark, folder).select(*C.KEYS, F.round("n", 6).alias("n"))
 
