@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shroudline.functions import ranks
+from shroudline.functions.ranks import ACTIONS
 from shroudline.operators import audits
 from shroudline.streaming import sessions
 from shroudline.streaming.sessions import _mode, _restart
@@ -24,7 +25,7 @@ OUTPUT = "stream_id string, decision string, source string, reason string, label
 BUILTIN = "builtin"
 # Neighbouring places of a stream whose runs are one entry of state.
 BLOCK = 256
-RANKS = {name: i for i, name in enumerate(ranks.ACTIONS)}
+RANKS = {name: i for i, name in enumerate(ACTIONS)}
 
 # What a run of lines does to an outcome depends on little of the outcome before it: its rank, whether its source is the
 # built-in one and whether it has a reason.  A run is kept as what it makes of each of these.
@@ -167,7 +168,7 @@ class Folder(StatefulProcessor):
             state = through(state, runs.values[run[2]])
             total = runs.joined(total, run) if i else run
         return pd.DataFrame([{
-            "stream_id": key[0], "decision": ranks.ACTIONS[state[0]], "source": state[1], "reason": state[2], "labels": list(runs.values[total[5]]),
+            "stream_id": key[0], "decision": ACTIONS[state[0]], "source": state[1], "reason": state[2], "labels": list(runs.values[total[5]]),
             "n_findings": total[3], "n_lines": total[4], "us": total[6], "ended": ended,
         }])
 
