@@ -86,6 +86,16 @@ def dense_order(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
     return rows.join(numbers, [key, order])
 
 
+def rising(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with a number ``name`` that rises with ``order`` within ``key``, the first of ``order`` telling a key's rows apart; later ones settle ties.
+
+    Numbers leap from one range partition to the next, each beginning at a multiple of 2 ** 33, so no row needs to know how many lie before it.  Range
+    borders are sampled, which reads ``rows`` once more than sorting does: rows are settled first and should be narrow.
+    """
+    ranged = settle(rows).repartitionByRange(key, order[0]).sortWithinPartitions(key, *order)
+    return ranged.withColumn(name, F.monotonically_increasing_id())
+
+
 def prefix_sum(rows: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK, dense: bool = False) -> DataFrame:
     """Sum of ``value`` over earlier rows of the same key, ``order`` being unique whole numbers.
 
